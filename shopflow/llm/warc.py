@@ -207,7 +207,7 @@ def read_packages(archives: DataFrame, payload: bool = True) -> DataFrame:
 def write_and_read(pages: DataFrame) -> DataFrame:
     """The archives are stored as a table in the shared folder, then read."""
     kind = pages.schema["page_id"].dataType.simpleString()
-    out = read_packages(materialize(package(pages), "packages", compression="none"), payload=False)
+    out = read_packages(materialize(package(pages), "packages"), payload=False)
     return out.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
