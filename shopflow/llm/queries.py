@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, mixing, warc
+from . import chat, decontamination, flac, langid, mixing, pii, toxicity, warc
 from .shared import table
 
 
@@ -24,9 +24,29 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write_and_read(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_mixing, op3_decontamination, op5_warc)}
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
+    return toxicity.score(documents, model).withColumn("held_out", toxicity.held_out(F.col("doc_id")))
+
+
+def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.stored_features(table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = langid.held_out(F.col("doc_id"))
+    return langid.identify(documents, documents.filter(~held_out)).withColumn("held_out", held_out)
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_mixing, op3_decontamination, op4_pii, op5_warc, op6_toxicity, op7_flac, op9_language_id)}
 ORACLE_SQL = {"op1_chat_formatting": chat.SQL, "op3_decontamination": decontamination.SQL, "op5_warc": warc.SQL}
