@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, flac, langid, mixing, pii, toxicity, warc
+from . import chat, decontamination, flac, jaccard, langid, mixing, pii, suffixes, toxicity, warc
 from .shared import table
 
 
@@ -42,11 +42,23 @@ def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.stored_features(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held_out = langid.held_out(F.col("doc_id"))
     return langid.identify(documents, documents.filter(~held_out)).withColumn("held_out", held_out)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_mixing, op3_decontamination, op4_pii, op5_warc, op6_toxicity, op7_flac, op9_language_id)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeated(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_chat_formatting, op2_mixing, op3_decontamination, op4_pii, op5_warc,
+    op6_toxicity, op7_flac, op8_jaccard_join, op9_language_id, op10_suffix_dedup,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {"op1_chat_formatting": chat.SQL, "op3_decontamination": decontamination.SQL, "op5_warc": warc.SQL}

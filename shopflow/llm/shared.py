@@ -2,8 +2,15 @@
 
 import tempfile
 import uuid
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bits of a bitmap of ids: 2 MB, whatever the number of ids.
+BITS = 1 << 24
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,3 +37,46 @@ def materialize(df: DataFrame, name: str, **options) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bitmap(ids: DataFrame, column: str = "id") -> bytes:
+    """A bitmap of fixed size of 64-bit ids; other ids may share a bit, so it can only rule ids out."""
+    at = F.col(column).bitwiseAND(BITS - 1) + 1
+    rows = ids.select(at.alias("v")).filter("v IS NOT NULL").groupBy(F.expr("bitmap_bucket_number(v)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(v))").alias("bytes")).collect()
+    out = np.zeros((BITS // 32768, 4096), np.uint8)
+    for r in rows:
+        out[r["bucket"] - 1] = np.frombuffer(r["bytes"], np.uint8)
+    return out.tobytes()
+
+
+def is_set(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = ids & (BITS - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _rows(batches, shared, wanted: bool):
+    bits = np.frombuffer(shared.value, np.uint8)
+    for batch in batches:
+        yield batch.filter(pa.array(is_set(bits, batch.column(batch.num_columns - 1).to_numpy()) == wanted))
+
+
+def without(documents: DataFrame, drop: DataFrame, once: DataFrame | None = None) -> DataFrame:
+    """The documents whose doc_id is not in ``drop``; of the rows of each id in ``once`` one stays.
+
+    Texts are shuffled only for documents that a bitmap of fixed size cannot
+    rule out. Rows without an id stay.
+    """
+    names = documents.columns
+    drop = materialize(drop.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "drop")
+    touched = drop
+    if once is not None:
+        once = materialize(once.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "once")
+        touched = drop.unionByName(once)
+    shared = documents.sparkSession.sparkContext.broadcast(bitmap(touched.select(F.xxhash64("doc_id").alias("id"))))
+    rows = documents.withColumn("_at", F.xxhash64("doc_id"))
+    part = lambda wanted: rows.mapInArrow(partial(_rows, shared=shared, wanted=wanted), rows.schema).select(*names)
+    unsure = part(True).join(drop, "doc_id", "left_anti").select(*names)
+    if once is not None:
+        single = unsure.join(once, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        unsure = unsure.join(once, "doc_id", "left_anti").unionByName(single).select(*names)
+    return part(False).unionByName(unsure)

@@ -305,3 +305,19 @@ def score(documents: DataFrame, model: tuple[pd.DataFrame, list[float]], thresho
 def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
     """Whether crc32 of the id as text falls in the fold; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+def _clean_rows(batches, shared, text: int, weights: list[float], threshold: float):
+    lexicon = Lexicon(shared.value)
+    for batch in batches:
+        buf, offs = utf8(batch.column(text))
+        x = np.concatenate([document_features(b, o, lexicon) for _, _, b, o in chunks(buf, offs)]) if batch.num_rows else np.zeros((0, 3))
+        p = 1 / (1 + np.exp(-(x @ np.array(weights[:3]) + weights[3])))
+        yield batch.filter(pa.array(p < threshold))
+
+
+def keep_clean(documents: DataFrame, model: tuple[pd.DataFrame, list[float]], threshold: float = THRESHOLD) -> DataFrame:
+    """The documents whose score is under the threshold, with all their columns."""
+    stems, w = model
+    shared = documents.sparkSession.sparkContext.broadcast(stems)
+    return documents.mapInArrow(partial(_clean_rows, shared=shared, text=documents.columns.index("text"), weights=w, threshold=threshold), documents.schema)
