@@ -1 +1 @@
-"""Spark-native shop analytics."""
+"""Shop analytics on Spark: tables, models, queries, rollups, streams and data tests."""

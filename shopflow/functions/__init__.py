@@ -1 +1 @@
-"""Spark-native shop analytics."""
+"""Scalar expressions with the meaning that the shop's queries give them."""

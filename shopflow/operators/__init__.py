@@ -1 +1 @@
-"""Spark-native shop analytics."""
+"""Operators on DataFrames: sinks, joins, collapsing by key, rollups, history, layout."""

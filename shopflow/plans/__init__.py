@@ -1 +1,6 @@
-"""Spark-native shop analytics."""
+"""Models, analytical queries and data tests over the shop's relations."""
+
+from . import analytics  # noqa: F401  registers its queries
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -1 +1 @@
-"""Spark-native shop analytics."""
+"""Reading tables, and the folders that every executor can see."""

@@ -1 +1 @@
-"""Spark-native shop analytics."""
+"""Structured Streaming: event ingest, windows, deduplication, and change data."""
