@@ -33,7 +33,7 @@ def as_view(df: DataFrame, name: str) -> DataFrame:
 
 def write_by_month(df: DataFrame, path: str, column: str) -> None:
     """Partitioned by the month of a date; readers filter by the date and prune by the month."""
-    df.withColumn(f"{column}_month", F.date_format(column, "yyyy-MM")).write.mode("overwrite").partitionBy(f"{column}_month").parquet(path)
+    df.withColumn(f"{column}_month", F.date_format(column, "yyyy-MM")).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(f"{column}_month").parquet(path)
 
 
 def write_sorted(df: DataFrame, path: str, *keys: str, files: int | None = None) -> None:
@@ -101,8 +101,8 @@ def build_incremental(spark: SparkSession, source: DataFrame, path: str, key: Co
     rows = source.withColumn(name, key)
     if newest is not None:
         rows = rows.filter(F.col(name) >= F.lit(newest - timedelta(days=lookback_days)))
-    writer = aggregate(rows).write.mode("overwrite")
-    (writer if newest is None else writer.option("partitionOverwriteMode", "dynamic")).partitionBy(name).parquet(path)
+    mode = "static" if newest is None else "dynamic"  # a first or full build replaces the whole table
+    aggregate(rows).write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(name).parquet(path)
 
 
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
