@@ -189,7 +189,12 @@ def typical_pairs(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def prefix_pairs(classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components that share a prefix shingle and pass the length and positional filters."""
+    """Pairs of classes of different components that share a prefix shingle and pass the length and positional filters.
+
+    All that two sets share comes at or after the first shingle they share, in
+    both orders, so what is left from there bounds the intersection. Later
+    matches only have a lower bound: a pair is found if its first match passes.
+    """
     rows = classes.select("id", "n", "prefix").join(roots, F.col("id") == F.col("node"), "left")
     postings = rows.select("id", F.coalesce("root", "id").alias("root"), "n", F.posexplode("prefix").alias("at", "shingle"))
     # most prefix shingles occur in one component only and end here
@@ -200,7 +205,7 @@ def prefix_pairs(classes: DataFrame, roots: DataFrame, percent: int) -> DataFram
     needed = F.ceil(both * percent / (100 + percent))
     ok = (
         (F.col("root_a") != F.col("root_b")) & (F.struct("n_a", "id_a") < F.struct("n_b", "id_b")) & (F.col("n_a") * 100 >= F.col("n_b") * percent)
-        & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + F.least("at_a", "at_b") >= needed)
+        & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= needed)
     )
     return x.join(y, (x["shingle"] == y["shingle"]) & ok).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
