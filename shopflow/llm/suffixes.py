@@ -297,6 +297,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, lead: int = LEAD, hot
     spans = ranged.mapInArrow(partial(_compare, length=length, lead=lead), "id long, start int, end int")
     strings = found.filter("kind = 1").select("print", "id", "start", "end")
     twice = strings.groupBy("print").agg(F.min(F.struct("id", "start")).alias("a"), F.max(F.struct("id", "start")).alias("b")).filter("a != b").select("print")
+    twice = materialize(twice, "twice")  # so that Spark can split the join's hot strings
     hot_spans = strings.join(twice, "print").groupBy("id", "start").agg(F.first("end").alias("end"))
     return spans.unionByName(hot_spans.select("id", "start", "end")).unionByName(found.filter("kind = 2").select("id", "start", "end"))
 
