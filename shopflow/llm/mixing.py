@@ -125,7 +125,8 @@ def mix_sources(documents: DataFrame, weights: tuple = WEIGHTS, most: int = MOST
     sizes = materialize(document_sizes(documents), "sizes")
     targets = materialize(source_targets(sizes, weights, most), "targets")
     ranked = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).select("doc_id", sizes["source"], "size", "source_size", "target", "rank")
-    mixed = slots(targets, block, shard_slots, seed).join(pack(ranked, block), ["rank", "block"]).select("shard", "place", "rank", "doc_id", "first_word", "words")
+    # both sides grow with the input, but the slots come from a table of a row per source and would be taken for small
+    mixed = slots(targets, block, shard_slots, seed).hint("merge").join(pack(ranked, block), ["rank", "block"]).select("shard", "place", "rank", "doc_id", "first_word", "words")
     return mixed, ranked
 
 
