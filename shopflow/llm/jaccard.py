@@ -67,15 +67,26 @@ def _sets(batch_column, k: int):
 
 
 def _count(batches, k: int):
-    total = np.zeros(CELLS, np.uint32)
+    total, held, size = np.zeros(CELLS, np.uint8), [], 0
+
+    def add():
+        cells, n = np.unique(np.concatenate(held), return_counts=True)
+        total[cells] = np.minimum(total[cells] + np.minimum(n, 255).astype(np.uint16), 255).astype(np.uint8)
+        held.clear()
+
     for batch in batches:
         buf, offs = utf8(batch.column(0))
         for _, _, b, o in chunks(buf, offs):
             words = Words(b, o, NONSPACE)
             h = grams(words.hash, k)
-            cell = (h[inside_rows(words.of, k, len(h))] & U(CELLS - 1)).astype(np.int64)
-            total += np.bincount(cell, minlength=CELLS).astype(np.uint32)
-    parts = np.minimum(total, 255).astype(np.uint8).reshape(PIECES, -1)
+            held.append((h[inside_rows(words.of, k, len(h))] & U(CELLS - 1)).astype(np.uint32))
+            size += len(held[-1])
+            if size > 1 << 20:
+                add()
+                size = 0
+    if held:
+        add()
+    parts = total.reshape(PIECES, -1)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES, dtype=np.int32)), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], ["piece", "counts"])
 
 
@@ -149,6 +160,7 @@ def _emit_sets(batches, k: int, wanted):
 
 
 def _overlaps(batches, percent: int):
+    """The pairs of (a, b, set, set) that link."""
     for batch in batches:
         keep = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -227,7 +239,7 @@ def jaccard_components(documents: DataFrame, k: int = K, percent: int = PERCENT)
     roots = materialize(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
     rows = described.select("doc_id", "n", "id").join(roots, F.col("id") == F.col("node"), "left")
     rows = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "id")).alias("root"))
-    least = rows.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = materialize(rows.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")  # a table, so that Spark can split the join's large components
     out = rows.join(least, "root", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

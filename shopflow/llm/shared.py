@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bits of a bitmap of ids: 2 MB, whatever the number of ids.
 BITS = 1 << 24
+#: Bytes of an Arrow batch that goes to a Python worker: long texts make short batches.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,18 +26,42 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Paths of the tables written so far and not released, in order.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts lineage and lets several consumers share one computation; a lost
-    executor costs only the tasks it ran.
+    executor costs only the tasks it ran. Results that are computed when read may
+    need such tables; once a result is stored, ``release`` deletes them.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """A mark for ``release``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, keep_last: bool = False) -> int:
+    """Delete the tables written since a mark, but for the last of them if that is to be kept; returns how many."""
+    end = len(_written) - keep_last
+    paths = _written[since:end]
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    del _written[since:end]
+    return len(paths)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data folder; from now on the session hands it to Python in batches of bounded bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
