@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopflow.llm import decontamination, jaccard, mixing, pii, toxicity
-from shopflow.llm.shared import materialize, table, without
+from shopflow.llm.shared import materialize, release, table, without, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again; what a stage wrote for itself goes when its result is stored."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        mark = written()
         docs = materialize(stage(spark, docs, sf_dir), name)
+        release(spark, mark, keep_last=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -227,8 +227,32 @@ def test_pipeline_stages_on_edge_cases(spark, documents, no_documents):
             stage(spark, docs, sf).count()
 
 
+def test_pipeline_run_releases_what_stages_wrote(spark):
+    from pathlib import Path
+
+    from shopflow.llm.shared import release, shared_dir, written
+
+    release(spark)
+    found = lambda: set(Path(shared_dir(spark).removeprefix("file:")).glob("pii-*"))
+    before = found()
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    # four stage results, and the two tables that the mix is computed from
+    assert written() == 6 and out.count() > 100
+    assert release(spark) == 6 and written() == 0
+    assert found() == before
+
+
 def test_registered_queries():
     names = list(queries.QUERIES)
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.ORACLE_SQL) <= set(names)
     assert isinstance(toxicity.known_stems(), pd.DataFrame)
+
+
+def test_the_most_frequent_grams_are_kept(spark):
+    df = spark.createDataFrame([("abab abab abab abac", "p"), ("xy", "q")], "text string, lang string")
+    counts = langid.gram_counts(df, 2)
+    table = langid.kneser_ney(counts, 2, max_grams=3).toPandas()
+    have = {r["gram"]: r["n"] for r in counts.filter("lang = 'p'").collect()}
+    kept = set(table[(table.lang == "p") & (table.k == 2)].gram)
+    assert 0 < len(kept) <= 3 and min(have[g] for g in kept) > max(n for g, n in have.items() if g not in kept)
