@@ -8,7 +8,7 @@ longest single text.
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _ODD = 0x9E3779B97F4A7C15
 _ODD_INV = pow(_ODD, -1, 1 << 64)
 U = np.uint64
