@@ -4,19 +4,21 @@ Method. Letters are lower-cased, runs of anything else become one space, and
 the character 4-grams of all training texts are counted per language. Lower
 orders use continuation counts (in how many different left contexts a gram was
 seen), and absolute discounts are estimated from counts of counts. The model is
-one sorted hash array per order with a column of log probabilities per
-language, so one search serves all languages. A text goes to the language of
-the lowest cross-entropy per character; ``score`` is the posterior of that
-language at a temperature fitted on training texts, and texts under the
-threshold that reaches ``precision`` on them have ``accepted`` false.
+a table of every string's hash with its share and back-off weight per language.
+A text goes to the language of the lowest cross-entropy per character; ``score``
+is the posterior of that language at a temperature fitted on training texts,
+and texts under the threshold that reaches ``precision`` on them have
+``accepted`` false.
 
 Scale. Tasks count grams in arrays and send their distinct grams; Spark sums
-and discounts them. What goes to the driver, and from there to the tasks, is
-bounded by ``max_grams`` per language and order, the most frequent ones; grams
-of one count are kept or left out together. Scoring is a map. Temperature
+and discounts them. Every gram is kept and none goes to the driver: texts are
+dealt to chunks of about ``CHUNK`` characters, the distinct strings of a chunk
+are joined to the model by hash, and each chunk is scored with the rows that it
+needs, so a task's memory depends on a chunk and not on the model. Temperature
 and threshold are fitted on at most ``calibration_rows`` texts.
 
-Edge cases. A null text, or one without a letter, is ``und`` with score 0. Rows
+Edge cases. Spaces stand before each text, so a score does not depend on the
+texts beside it. A null text, or one without a letter, is ``und`` with score 0. Rows
 with a null language are not learned from. Without any training text every
 text is ``und``. Rows repeat as they come; other columns are ignored.
 """
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 from .shared import materialize
 from .textbytes import U, mix
 
-ORDER, MAX_GRAMS, CALIBRATION_ROWS, PRECISION = 4, 200_000, 2_000, 0.99
-SLICE = 1 << 20
+ORDER, CALIBRATION_ROWS, PRECISION = 4, 2_000, 0.99
+SLICE, CHUNK = 1 << 20, 16 << 20
 
 
 @lru_cache
@@ -62,11 +64,11 @@ def letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return raw[keep], n[starts] - 1, seen[starts[1:]] - seen[starts[:-1]]
 
 
-def _slices(texts: list):
+def _slices(texts: list, most: int = SLICE):
     row, n = 0, len(texts)
     while row < n:
         end, size = row, 0
-        while end < n and (end == row or size < SLICE):
+        while end < n and (end == row or size < most):
             size += len(texts[end] or "")
             end += 1
         yield row, end
@@ -119,19 +121,24 @@ def gram_counts(training: DataFrame, order: int = ORDER) -> DataFrame:
     return rows.mapInArrow(partial(_count, order=order), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS) -> DataFrame:
-    """k, lang, gram, share, back: of a gram of k characters max(n - D, 0) over its context's total, and the weight of the next lower order after that context."""
+def kneser_ney(counts: DataFrame, order: int = ORDER, max_grams: int | None = None) -> DataFrame:
+    """k, lang, gram, share, back: of a gram of k characters max(n - D, 0) over its context's total, and the weight of the next lower order after that context.
+
+    All grams; only a caller that names ``max_grams`` gets the most frequent ones of each language and order, grams of one count together.
+    """
     level, out = counts, None
     for k in range(order, 0, -1):
         few = level.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"))
         discount = few.select("lang", F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5).alias("d"))
         context = F.substring("gram", 1, k - 1).alias("context")
         totals = level.groupBy("lang", context).agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).join(F.broadcast(discount), "lang")
-        # the least count that still keeps to max_grams, found on the table of counts and not on the grams
-        sizes = level.groupBy("lang", "n").agg(F.count("*").alias("grams"))
-        so_far = Window.partitionBy("lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
-        least = sizes.withColumn("grams", F.sum("grams").over(so_far)).filter(F.col("grams") <= max_grams).groupBy("lang").agg(F.min("n").alias("least"))
-        kept = level.join(F.broadcast(least), "lang").filter(F.col("n") >= F.col("least")).select("lang", "gram", "n", context)
+        kept = level.select("lang", "gram", "n", context)
+        if max_grams is not None:
+            # the least count that still keeps to max_grams, found on the table of counts and not on the grams
+            sizes = level.groupBy("lang", "n").agg(F.count("*").alias("grams"))
+            so_far = Window.partitionBy("lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+            least = sizes.withColumn("grams", F.sum("grams").over(so_far)).filter(F.col("grams") <= max_grams).groupBy("lang").agg(F.min("n").alias("least"))
+            kept = kept.join(F.broadcast(least), "lang").filter(F.col("n") >= F.col("least")).drop("least")
         rows = kept.join(totals, ["lang", "context"]).select(F.lit(k).alias("k"), "lang", "gram", (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("share"), (F.col("d") * F.col("kinds") / F.col("total")).alias("back"))
         out = rows if out is None else out.unionByName(rows)
         level = level.groupBy("lang", F.substring("gram", 2, k - 1).alias("gram")).agg(F.count("*").alias("n"))
@@ -166,7 +173,7 @@ class SortedHashes:
 
 
 class Model:
-    """Log probabilities of all grams seen, in every language, one sorted hash array per order."""
+    """Log probabilities of all grams seen, in every language, one sorted hash array per order, in the memory of one machine; ``identify`` has no need of it."""
 
     def __init__(self, table: pd.DataFrame, order: int):
         self.order, self.langs = order, sorted(table["lang"].unique())
@@ -214,20 +221,14 @@ class Model:
             weight = np.zeros((len(open_), len(self.langs)), np.float32) if weight is None else weight[~hit]
             if not len(open_):
                 return out
+            if k == 1:  # the floor holds the weight of the empty context
+                break
             context, back = self.back[k]
-            c = context.find(_hash(missed[:, : k - 1])) if k > 1 else np.zeros(len(missed), np.int64)
+            c = context.find(_hash(missed[:, : k - 1]))
             weight = weight + np.where(c[:, None] >= 0, back[c], np.float32(0)) if len(back) else weight
         out[open_] = weight + self.floor.astype(np.float32)
         return out
 
-    def means(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """Mean log probability per character of each text in every language, and its letters."""
-        x, starts, n_letters = letters(texts)
-        lead = np.full(self.order - 1, 32, x.dtype)
-        lp = self.log_probability(np.concatenate([lead, x]))
-        total = np.add.reduceat(lp, starts[:-1], axis=0, dtype=np.float64) if len(texts) else np.zeros((0, len(self.langs)))
-        return total / np.maximum(np.diff(starts), 1)[:, None], n_letters
-
 
 def _posterior(means: np.ndarray, n_letters: np.ndarray, beta: float) -> np.ndarray:
     z = (means - means.max(axis=1, keepdims=True)) * beta * np.sqrt(np.maximum(n_letters, 1))[:, None]
@@ -235,36 +236,123 @@ def _posterior(means: np.ndarray, n_letters: np.ndarray, beta: float) -> np.ndar
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _predict(batches, shared):
-    model, beta, threshold = shared.value
+def windows(texts: list, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each character of each text after the order - 1 before it, spaces before a text; the offset of each text, and its number of letters."""
+    x, starts, n_letters = letters(texts)
+    lead = order - 1
+    at = np.arange(starts[-1]) + lead * np.repeat(np.arange(len(texts)), np.diff(starts))
+    padded = np.full(starts[-1] + lead * len(texts), 32, x.dtype)
+    padded[at + lead] = x[: starts[-1]]
+    return np.lib.stride_tricks.sliding_window_view(padded, order)[at] if len(at) else np.zeros((0, order), x.dtype), starts, n_letters
+
+
+def _wanted(key: tuple, docs: pa.Table, order: int) -> pa.Table:
+    """chunk, h: every string whose share or weight the texts of a chunk need."""
+    hashes, codes = np.zeros(0, np.uint64), np.zeros((0, order), np.uint32)
+    texts = docs.column("text").to_pylist()
+    for i, j in _slices(texts):
+        w, _, _ = windows(texts[i:j], order)
+        h, at = np.unique(_hash(w), return_index=True)
+        new = ~np.isin(h, hashes)
+        hashes, codes = np.concatenate([hashes, h[new]]), np.concatenate([codes, w[at[new]]])
+    parts = [_hash(codes[:, order - k : end]) for k in range(1, order + 1) for end in (order, order - 1)]
+    found = np.unique(np.concatenate(parts)).view(np.int64)
+    return pa.table({"chunk": pa.array(np.full(len(found), key[0].as_py(), np.int64)), "h": pa.array(found)})
+
+
+def _means(docs: pa.Table, rows: pa.Table, order: int, n_langs: int, n_chars: int) -> pa.Table:
+    """The first column of a chunk's documents, the mean log probability per character in every language, and the letters."""
+    keys, at = np.unique(rows.column("h").to_numpy().view(np.uint64), return_inverse=True)
+    find = SortedHashes(keys)
+    # the last row is that of a string no language has
+    share, back = np.zeros((len(keys) + 1, n_langs)), np.ones((len(keys) + 1, n_langs))
+    lang = rows.column("lang").to_numpy()
+    share[at, lang], back[at, lang] = rows.column("share").to_numpy(), rows.column("back").to_numpy()
+    texts, means, n_letters = docs.column("text").to_pylist(), [], []
+    for i, j in _slices(texts, max(1, SLICE // max(1, n_langs // 8))):
+        w, starts, n = windows(texts[i:j], order)
+        _, first, of = np.unique(_hash(w), return_index=True, return_inverse=True)
+        w = w[first]
+        p = np.full((len(w), n_langs), 1 / (n_chars + 1))
+        for k in range(1, order + 1):
+            p = share[find.find(_hash(w[:, order - k :]))] + back[find.find(_hash(w[:, order - k : order - 1]))] * p
+        total = np.add.reduceat(np.log(p)[of], starts[:-1], axis=0)
+        means.append(total / np.diff(starts)[:, None])
+        n_letters.append(n)
+    means, n_letters = np.concatenate(means or [np.zeros((0, n_langs))]), np.concatenate(n_letters or [np.zeros(0, np.int64)])
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(means) + 1) * n_langs, pa.int32()), pa.array(means.ravel()))
+    return pa.table([docs.column(1), lists, pa.array(n_letters, pa.int64())], [docs.column_names[1], "means", "n_letters"])
+
+
+def _hashed(batches, langs: list):
+    column = {x: i for i, x in enumerate(langs)}
     for batch in batches:
-        texts, langs, scores = batch.column(1).to_pylist(), [], []
-        for i, j in _slices(texts):
-            if not model.langs:
-                langs += ["und"] * (j - i)
-                scores += [0.0] * (j - i)
-                continue
-            means, n = model.means(texts[i:j])
-            p = _posterior(means, n, beta)
-            best = p.argmax(axis=1)
-            langs += [model.langs[b] if k else "und" for b, k in zip(best.tolist(), n.tolist(), strict=True)]
-            scores += np.where(n > 0, p.max(axis=1), 0.0).tolist()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array([s >= threshold and x != "und" for s, x in zip(scores, langs, strict=True)])], ["doc_id", "lang_pred", "score", "accepted"])
-
-
-def train(training: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS) -> Model:
+        rows = batch.to_pandas()
+        h = np.zeros(len(rows), np.uint64)
+        sizes = rows["gram"].str.len().to_numpy(np.int64)
+        for k in np.unique(sizes).tolist():
+            of = np.flatnonzero(sizes == k)
+            codes = np.frombuffer("".join(rows["gram"].to_numpy()[of].tolist()).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(of), k)
+            h[of] = _hash(codes)
+        lang = rows["lang"].map(column).to_numpy(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(lang), batch.column("share"), batch.column("back")], ["h", "lang", "share", "back"])
+
+
+class ModelTable:
+    """All rows of a model as a table (h, lang, share, back), with the names of its languages and the number of its characters."""
+
+    def __init__(self, training: DataFrame, order: int = ORDER):
+        counts = materialize(gram_counts(training, order), "gram-counts")
+        rows = materialize(kneser_ney(counts, order), "kneser-ney")
+        about = rows.filter("k = 1").agg(F.collect_set("lang").alias("langs"), F.count_distinct("gram").alias("chars")).first()
+        self.order, self.langs, self.n_chars = order, sorted(about["langs"]), about["chars"]
+        grams = rows.select("lang", "gram", "share", F.lit(None).cast("double").alias("back"))
+        contexts = rows.select("lang", F.expr("substring(gram, 1, k - 1)").alias("gram"), F.lit(None).cast("double").alias("share"), "back")
+        every = grams.unionByName(contexts).groupBy("lang", "gram").agg(F.coalesce(F.max("share"), F.lit(0.0)).alias("share"), F.coalesce(F.max("back"), F.lit(1.0)).alias("back"))
+        self.rows = materialize(every.mapInArrow(partial(_hashed, langs=self.langs), "h long, lang int, share double, back double"), "language-model")
+
+    def means(self, documents: DataFrame, key: str, chunk: int = CHUNK) -> DataFrame:
+        """key, means (per language), n_letters of documents (key, text)."""
+        docs = documents.select(key, F.col("text").cast("string").alias("text"))
+        size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+        docs = docs.select(F.pmod(F.xxhash64(key, "text"), F.lit(size // chunk + 1)).alias("chunk"), key, "text")
+        order, n_langs, n_chars = self.order, len(self.langs), self.n_chars
+        wanted = docs.groupBy("chunk").applyInArrow(lambda key, docs: _wanted(key, docs, order), "chunk long, h long")
+        # the model grows with the training texts and must not be taken for small
+        rows = wanted.join(self.rows.hint("merge"), "h").select("chunk", "h", "lang", "share", "back")
+        score = lambda docs, rows: _means(docs, rows, order, n_langs, n_chars)
+        kind = documents.schema[key].dataType.simpleString()
+        return docs.groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInArrow(score, f"{key} {kind}, means array<double>, n_letters long")
+
+
+def _stack(means: pa.Array, n_langs: int) -> np.ndarray:
+    return means.flatten().to_numpy(zero_copy_only=False).reshape(-1, n_langs)
+
+
+def _predict(batches, langs: list, beta: float, threshold: float):
+    for batch in batches:
+        n = batch.column(2).to_numpy()
+        p = _posterior(_stack(batch.column(1), len(langs)), n, beta)
+        found = [langs[b] if k else "und" for b, k in zip(p.argmax(axis=1).tolist(), n.tolist(), strict=True)]
+        scores = np.where(n > 0, p.max(axis=1), 0.0)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(scores), pa.array((scores >= threshold) & (n > 0))], ["doc_id", "lang_pred", "score", "accepted"])
+
+
+def train(training: DataFrame, order: int = ORDER) -> Model:
+    """The whole model on the driver, for training texts that are few."""
     counts = materialize(gram_counts(training, order), "gram-counts")
-    return Model(kneser_ney(counts, order, max_grams).toArrow().to_pandas(), order)
+    return Model(kneser_ney(counts, order).toArrow().to_pandas(), order)
 
 
-def calibrate(model: Model, training: DataFrame, rows: int = CALIBRATION_ROWS, precision: float = PRECISION) -> tuple[float, float]:
+def calibrate(model: ModelTable, training: DataFrame, rows: int = CALIBRATION_ROWS, precision: float = PRECISION) -> tuple[float, float]:
     """(temperature, least score) fitted on at most ``rows`` training texts."""
-    sample = training.filter("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang").limit(rows).toArrow().to_pandas()
-    if not model.langs or not len(sample):
+    sample = training.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string"), F.col("text").cast("string")).limit(rows).toArrow()
+    if not model.langs or not sample.num_rows:
         return 1.0, 0.0
-    parts = [model.means(sample["text"].tolist()[i:j]) for i, j in _slices(sample["text"].tolist())]
-    means, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    own = sample["lang"].map({x: i for i, x in enumerate(model.langs)}).fillna(-1).to_numpy(np.int64)
+    scored = model.means(training.sparkSession.createDataFrame(sample), "lang").toArrow().combine_chunks()
+    means = np.concatenate([_stack(c, len(model.langs)) for c in scored.column("means").chunks])
+    n = scored.column("n_letters").to_numpy()
+    own = scored.column("lang").to_pandas().map({x: i for i, x in enumerate(model.langs)}).fillna(-1).to_numpy(np.int64)
     use = (n > 0) & (own >= 0)
     means, n, own = means[use], n[use], own[use]
     if not len(own):
@@ -278,13 +366,15 @@ def calibrate(model: Model, training: DataFrame, rows: int = CALIBRATION_ROWS, p
     return float(beta), float(p.max(axis=1)[order][good[-1]]) if len(good) else 1.0
 
 
-def identify(documents: DataFrame, training: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS) -> DataFrame:
+def identify(documents: DataFrame, training: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, lang_pred, score, accepted."""
-    model = train(training, order, max_grams)
-    beta, threshold = calibrate(model, training)
-    shared = documents.sparkSession.sparkContext.broadcast((model, beta, threshold))
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", F.col("text").cast("string")).mapInArrow(partial(_predict, shared=shared), f"doc_id {kind}, lang_pred string, score double, accepted boolean")
+    model = ModelTable(training, order)
+    if not model.langs:
+        return documents.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
+    beta, threshold = calibrate(model, training)
+    predict = partial(_predict, langs=model.langs, beta=beta, threshold=threshold)
+    return model.means(documents, "doc_id").mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double, accepted boolean")
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:

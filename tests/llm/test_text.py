@@ -256,3 +256,31 @@ def test_the_most_frequent_grams_are_kept(spark):
     have = {r["gram"]: r["n"] for r in counts.filter("lang = 'p'").collect()}
     kept = set(table[(table.lang == "p") & (table.k == 2)].gram)
     assert 0 < len(kept) <= 3 and min(have[g] for g in kept) > max(n for g, n in have.items() if g not in kept)
+
+
+def test_all_grams_of_a_large_language_count(spark):
+    r = np.random.default_rng(4)
+    texts = ["".join(map(chr, r.integers(0x4E00, 0x9000, 2_000))) for _ in range(110)]
+    df = spark.createDataFrame([(t, "z") for t in texts], "text string, lang string")
+    counts = langid.gram_counts(df).cache()
+    assert counts.count() > 200_000
+    assert langid.kneser_ney(counts).filter("k = 4").count() == counts.count()
+    model = langid.ModelTable(df)
+    # of what follows a context that was seen, shares and the weight of the lower order add up to one
+    rows = langid.kneser_ney(counts).filter("k = 4").groupBy(F.substring("gram", 1, 3)).agg((F.sum("share") + F.first("back")).alias("mass"))
+    assert rows.filter("abs(mass - 1) > 1e-9").count() == 0
+    assert model.rows.filter("share > 0").count() >= counts.count()
+
+
+def test_scores_by_join_are_those_of_the_whole_model(spark):
+    df = spark.createDataFrame([(prose(i, 60), "pq"[i % 2]) for i in range(20)] + [("ÄÖ 好 straße", "p")], "text string, lang string")
+    asked = [(1, prose(3, 30)), (2, "zzz 好好 Ä"), (3, "a"), (4, ""), (5, None), (6, prose(99, 50)), (7, "x, y"), (None, prose(5, 10))]
+    whole = langid.train(df)
+    for chunk in (1 << 24, 40):
+        got = langid.ModelTable(df).means(spark.createDataFrame(asked, "doc_id long, text string"), "doc_id", chunk).collect()
+        assert len(got) == len(asked)
+        for r in got:
+            text = dict(asked)[r.doc_id]
+            w, starts, n = langid.windows([text], 4)
+            want = np.mean([whole.log_probability(x)[0] for x in w], axis=0)
+            assert r.n_letters == n[0] == sum(c.isalpha() for c in text or "") and np.allclose(r.means, want, atol=1e-4)
