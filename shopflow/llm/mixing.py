@@ -5,7 +5,9 @@ end to end into blocks of ``block`` words. A source's share of the mix is a
 number of slots; output shards of ``shard_slots`` slots draw how many of their
 slots each source fills, and a source's j-th slot takes the block that a
 pseudorandom permutation of the source's block indices names, a new permutation
-for each pass over the source. Blocks are then joined to slots by index.
+for each pass over the source. Blocks are joined to slots by index, texts are
+cut into the pieces that the blocks of slots name, and pieces are put together
+in their slots and written as shards: the words of each slot in order, by piece.
 
 A plain multinomial draw per shard would miss a small source's target by many
 per cent, so the draw is the multinomial one conditioned on every source's
@@ -13,14 +15,16 @@ total: slots are dealt to shards by one pseudorandom permutation of all slot
 numbers, which gives each shard multivariate hypergeometric counts. Every draw
 is a function of the seed and of indices, so reruns and retried tasks agree.
 
-Scale. Only (document, source, size) is shuffled, never text. Prefix sums run
+Scale. Texts are shuffled twice, as rows to their places and as pieces to their
+shards; a shard is ``shard_slots`` blocks at most. Prefix sums run
 over ``BUCKETS`` hash buckets per source, so a source with a third of all rows
 is spread over that many groups; the sums of buckets are a small table. Slots
 are made from rows of at most ``shard_slots`` each. Joins are on (source, block
 index), which no key dominates.
 
 Edge cases. Null or empty text has size 0 and is never taken. Rows with one
-doc_id in one source count as one document whose size is their sum. Null is a
+doc_id in one source count as one document whose words are theirs in order of
+text. Null is a
 source of its own, ordered last; a null doc_id is a document. With no words at
 all every target is 0. Columns other than doc_id, source and text are ignored.
 """
@@ -82,7 +86,7 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_
 
 
 def pack(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """rank, block, doc_id, first_word, words: which words of which document each block holds."""
+    """rank, block, doc_id, first_word, words, at: which words of which document each block holds, from which place on."""
     docs = sizes.filter("size > 0").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)))
     totals = docs.groupBy("rank", "bucket").agg(F.sum("size").alias("bucket_size"))
     ahead = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -92,7 +96,7 @@ def pack(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
     first, last = F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")
     docs = docs.select("rank", "doc_id", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     from_, to = F.greatest(F.col("start"), F.col("block") * block), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
-    return docs.select("rank", "block", "doc_id", (from_ - F.col("start")).alias("first_word"), (to - from_).alias("words"))
+    return docs.select("rank", "block", "doc_id", (from_ - F.col("start")).alias("first_word"), (to - from_).alias("words"), (from_ - F.col("block") * block).alias("at"))
 
 
 def _deal(batches, seed: int):
@@ -120,19 +124,41 @@ def slots(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
     return t.repartition("rank", "from").mapInPandas(partial(_deal, seed=seed), "rank long, block long, shard long, place long")
 
 
+def pieces(documents: DataFrame, ranked: DataFrame, dealt: DataFrame) -> DataFrame:
+    """shard, place, rank, block, at, doc_id, first_word, words, text: the words that each slot holds of each document, joined by single spaces."""
+    # a struct as key, since one of nulls equals another, and the window and the join share one exchange
+    places = dealt.groupBy(F.struct("rank", "doc_id").alias("key")).agg(F.collect_list(F.struct("first_word", "words", "at", "block", "shard", "place")).alias("places"))
+    ranks = ranked.select(F.col("source").alias("s"), "rank").distinct()
+    rows = documents.select("doc_id", F.col("source").alias("of"), F.col("text").cast("string").alias("text"))
+    rows = rows.join(F.broadcast(ranks), F.col("of").eqNullSafe(F.col("s"))).select(F.struct("rank", "doc_id").alias("key"), "text", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n")).filter("n > 0")
+    # where the words of a row begin among those of its document
+    ahead = F.sum("n").over(Window.partitionBy("key").orderBy("text").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("ahead", F.coalesce(ahead, F.lit(0).cast("long")))
+    both = rows.join(places.hint("merge"), "key").select("key", "ahead", "n", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w"), "places")
+    begin, end = "greatest(p.first_word, ahead)", "least(p.first_word + p.words, ahead + n)"
+    text = f"array_join(slice(w, cast({begin} - ahead + 1 AS int), cast({end} - {begin} AS int)), ' ')"
+    part = f"named_struct('shard', p.shard, 'place', p.place, 'block', p.block, 'at', p.at + {begin} - p.first_word, 'first_word', {begin}, 'words', {end} - {begin}, 'text', {text})"
+    here = "filter(places, p -> p.first_word < ahead + n AND p.first_word + p.words > ahead)"
+    return both.select("key", F.explode(F.expr(f"transform({here}, p -> {part})")).alias("x")).select("key.rank", "key.doc_id", "x.*")
+
+
 def mix_sources(documents: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_PASSES, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(mix, documents): the mix as rows of shard, place, doc_id, first_word, words; and doc_id, source, size, source_size, target, rank."""
+    """(mix, documents): the stored mix as rows of shard, place, rank, block, pieces; and doc_id, source, size, source_size, target, rank."""
     sizes = materialize(document_sizes(documents), "sizes")
-    targets = materialize(source_targets(sizes, weights, most), "targets")
-    ranked = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).select("doc_id", sizes["source"], "size", "source_size", "target", "rank")
+    targets = source_targets(sizes, weights, most)
+    of = targets.withColumnRenamed("source", "of")
+    ranked = sizes.join(of, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "size", "source_size", "target", "rank")
     # both sides grow with the input, but the slots come from a table of a row per source and would be taken for small
-    mixed = slots(targets, block, shard_slots, seed).hint("merge").join(pack(ranked, block), ["rank", "block"]).select("shard", "place", "rank", "doc_id", "first_word", "words")
-    return mixed, ranked
+    dealt = slots(targets, block, shard_slots, seed).hint("merge").join(pack(ranked, block), ["rank", "block"])
+    piece = F.struct("at", "doc_id", "first_word", "words", "text")
+    mixed = pieces(documents, ranked, dealt).repartition("shard").groupBy("shard", "place", "rank", "block").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
+    return materialize(mixed.sortWithinPartitions("shard", "place"), "shards", compression="zstd"), ranked
 
 
 def taken(mixed: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Per document the words that the mix takes, repeats counted."""
-    used: Column = F.sum("words").alias("taken")
-    by_doc = mixed.groupBy("rank", "doc_id").agg(used).withColumnsRenamed({"rank": "r", "doc_id": "d"})
+    """Per document the words that the stored mix holds, repeats counted."""
+    stored = mixed.select("rank", F.explode("pieces").alias("x")).select("rank", "x.doc_id", "x.text")
+    used: Column = F.sum(F.regexp_count("text", F.lit(WORD)).cast("long")).alias("taken")
+    by_doc = stored.groupBy("rank", "doc_id").agg(used).withColumnsRenamed({"rank": "r", "doc_id": "d"})
     out = ranked.join(by_doc, (F.col("rank") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")

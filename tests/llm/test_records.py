@@ -217,6 +217,27 @@ def test_mixing_of_nothing(spark, no_documents):
     assert [(r.target, r.taken) for r in mixing.taken(*mixing.mix_sources(silent)).collect()] == [(0.0, 0), (0.0, 0)]
 
 
+def test_mix_holds_the_words_of_its_documents(documents, corpus):
+    mixed, _ = mixing.mix_sources(documents, block=16)
+    words = collections.defaultdict(list)
+    for c in sorted(corpus, key=lambda c: (c[1] or "").encode()):
+        words[c[0], c[3]] += re.findall(r"[^\x20\x09-\x0D]+", c[1] or "")
+    names = sorted({c[3] for c in corpus}, key=lambda s: (s is None, s))
+    stored, seen = mixed.collect(), collections.defaultdict(set)
+    short = collections.Counter()
+    for r in stored:
+        assert [p.at for p in r.pieces] == [sum(q.words for q in r.pieces[:i]) for i in range(len(r.pieces))]
+        for p in r.pieces:
+            w = words[p.doc_id, names[r["rank"]]]
+            assert p.text.split(" ") == w[p.first_word : p.first_word + p.words] and p.words > 0
+            seen[r["rank"], r.block].add((p.doc_id, p.first_word, p.words))
+        if sum(p.words for p in r.pieces) != 16:
+            short[r["rank"], r.block] += 1
+    # only the last block of a source may be short, and a block holds the same wherever it is
+    assert len({rank for rank, _ in short}) == len(short)
+    assert all(len(x) == len(next(r for r in stored if (r["rank"], r.block) == k).pieces) for k, x in seen.items())
+
+
 @given(st.integers(1, 5000), st.integers(0, 2**32))
 @settings(max_examples=30, deadline=None)
 def test_permutations(n, key):
