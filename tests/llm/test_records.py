@@ -204,7 +204,7 @@ def test_mixing(documents, corpus):
         assert r.taken <= 3 * r["size"] and math.isclose(r.target, want[r.source], rel_tol=1e-9) and r.source_size == source[r.source]
         taken[r.source] += r.taken
     for s, t in want.items():
-        assert abs(taken[s] - t) <= 32
+        assert abs(taken[s] - t) <= 0.5
     again = mixing.taken(*mixing.mix_sources(documents.repartition(2), block=16)).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again))
     places = mixed.select("shard", "place", "rank").distinct()
@@ -233,13 +233,20 @@ def test_mix_holds_the_words_of_its_documents(documents, corpus):
             seen[r["rank"], r.block].add((p.doc_id, p.first_word, p.words))
         if sum(p.words for p in r.pieces) != 16:
             short[r["rank"], r.block] += 1
-    # only the last block of a source may be short, and a block holds the same wherever it is
-    assert len({rank for rank, _ in short}) == len(short)
-    assert all(len(x) == len(next(r for r in stored if (r["rank"], r.block) == k).pieces) for k, x in seen.items())
+    # short are the last block of a source, and one slot of it where its target ends inside a block
+    for rank in {rank for rank, _ in short}:
+        last = max(b for k, b in seen if k == rank)
+        assert sum(n for (k, b), n in short.items() if k == rank and b != last) <= 1
+    # a block holds the same wherever it is whole
+    for k, x in seen.items():
+        longest = max((r for r in stored if (r["rank"], r.block) == k), key=lambda r: sum(p.words for p in r.pieces))
+        assert {(p.doc_id, p.first_word) for p in longest.pieces} == {y[:2] for y in x}
 
 
 @given(st.integers(1, 5000), st.integers(0, 2**32))
 @settings(max_examples=30, deadline=None)
 def test_permutations(n, key):
-    got = mixing.permuted(np.arange(n), np.full(n, n), np.full(n, key, np.uint64))
+    sizes, keys = np.full(n, n), np.full(n, key, np.uint64)
+    got = mixing.permuted(np.arange(n), sizes, keys)
     assert sorted(got.tolist()) == list(range(n))
+    assert mixing.permuted(got, sizes, keys, inverse=True).tolist() == list(range(n))
