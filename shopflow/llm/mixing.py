@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .shared import materialize
 from .textbytes import NONSPACE, U, Words, chunks, mix, utf8
 
-BLOCK, SHARD_SLOTS, SEED, WEIGHTS, MOST_PASSES, PART_WORDS = 64, 4096, 17, (5, 2, 1), 3, 1 << 20
+BLOCK, SHARD_SLOTS, SEED, WEIGHTS, MOST_PASSES, PART_WORDS = 64, 4096, 17, (5, 2, 1), 3, 1 << 18
 #: Bytes of pieces that a task holds before it sends bundles on.
 HELD_BYTES = 24 << 20
 WORD = "[^\\x20\\x09-\\x0D]+"
