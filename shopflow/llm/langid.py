@@ -6,16 +6,18 @@ orders use continuation counts (in how many different left contexts a gram was
 seen), and absolute discounts are estimated from counts of counts. The model is
 a table of every string's hash with its share and back-off weight per language.
 A text goes to the language of the lowest cross-entropy per character; ``score``
-is the posterior of that language at a temperature fitted on training texts,
-and texts under the threshold that reaches ``precision`` on them have
-``accepted`` false.
+is the posterior of that language at a temperature fitted on training texts
+held out of the counts, and texts under the threshold that reaches
+``precision`` on them have ``accepted`` false.
 
 Scale. Tasks count grams in arrays and send their distinct grams; Spark sums
 and discounts them. Every gram is kept and none goes to the driver: texts are
-dealt to chunks of about ``CHUNK`` characters, the distinct strings of a chunk
-are joined to the model by hash, and each chunk is scored with the rows that it
-needs, so a task's memory depends on a chunk and not on the model. Temperature
-and threshold are fitted on at most ``calibration_rows`` texts.
+dealt to chunks of about ``CHUNK`` characters as compressed bundles of their
+letters, the distinct strings of a chunk are joined to the model by hash, and
+each chunk is scored from a sorted hash array of the rows that it needs, so a
+task's memory depends on a chunk and not on the model. Temperature and
+threshold are fitted on at most ``calibration_rows`` texts, those of the least
+hashes, and on no more than one in twenty.
 
 Edge cases. Spaces stand before each text, so a score does not depend on the
 texts beside it. A null text, or one without a letter, is ``und`` with score 0. Rows
@@ -26,23 +28,24 @@ text is ``und``. Rows repeat as they come; other columns are ignored.
 from functools import lru_cache, partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize
 from .textbytes import U, mix
 
 ORDER, CALIBRATION_ROWS, PRECISION = 4, 2_000, 0.99
-SLICE, CHUNK = 1 << 20, 16 << 20
+SLICE, CHUNK = 1 << 20, 32 << 20
+#: A model row: what a string has in one language.
+ENTRY = np.dtype([("lang", "<u2"), ("share", "<f4"), ("back", "<f4")])
 
 
 @lru_cache
 def folded() -> np.ndarray:
     """Code point -> lower-cased letter, or a space for what isn't a letter."""
     out = np.full(0x110000, 32, np.uint32)
-    for c in range(0x30000):
+    for c in range(0x110000):
         ch = chr(c)
         if ch.isalpha():
             low = ch.lower()
@@ -77,42 +80,38 @@ def _slices(texts: list, most: int = SLICE):
 
 def _count(batches, order: int):
     """lang, gram, n: what this task's rows hold."""
-    ids = np.zeros(0x110000, np.uint16)  # characters seen by this task, numbered from 1; later ones beyond 65,535 share 0
-    chars, held = ["�"], {}
+    held: dict = {}
 
     def merged(parts):
-        keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        keys, at = np.unique(keys, return_inverse=True)
-        return [(keys, np.bincount(at, n).astype(np.int64))]
+        h, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
+        codes = np.concatenate([p[1] for p in parts])
+        h, first, at = np.unique(h, return_index=True, return_inverse=True)
+        return [(h, codes[first], np.bincount(at, n).astype(np.int64))]
 
     for batch in batches:
         for lang, rows in batch.to_pandas().groupby("lang")["text"]:
             rows = rows.tolist()
             for i, j in _slices(rows):
                 x, starts, _ = letters(rows[i:j])
-                for c in np.unique(x[ids[x] == 0]).tolist():
-                    if len(chars) < 65536:
-                        ids[c] = len(chars)
-                        chars.append(chr(c))
-                x = ids[x].astype(np.uint64)
                 if len(x) < order:
                     continue
-                key = x[: len(x) - order + 1].copy()
-                for k in range(1, order):
-                    key = key << U(16) | x[k : len(x) - order + 1 + k]
-                across = np.zeros(len(x) + order, bool)
+                inside = np.ones(len(x) - order + 1, bool)
                 for k in range(1, order):  # grams that would run into the next text
-                    across[np.maximum(starts[1:] - k, 0)] = True
+                    at = starts[1:] - k
+                    inside[at[(at >= 0) & (at < len(inside))]] = False
+                grams = np.lib.stride_tricks.sliding_window_view(x, order)
+                h, first, n = np.unique(_hash(grams)[inside], return_index=True, return_counts=True)
                 parts = held.setdefault(lang, [])
-                parts.append(np.unique(key[~across[: len(key)]], return_counts=True))
+                parts.append((h, grams[np.flatnonzero(inside)[first]], n))
                 if len(parts) > 12:
                     held[lang] = merged(parts)
     for lang, parts in held.items():
-        ((keys, n),) = merged(parts)
-        for i in range(0, len(keys), 50_000):
-            k = keys[i : i + 50_000]
-            grams = ["".join(chars[c] for c in row) for row in np.stack([k >> U(16 * (order - 1 - j)) & U(0xFFFF) for j in range(order)], axis=1).tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(grams, pa.string()), pa.array(n[i : i + 50_000])], ["lang", "gram", "n"])
+        ((_, codes, n),) = merged(parts)
+        for i in range(0, len(n), 50_000):
+            part = codes[i : i + 50_000]
+            joined = part.astype("<u4").tobytes().decode("utf-32-le", "replace")
+            grams = [joined[k * order : (k + 1) * order] for k in range(len(part))]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(grams, pa.string()), pa.array(n[i : i + 50_000])], ["lang", "gram", "n"])
 
 
 def gram_counts(training: DataFrame, order: int = ORDER) -> DataFrame:
@@ -121,25 +120,16 @@ def gram_counts(training: DataFrame, order: int = ORDER) -> DataFrame:
     return rows.mapInArrow(partial(_count, order=order), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER, max_grams: int | None = None) -> DataFrame:
-    """k, lang, gram, share, back: of a gram of k characters max(n - D, 0) over its context's total, and the weight of the next lower order after that context.
-
-    All grams; only a caller that names ``max_grams`` gets the most frequent ones of each language and order, grams of one count together.
-    """
+def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """k, lang, gram, share, back: of each gram of k characters max(n - D, 0) over its context's total, and the weight of the next lower order after that context."""
     level, out = counts, None
     for k in range(order, 0, -1):
         few = level.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"))
         discount = few.select("lang", F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5).alias("d"))
         context = F.substring("gram", 1, k - 1).alias("context")
         totals = level.groupBy("lang", context).agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).join(F.broadcast(discount), "lang")
-        kept = level.select("lang", "gram", "n", context)
-        if max_grams is not None:
-            # the least count that still keeps to max_grams, found on the table of counts and not on the grams
-            sizes = level.groupBy("lang", "n").agg(F.count("*").alias("grams"))
-            so_far = Window.partitionBy("lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
-            least = sizes.withColumn("grams", F.sum("grams").over(so_far)).filter(F.col("grams") <= max_grams).groupBy("lang").agg(F.min("n").alias("least"))
-            kept = kept.join(F.broadcast(least), "lang").filter(F.col("n") >= F.col("least")).drop("least")
-        rows = kept.join(totals, ["lang", "context"]).select(F.lit(k).alias("k"), "lang", "gram", (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("share"), (F.col("d") * F.col("kinds") / F.col("total")).alias("back"))
+        rows = level.select("lang", "gram", "n", context).join(totals, ["lang", "context"])
+        rows = rows.select(F.lit(k).alias("k"), "lang", "gram", (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("share"), (F.col("d") * F.col("kinds") / F.col("total")).alias("back"))
         out = rows if out is None else out.unionByName(rows)
         level = level.groupBy("lang", F.substring("gram", 2, k - 1).alias("gram")).agg(F.count("*").alias("n"))
     return out
@@ -172,157 +162,149 @@ class SortedHashes:
         return np.where((self.padded[at] == h) & (at < len(self.keys)), at, -1)
 
 
-class Model:
-    """Log probabilities of all grams seen, in every language, one sorted hash array per order, in the memory of one machine; ``identify`` has no need of it."""
-
-    def __init__(self, table: pd.DataFrame, order: int):
-        self.order, self.langs = order, sorted(table["lang"].unique())
-        n_langs = len(self.langs)
-        column = {x: i for i, x in enumerate(self.langs)}
-        self.find, self.logp, self.back = {}, {}, {}
-        lower_find = lower_p = None
-        for k in range(1, order + 1):
-            part = table[table["k"] == k]
-            grams, at = np.unique(part["gram"].to_numpy(str), return_inverse=True) if len(part) else (np.zeros(0, "U1"), np.zeros(0, int))
-            codes = np.frombuffer("".join(g.ljust(k, "\0") for g in grams.tolist()).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, k)
-            find = SortedHashes(_hash(codes))
-            rank = np.empty(len(grams), np.int64)
-            rank[find.order] = np.arange(len(grams))
-            codes = codes[find.order]
-            lang = part["lang"].map(column).to_numpy(np.int64)
-            share = np.zeros((len(grams), n_langs))
-            share[rank[at], lang] = part["share"]
-            # the weight of the lower order belongs to the context: all grams of one context share it
-            context = SortedHashes(np.unique(_hash(codes[:, : k - 1]))) if k > 1 else SortedHashes(np.zeros(min(1, len(grams)), np.uint64))
-            of = context.find(_hash(codes[:, : k - 1])) if k > 1 else np.zeros(len(grams), np.int64)
-            back = np.ones((len(context.keys), n_langs))
-            back[of[rank[at]], lang] = part["back"]
-            if k == 1:
-                p = share + back[of] / (len(grams) + 1)
-                self.floor = np.log(back.min(axis=0, initial=1.0) / (len(grams) + 1))
-            else:
-                below = lower_find.find(_hash(codes[:, 1:]))
-                p = share + back[of] * np.where(below[:, None] >= 0, lower_p[below], np.exp(self.floor))
-            self.find[k], self.logp[k], self.back[k] = find, np.log(np.maximum(p, 1e-12)).astype(np.float32), (context, np.log(np.maximum(back, 1e-9)).astype(np.float32))
-            lower_find, lower_p = find, p
-
-    def log_probability(self, x: np.ndarray) -> np.ndarray:
-        """Of each character from place order - 1 on, in every language."""
-        n = len(x) - self.order + 1
-        out, open_, weight = np.empty((max(n, 0), len(self.langs)), np.float32), np.arange(max(n, 0)), None
-        windows = np.lib.stride_tricks.sliding_window_view(x, self.order) if n > 0 else np.zeros((0, self.order), np.uint32)
-        for k in range(self.order, 0, -1):
-            own = windows[open_, self.order - k :] if k < self.order else windows
-            at = self.find[k].find(_hash(own))
-            hit = at >= 0
-            found = self.logp[k][at[hit]]
-            out[open_[hit]] = found if weight is None else found + weight[hit]
-            open_, missed = open_[~hit], own[~hit]
-            weight = np.zeros((len(open_), len(self.langs)), np.float32) if weight is None else weight[~hit]
-            if not len(open_):
-                return out
-            if k == 1:  # the floor holds the weight of the empty context
-                break
-            context, back = self.back[k]
-            c = context.find(_hash(missed[:, : k - 1]))
-            weight = weight + np.where(c[:, None] >= 0, back[c], np.float32(0)) if len(back) else weight
-        out[open_] = weight + self.floor.astype(np.float32)
-        return out
-
-
 def _posterior(means: np.ndarray, n_letters: np.ndarray, beta: float) -> np.ndarray:
     z = (means - means.max(axis=1, keepdims=True)) * beta * np.sqrt(np.maximum(n_letters, 1))[:, None]
     e = np.exp(z)
     return e / e.sum(axis=1, keepdims=True)
 
 
-def windows(texts: list, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each character of each text after the order - 1 before it, spaces before a text; the offset of each text, and its number of letters."""
-    x, starts, n_letters = letters(texts)
-    lead = order - 1
-    at = np.arange(starts[-1]) + lead * np.repeat(np.arange(len(texts)), np.diff(starts))
-    padded = np.full(starts[-1] + lead * len(texts), 32, x.dtype)
-    padded[at + lead] = x[: starts[-1]]
-    return np.lib.stride_tricks.sliding_window_view(padded, order)[at] if len(at) else np.zeros((0, order), x.dtype), starts, n_letters
+def _bundle(batches, most: int = CHUNK):
+    """chunk, ids, sizes, n_letters, texts: the letters of a task's texts, one compressed row for each chunk."""
+    held, size = {}, 0
 
+    def send():
+        zstd = pa.Codec("zstd", 3)
+        for chunk, parts in sorted(held.items()):
+            ids, sizes, n, texts = zip(*parts, strict=True)
+            texts = b"".join(texts)
+            arrays = [pa.array([chunk], pa.int64()), pa.array([sum(ids, [])], pa.list_(kind)), pa.array([np.concatenate(sizes)], pa.list_(pa.int32())), pa.array([np.concatenate(n)], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([len(texts)], pa.int32()), pa.array([zstd.compress(texts, asbytes=True)], pa.binary())], ["chunk", "ids", "sizes", "n_letters", "n_bytes", "texts"])
 
-def _wanted(key: tuple, docs: pa.Table, order: int) -> pa.Table:
+    for batch in batches:
+        kind = batch.schema.field(1).type
+        chunks = batch.column(0).to_numpy()
+        for chunk in np.unique(chunks).tolist():
+            rows = batch.take(pa.array(np.flatnonzero(chunks == chunk)))
+            ids, texts = rows.column(1).to_pylist(), rows.column(2).to_pylist()
+            for i, j in _slices(texts):
+                x, starts, n = letters(texts[i:j])
+                folded_ = x[: starts[-1]].astype("<u4").tobytes().decode("utf-32-le", "replace").encode()
+                held.setdefault(chunk, []).append((ids[i:j], np.diff(starts).astype(np.int32), n.astype(np.int32), folded_))
+                size += len(folded_)
+        if size > most:
+            yield from send()
+            held, size = {}, 0
+    yield from send()
+
+
+_BUNDLE = "chunk long, ids array<{kind}>, sizes array<int>, n_letters array<int>, n_bytes int, texts binary"
+
+
+def _texts(bundles: pa.Table, order: int, most: int = SLICE):
+    """(ids, windows, starts, n_letters) of a chunk's texts: each character after the order - 1 before it, spaces before a text."""
+    zstd, lead = pa.Codec("zstd"), order - 1
+    for row in bundles.select(["ids", "sizes", "n_letters", "n_bytes", "texts"]).to_pylist():
+        raw = zstd.decompress(row["texts"], row["n_bytes"], asbytes=True).decode()
+        ends, i, n = np.cumsum(row["sizes"]), 0, np.array(row["n_letters"], np.int64)
+        while i < len(ends):
+            begin = int(ends[i - 1]) if i else 0
+            j = max(i + 1, int(np.searchsorted(ends, begin + most, "right")))
+            x = np.frombuffer(raw[begin : int(ends[j - 1])].encode("utf-32-le"), np.uint32)
+            starts = np.concatenate([[0], ends[i:j] - begin])
+            at = np.arange(len(x)) + lead * np.repeat(np.arange(j - i), np.diff(starts))
+            padded = np.full(len(x) + lead * (j - i), 32, x.dtype)
+            padded[at + lead] = x
+            yield row["ids"][i:j], np.lib.stride_tricks.sliding_window_view(padded, order)[at], starts, n[i:j]
+            i = j
+
+
+def _wanted(key: tuple, bundles: pa.Table, order: int) -> pa.Table:
     """chunk, h: every string whose share or weight the texts of a chunk need."""
     hashes, codes = np.zeros(0, np.uint64), np.zeros((0, order), np.uint32)
-    texts = docs.column("text").to_pylist()
-    for i, j in _slices(texts):
-        w, _, _ = windows(texts[i:j], order)
+    for _, w, _, _ in _texts(bundles, order):
         h, at = np.unique(_hash(w), return_index=True)
         new = ~np.isin(h, hashes)
         hashes, codes = np.concatenate([hashes, h[new]]), np.concatenate([codes, w[at[new]]])
-    parts = [_hash(codes[:, order - k : end]) for k in range(1, order + 1) for end in (order, order - 1)]
+    parts = [np.unique(_hash(codes[:, order - k : end])) for k in range(1, order + 1) for end in (order, order - 1)]
     found = np.unique(np.concatenate(parts)).view(np.int64)
     return pa.table({"chunk": pa.array(np.full(len(found), key[0].as_py(), np.int64)), "h": pa.array(found)})
 
 
-def _means(docs: pa.Table, rows: pa.Table, order: int, n_langs: int, n_chars: int) -> pa.Table:
-    """The first column of a chunk's documents, the mean log probability per character in every language, and the letters."""
-    keys, at = np.unique(rows.column("h").to_numpy().view(np.uint64), return_inverse=True)
-    find = SortedHashes(keys)
+def _means(bundles: pa.Table, rows: pa.Table, order: int, n_langs: int, n_chars: int, key: str) -> pa.Table:
+    """The keys of a chunk's texts, the mean log probability per character in every language, and the letters."""
+    hashes = rows.column("h").to_numpy().view(np.uint64)
+    find = SortedHashes(hashes)
+    held = rows.column("entries").to_pylist()
+    entries = np.frombuffer(b"".join(held), ENTRY)
+    at = np.empty(len(hashes), np.int64)
+    at[find.order] = np.arange(len(hashes))
+    at = np.repeat(at, [len(e) // ENTRY.itemsize for e in held])
     # the last row is that of a string no language has
-    share, back = np.zeros((len(keys) + 1, n_langs)), np.ones((len(keys) + 1, n_langs))
-    lang = rows.column("lang").to_numpy()
-    share[at, lang], back[at, lang] = rows.column("share").to_numpy(), rows.column("back").to_numpy()
-    texts, means, n_letters = docs.column("text").to_pylist(), [], []
-    for i, j in _slices(texts, max(1, SLICE // max(1, n_langs // 8))):
-        w, starts, n = windows(texts[i:j], order)
+    share, back = np.zeros((len(hashes) + 1, n_langs), np.float32), np.ones((len(hashes) + 1, n_langs), np.float32)
+    share[at, entries["lang"]], back[at, entries["lang"]] = entries["share"], entries["back"]
+    ids, means, n_letters = [], [np.zeros((0, n_langs))], [np.zeros(0, np.int64)]
+    for own, w, starts, n in _texts(bundles, order, max(1, SLICE // max(1, n_langs // 8))):
         _, first, of = np.unique(_hash(w), return_index=True, return_inverse=True)
         w = w[first]
         p = np.full((len(w), n_langs), 1 / (n_chars + 1))
         for k in range(1, order + 1):
             p = share[find.find(_hash(w[:, order - k :]))] + back[find.find(_hash(w[:, order - k : order - 1]))] * p
         total = np.add.reduceat(np.log(p)[of], starts[:-1], axis=0)
+        ids += own
         means.append(total / np.diff(starts)[:, None])
         n_letters.append(n)
-    means, n_letters = np.concatenate(means or [np.zeros((0, n_langs))]), np.concatenate(n_letters or [np.zeros(0, np.int64)])
+    means, n_letters = np.concatenate(means), np.concatenate(n_letters)
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(means) + 1) * n_langs, pa.int32()), pa.array(means.ravel()))
-    return pa.table([docs.column(1), lists, pa.array(n_letters, pa.int64())], [docs.column_names[1], "means", "n_letters"])
+    return pa.table([pa.array(ids, bundles.schema.field("ids").type.value_type), lists, pa.array(n_letters, pa.int64())], [key, "means", "n_letters"])
 
 
-def _hashed(batches, langs: list):
+def _packed(batches, langs: list):
+    """h, entries: a string's hash, and what it has in each of its languages."""
     column = {x: i for i, x in enumerate(langs)}
     for batch in batches:
-        rows = batch.to_pandas()
-        h = np.zeros(len(rows), np.uint64)
-        sizes = rows["gram"].str.len().to_numpy(np.int64)
+        grams, own = batch.column("gram").to_pylist(), batch.column("own")
+        h, sizes = np.zeros(len(grams), np.uint64), np.array([len(g) for g in grams], np.int64)
         for k in np.unique(sizes).tolist():
             of = np.flatnonzero(sizes == k)
-            codes = np.frombuffer("".join(rows["gram"].to_numpy()[of].tolist()).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(of), k)
+            codes = np.frombuffer("".join(grams[i] for i in of.tolist()).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(of), k)
             h[of] = _hash(codes)
-        lang = rows["lang"].map(column).to_numpy(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(lang), batch.column("share"), batch.column("back")], ["h", "lang", "share", "back"])
+        flat, ends = own.flatten(), own.offsets.to_numpy() - own.offsets[0].as_py()
+        entries = np.zeros(len(flat), ENTRY)
+        entries["lang"] = [column[x] for x in flat.field("lang").to_pylist()]
+        entries["share"], entries["back"] = flat.field("share").to_numpy(), flat.field("back").to_numpy()
+        raw = pa.BinaryArray.from_buffers(pa.binary(), len(grams), [None, pa.py_buffer((ends * ENTRY.itemsize).astype(np.int32)), pa.py_buffer(entries.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), raw], ["h", "entries"])
 
 
 class ModelTable:
-    """All rows of a model as a table (h, lang, share, back), with the names of its languages and the number of its characters."""
+    """All rows of a model as a table (h, entries), with the names of its languages and the number of its characters."""
 
     def __init__(self, training: DataFrame, order: int = ORDER):
-        counts = materialize(gram_counts(training, order), "gram-counts")
-        rows = materialize(kneser_ney(counts, order), "kneser-ney")
+        counts = materialize(gram_counts(training, order), "gram-counts", compression="zstd")
+        rows = materialize(kneser_ney(counts, order), "kneser-ney", compression="zstd")
         about = rows.filter("k = 1").agg(F.collect_set("lang").alias("langs"), F.count_distinct("gram").alias("chars")).first()
         self.order, self.langs, self.n_chars = order, sorted(about["langs"]), about["chars"]
-        grams = rows.select("lang", "gram", "share", F.lit(None).cast("double").alias("back"))
-        contexts = rows.select("lang", F.expr("substring(gram, 1, k - 1)").alias("gram"), F.lit(None).cast("double").alias("share"), "back")
+        grams = rows.select("lang", "gram", F.col("share").cast("float").alias("share"), F.lit(None).cast("float").alias("back"))
+        contexts = rows.select("lang", F.expr("substring(gram, 1, k - 1)").alias("gram"), F.col("back").cast("float").alias("back")).distinct()
+        contexts = contexts.select("lang", "gram", F.lit(None).cast("float").alias("share"), "back")
         every = grams.unionByName(contexts).groupBy("lang", "gram").agg(F.coalesce(F.max("share"), F.lit(0.0)).alias("share"), F.coalesce(F.max("back"), F.lit(1.0)).alias("back"))
-        self.rows = materialize(every.mapInArrow(partial(_hashed, langs=self.langs), "h long, lang int, share double, back double"), "language-model")
+        own = every.groupBy("gram").agg(F.collect_list(F.struct("lang", "share", "back")).alias("own"))  # one entry a language
+        self.rows = materialize(own.mapInArrow(partial(_packed, langs=self.langs), "h long, entries binary"), "language-model", compression="zstd")
 
     def means(self, documents: DataFrame, key: str, chunk: int = CHUNK) -> DataFrame:
         """key, means (per language), n_letters of documents (key, text)."""
         docs = documents.select(key, F.col("text").cast("string").alias("text"))
         size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-        docs = docs.select(F.pmod(F.xxhash64(key, "text"), F.lit(size // chunk + 1)).alias("chunk"), key, "text")
         order, n_langs, n_chars = self.order, len(self.langs), self.n_chars
-        wanted = docs.groupBy("chunk").applyInArrow(lambda key, docs: _wanted(key, docs, order), "chunk long, h long")
-        # the model grows with the training texts and must not be taken for small
-        rows = wanted.join(self.rows.hint("merge"), "h").select("chunk", "h", "lang", "share", "back")
-        score = lambda docs, rows: _means(docs, rows, order, n_langs, n_chars)
+        chunk = max(1, chunk // max(1, n_langs // 16))
         kind = documents.schema[key].dataType.simpleString()
-        return docs.groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInArrow(score, f"{key} {kind}, means array<double>, n_letters long")
+        docs = docs.select(F.pmod(F.xxhash64(key, "text"), F.lit(size // chunk + 1)).alias("chunk"), key, "text")
+        bundles = docs.mapInArrow(_bundle, _BUNDLE.format(kind=kind)).repartition("chunk")
+        wanted = bundles.groupBy("chunk").applyInArrow(lambda key, rows: _wanted(key, rows, order), "chunk long, h long")
+        # the model grows with the training texts and must not be taken for small
+        rows = wanted.join(self.rows.hint("merge"), "h").select("chunk", "h", "entries")
+        score = lambda bundles, rows: _means(bundles, rows, order, n_langs, n_chars, key)
+        return bundles.groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInArrow(score, f"{key} {kind}, means array<double>, n_letters long")
 
 
 def _stack(means: pa.Array, n_langs: int) -> np.ndarray:
@@ -338,18 +320,25 @@ def _predict(batches, langs: list, beta: float, threshold: float):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(scores), pa.array((scores >= threshold) & (n > 0))], ["doc_id", "lang_pred", "score", "accepted"])
 
 
-def train(training: DataFrame, order: int = ORDER) -> Model:
-    """The whole model on the driver, for training texts that are few."""
-    counts = materialize(gram_counts(training, order), "gram-counts")
-    return Model(kneser_ney(counts, order).toArrow().to_pandas(), order)
+def split(training: DataFrame, rows: int = CALIBRATION_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """(rows to count, rows to calibrate on): of the rows with a language and a text those of the least hashes, at most ``rows`` and one in twenty."""
+    keys = [c for c in ("doc_id", "text") if c in training.columns]
+    usable = training.filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("_at", F.xxhash64(*keys))
+    some = min(rows, usable.count() // 20)
+    if not some:
+        return usable, None
+    last = usable.select("_at").orderBy("_at").limit(some).agg(F.max("_at")).first()[0]
+    sample = usable.filter(F.col("_at") <= last).orderBy("_at").limit(some)
+    return usable.filter(F.col("_at") > last), sample.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
 
-def calibrate(model: ModelTable, training: DataFrame, rows: int = CALIBRATION_ROWS, precision: float = PRECISION) -> tuple[float, float]:
-    """(temperature, least score) fitted on at most ``rows`` training texts."""
-    sample = training.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string"), F.col("text").cast("string")).limit(rows).toArrow()
-    if not model.langs or not sample.num_rows:
+def calibrate(model: ModelTable, sample: DataFrame | None, precision: float = PRECISION) -> tuple[float, float]:
+    """(temperature, least score) fitted on labelled texts that the model has not counted."""
+    if not model.langs or sample is None:
+        return 1.0, 0.0
+    scored = model.means(sample, "lang").toArrow().combine_chunks()
+    if not scored.num_rows:
         return 1.0, 0.0
-    scored = model.means(training.sparkSession.createDataFrame(sample), "lang").toArrow().combine_chunks()
     means = np.concatenate([_stack(c, len(model.langs)) for c in scored.column("means").chunks])
     n = scored.column("n_letters").to_numpy()
     own = scored.column("lang").to_pandas().map({x: i for i, x in enumerate(model.langs)}).fillna(-1).to_numpy(np.int64)
@@ -360,7 +349,7 @@ def calibrate(model: ModelTable, training: DataFrame, rows: int = CALIBRATION_RO
     loss = {b: -np.log(np.maximum(_posterior(means, n, b)[np.arange(len(own)), own], 1e-9)).mean() for b in 2.0 ** np.arange(-4, 5)}
     beta = min(loss, key=loss.get)
     p = _posterior(means, n, beta)
-    order = np.argsort(-p.max(axis=1))
+    order = np.lexsort((own, -p.max(axis=1)))
     right = np.cumsum((p.argmax(axis=1) == own)[order]) / np.arange(1, len(own) + 1)
     good = np.flatnonzero(right >= precision)
     return float(beta), float(p.max(axis=1)[order][good[-1]]) if len(good) else 1.0
@@ -369,10 +358,11 @@ def calibrate(model: ModelTable, training: DataFrame, rows: int = CALIBRATION_RO
 def identify(documents: DataFrame, training: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, lang_pred, score, accepted."""
     kind = documents.schema["doc_id"].dataType.simpleString()
-    model = ModelTable(training, order)
+    counted, sample = split(training)
+    model = ModelTable(counted, order)
     if not model.langs:
         return documents.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
-    beta, threshold = calibrate(model, training)
+    beta, threshold = calibrate(model, sample)
     predict = partial(_predict, langs=model.langs, beta=beta, threshold=threshold)
     return model.means(documents, "doc_id").mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double, accepted boolean")
 

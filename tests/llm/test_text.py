@@ -140,16 +140,56 @@ def test_toxicity_edge_cases(documents, no_documents, spark, corpus):
     assert toxicity.keep_clean(documents, model).columns == documents.columns
 
 
-def test_model_is_a_distribution(spark):
-    df = spark.createDataFrame([(f"abc abd bcd {x}", lang) for x in ("abcd", "bad cab", "dab") for lang in ("p", "q")], "text string, lang string")
-    model = langid.train(df, order=3)
-    for context in ("ab", "a ", "zz"):
-        total = np.zeros(2)
-        letters = [g for g in " abcd"]
-        for c in letters:
-            total += np.exp(model.log_probability(np.array([ord(x) for x in context + c], np.uint32))[-1])
-        # what is left goes to characters that were never seen
-        assert (total <= 1.0001).all() and (total > 0.75).all()
+class PlainKneserNey:
+    """Interpolated Kneser-Ney of one language, as in the textbook."""
+
+    def __init__(self, texts, order, n_chars):
+        self.order, self.n_chars = order, n_chars
+        counts = collections.Counter()
+        for t in texts:
+            x = folded_by_hand(t)
+            counts.update(x[i : i + order] for i in range(len(x) - order + 1))
+        self.levels = {}
+        for k in range(order, 0, -1):
+            few = collections.Counter(counts.values())
+            d = few[1] / (few[1] + 2 * few[2]) if few[1] and few[2] else 0.5
+            after = collections.defaultdict(dict)
+            for g, n in counts.items():
+                after[g[:-1]][g[-1]] = n
+            self.levels[k] = d, dict(after)
+            counts = collections.Counter(g[1:] for g in counts)
+
+    def p(self, context, c):
+        out = 1 / (self.n_chars + 1)
+        for k in range(1, self.order + 1):
+            d, after = self.levels[k]
+            seen = after.get(context[len(context) - k + 1 :])
+            if seen:
+                total = sum(seen.values())
+                out = max(seen.get(c, 0) - d, 0) / total + d * len(seen) / total * out
+        return out
+
+
+def folded_by_hand(text):
+    return re.sub(" +", " ", " " + "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text))
+
+
+def test_model_equals_plain_kneser_ney_and_sums_to_one(spark):
+    texts = {"p": ["abc abd bcd abcd", "bad cab!", "Dab, dab"], "q": ["cc dd ca", "\U00030000\U00030001 abc"]}
+    df = spark.createDataFrame([(t, lang) for lang, ts in texts.items() for t in ts], "text string, lang string")
+    model = langid.ModelTable(df, order=3)
+    chars = {c for ts in texts.values() for t in ts for c in folded_by_hand(t)[2:]}
+    assert model.langs == ["p", "q"] and model.n_chars == len(chars)
+    plain = {lang: PlainKneserNey(ts, 3, model.n_chars) for lang, ts in texts.items()}
+    asked = ["abc dab", "cab zz", "a", "\U00030000 cc", "  d  a b"]
+    for r in model.means(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), "doc_id").collect():
+        x = "  " + folded_by_hand(asked[r.doc_id])
+        for j, lang in enumerate(model.langs):
+            want = np.mean([np.log(plain[lang].p(x[i - 2 : i], x[i])) for i in range(2, len(x))])
+            assert r["means"][j] == pytest.approx(want, abs=1e-5)
+    for lang, own in plain.items():  # what is left goes to a character that no language has
+        for context in ("ab", "a ", "zz", "  ", "\U00030000\U00030001"):
+            assert sum(own.p(context, c) for c in chars) + own.p(context, "?") == pytest.approx(1.0)
 
 
 def test_higher_orders_use_discounted_counts(spark):
@@ -249,15 +289,6 @@ def test_registered_queries():
     assert isinstance(toxicity.known_stems(), pd.DataFrame)
 
 
-def test_the_most_frequent_grams_are_kept(spark):
-    df = spark.createDataFrame([("abab abab abab abac", "p"), ("xy", "q")], "text string, lang string")
-    counts = langid.gram_counts(df, 2)
-    table = langid.kneser_ney(counts, 2, max_grams=3).toPandas()
-    have = {r["gram"]: r["n"] for r in counts.filter("lang = 'p'").collect()}
-    kept = set(table[(table.lang == "p") & (table.k == 2)].gram)
-    assert 0 < len(kept) <= 3 and min(have[g] for g in kept) > max(n for g, n in have.items() if g not in kept)
-
-
 def test_all_grams_of_a_large_language_count(spark):
     r = np.random.default_rng(4)
     texts = ["".join(map(chr, r.integers(0x4E00, 0x9000, 2_000))) for _ in range(110)]
@@ -269,18 +300,29 @@ def test_all_grams_of_a_large_language_count(spark):
     # of what follows a context that was seen, shares and the weight of the lower order add up to one
     rows = langid.kneser_ney(counts).filter("k = 4").groupBy(F.substring("gram", 1, 3)).agg((F.sum("share") + F.first("back")).alias("mass"))
     assert rows.filter("abs(mass - 1) > 1e-9").count() == 0
-    assert model.rows.filter("share > 0").count() >= counts.count()
+    assert model.rows.count() >= counts.count()
 
 
-def test_scores_by_join_are_those_of_the_whole_model(spark):
+def test_scores_do_not_depend_on_chunks(spark):
     df = spark.createDataFrame([(prose(i, 60), "pq"[i % 2]) for i in range(20)] + [("ÄÖ 好 straße", "p")], "text string, lang string")
-    asked = [(1, prose(3, 30)), (2, "zzz 好好 Ä"), (3, "a"), (4, ""), (5, None), (6, prose(99, 50)), (7, "x, y"), (None, prose(5, 10))]
-    whole = langid.train(df)
-    for chunk in (1 << 24, 40):
-        got = langid.ModelTable(df).means(spark.createDataFrame(asked, "doc_id long, text string"), "doc_id", chunk).collect()
-        assert len(got) == len(asked)
-        for r in got:
-            text = dict(asked)[r.doc_id]
-            w, starts, n = langid.windows([text], 4)
-            want = np.mean([whole.log_probability(x)[0] for x in w], axis=0)
-            assert r.n_letters == n[0] == sum(c.isalpha() for c in text or "") and np.allclose(r.means, want, atol=1e-4)
+    asked = [(1, prose(3, 30)), (2, "zzz 好好 Ä"), (3, "a"), (4, ""), (5, None), (6, prose(99, 50)), (7, "x, y"), (None, prose(5, 10)), (7, "x, y")]
+    rows, model = spark.createDataFrame(asked, "doc_id long, text string"), langid.ModelTable(df)
+    shown = lambda chunk: sorted((str(r.doc_id), r.n_letters, [round(m, 9) for m in r["means"]]) for r in model.means(rows, "doc_id", chunk).collect())
+    whole = shown(1 << 24)
+    assert whole == shown(40) and [(d, n) for d, n, _ in whole] == sorted((str(d), sum(c.isalpha() for c in t or "")) for d, t in asked)
+
+
+def test_letters_beyond_the_second_plane(spark):
+    df = spark.createDataFrame([("\U00030000\U00030001 \U00030002", "x"), ("abc", "y")], "text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame([(1, "\U00030000\U00030001"), (2, "12 ?"), (3, "abc")], "doc_id long, text string"), df).collect()}
+    assert got[1].lang_pred == "x" and got[2].lang_pred == "und" and got[2].score == 0 and got[3].lang_pred == "y"
+
+
+def test_calibration_texts_are_held_out_and_stay_the_same(spark):
+    df = spark.createDataFrame([(i, prose(i, 5), "pq"[i % 2]) for i in range(100)], "doc_id long, text string, lang string")
+    counted, sample = langid.split(df)
+    again = langid.split(df.repartition(7))
+    kept = {r["text"] for r in sample.collect()}
+    assert len(kept) == 5 and kept == {r["text"] for r in again[1].collect()} and counted.count() == 95
+    assert not kept & {r["text"] for r in counted.collect()}
+    assert langid.split(df.limit(10))[1] is None
