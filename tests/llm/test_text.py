@@ -313,7 +313,7 @@ def test_scores_do_not_depend_on_chunks(spark):
 
 
 def test_letters_beyond_the_second_plane(spark):
-    df = spark.createDataFrame([("\U00030000\U00030001 \U00030002", "x"), ("abc", "y")], "text string, lang string")
+    df = spark.createDataFrame([("\U00030000\U00030001 \U00030002 " * 5, "x"), ("abc cab bac " * 5, "y")], "text string, lang string")
     got = {r.doc_id: r for r in langid.identify(spark.createDataFrame([(1, "\U00030000\U00030001"), (2, "12 ?"), (3, "abc")], "doc_id long, text string"), df).collect()}
     assert got[1].lang_pred == "x" and got[2].lang_pred == "und" and got[2].score == 0 and got[3].lang_pred == "y"
 
