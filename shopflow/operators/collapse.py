@@ -4,9 +4,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest(df: DataFrame, keys: list[str], version: str, tiebreak: str | None = None) -> DataFrame:
+def latest(df: DataFrame, keys: list[str], version: str, *tiebreak: str | None) -> DataFrame:
     """One row per key: the greatest version, ties by ``tiebreak``. The rank filter also runs before the shuffle."""
-    order = [F.col(version).desc_nulls_last(), *([F.col(tiebreak).desc_nulls_last()] if tiebreak else [])]
+    order = [F.col(c).desc_nulls_last() for c in (version, *tiebreak) if c]
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rank = 1").drop("_rank")
 
 
@@ -15,9 +15,9 @@ def latest_values(df: DataFrame, keys: list[str], version: Column, columns: list
     return df.groupBy(*keys).agg(*(F.max_by(c, version).alias(c) for c in columns))
 
 
-def current_state(df: DataFrame, keys: list[str], version: str, tiebreak: str | None = None, deleted: str = "_deleted") -> DataFrame:
+def current_state(df: DataFrame, keys: list[str], version: str, *tiebreak: str | None, deleted: str = "_deleted") -> DataFrame:
     """Live rows: collapse first, then drop deleted ones, or a deleted key would come back by an older version."""
-    return latest(df, keys, version, tiebreak).filter(~F.col(deleted).cast("boolean"))
+    return latest(df, keys, version, *tiebreak).filter(~F.col(deleted).cast("boolean"))
 
 
 def duplicate_report(df: DataFrame, key: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """How rows are spread over a distribution key."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored
+
 
 def distribution(df: DataFrame, segment: Column) -> DataFrame:
     """segment, rows, and the ratio of the largest segment to the mean."""
@@ -15,6 +17,16 @@ def hash_segment(key: str, n: int) -> Column:
     return F.pmod(F.hash(key), F.lit(n))
 
 
+def dense_id(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """1 to n in an order, without a window over all rows: ranges are sorted, and each begins after the rows of those before it."""
+    place, part = F.monotonically_increasing_id(), F.shiftright("_place", 33)
+    kept = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place), "numbered")
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = kept.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_start"))
+    # a row for each partition of the range
+    return kept.join(F.broadcast(starts), part == F.col("_part")).withColumn(name, F.col("_start") + F.col("_place").bitwiseAND((1 << 33) - 1) + 1).drop("_place", "_part", "_start")
+
+
 def analyze(spark: SparkSession, table: str) -> None:
     """Statistics of all columns for the optimizer."""
     spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")

@@ -1,6 +1,6 @@
 """Writing tables: snapshots, partition replacement, appends, incremental builds and maintenance."""
 
-from datetime import date, timedelta
+from datetime import date, datetime, time, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,13 +9,33 @@ from pyspark.sql import types as T
 from ..schemas import differences
 
 
+def swap(spark: SparkSession, new: str, target: str) -> None:
+    """Put the directory ``new`` in the place of ``target``; the old one goes once the new one is there."""
+    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = f"{target.rpartition('/')[0]}/_old-{target.rpartition('/')[2]}"
+    fs.delete(path(old), True)
+    if fs.exists(path(target)) and not fs.rename(path(target), path(old)):
+        raise OSError(f"{target} can't be moved")
+    if not fs.rename(path(new), path(target)):
+        raise OSError(f"{new} can't be moved to {target}")
+    fs.delete(path(old), True)
+
+
 def write_snapshot(df: DataFrame, root: str, ds: str, key: str = "dt") -> None:
     """A full snapshot under ``key=<ds>``; writing the same date again replaces it."""
     df.write.mode("overwrite").parquet(f"{root}/{key}={ds}")
 
 
-def replace_partitions(df: DataFrame, path: str, key: str = "_dt") -> None:
-    """Replace exactly the partitions that ``df`` has rows of; running it twice changes nothing."""
+def replace_partitions(df: DataFrame, path: str, key: str = "_dt", day: str | None = None) -> None:
+    """Replace exactly the partitions that ``df`` has rows of; running it twice changes nothing.
+
+    With ``day`` that partition is replaced whatever ``df`` holds of it, also by no rows; rows of other days are not written.
+    """
+    if day is not None:
+        own = df.filter(F.col(key) == F.lit(day).cast(df.schema[key].dataType)).drop(key)
+        own.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/{key}={day}")
+        return
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
@@ -59,14 +79,19 @@ def insert_if_absent(existing: DataFrame, new: DataFrame, *keys: str) -> DataFra
     return existing.unionByName(new.dropDuplicates(list(keys)).join(existing, list(keys), "left_anti").select(*existing.columns))
 
 
-def ensure_table(spark: SparkSession, name: str, wanted: T.StructType, partition: str | None = None) -> None:
+def ensure_table(spark: SparkSession, name: str, wanted: T.StructType, partition: str | None = None, path: str | None = None) -> None:
     """Create a table unless it is there; one that is there must have the declared definition."""
     if spark.catalog.tableExists(name):
         if found := differences(spark.table(name), wanted):
             raise ValueError(f"{name} differs from its definition: {found}")
         return
     by = f" PARTITIONED BY ({partition})" if partition else ""
-    spark.sql(f"CREATE TABLE {name} ({', '.join(f'{f.name} {f.dataType.simpleString()}' for f in wanted)}) USING parquet{by}")
+    spark.sql(f"CREATE TABLE {name} ({', '.join(f'{f.name} {f.dataType.simpleString()}' for f in wanted)}) USING parquet{by}" + (f" LOCATION '{path}'" if path else ""))
+
+
+def insert_values(spark: SparkSession, name: str, *rows: tuple) -> None:
+    """Append literal rows to a table, in the order of its columns."""
+    spark.createDataFrame(list(rows), spark.table(name).schema).write.insertInto(name)
 
 
 def add_column(spark: SparkSession, name: str, column: str, kind: str) -> None:
@@ -81,15 +106,24 @@ def delete_where(df: DataFrame, condition: Column, target: str) -> DataFrame:
     return df.sparkSession.read.parquet(target)
 
 
+def delete_in_place(spark: SparkSession, path: str, condition: Column) -> DataFrame:
+    """``delete_where`` on a table's own path: what stays is written beside it and then put in its place."""
+    beside = f"{path.rpartition('/')[0]}/_kept-{path.rpartition('/')[2]}"
+    delete_where(spark.read.parquet(path), condition, beside)
+    swap(spark, beside, path)
+    return spark.read.parquet(path)
+
+
 def since(source: DataFrame, column: str, mark) -> DataFrame:
     """Rows after a high-water mark; the filter reaches the scan."""
     return source if mark is None else source.filter(F.col(column) > F.lit(mark))
 
 
-def build_incremental(spark: SparkSession, source: DataFrame, path: str, key: Column, name: str, aggregate, lookback_days: int = 0, full_refresh: bool = False) -> None:
+def build_incremental(spark: SparkSession, source: DataFrame, path: str, key: Column, name: str, aggregate, lookback_days: int = 0, full_refresh: bool = False, raw: str | None = None) -> None:
     """Recompute the days from the last one (less ``lookback_days``) onward and replace just those.
 
-    ``aggregate`` takes the source with the day column ``name`` and returns a row per day.
+    ``aggregate`` takes the source with the day column ``name`` and returns a row per day. ``raw`` names the time column
+    that the day is taken of: the same range on it reaches the scan.
     """
     newest = None
     if not full_refresh:
@@ -100,14 +134,17 @@ def build_incremental(spark: SparkSession, source: DataFrame, path: str, key: Co
                 raise
     rows = source.withColumn(name, key)
     if newest is not None:
-        rows = rows.filter(F.col(name) >= F.lit(newest - timedelta(days=lookback_days)))
+        first = newest - timedelta(days=lookback_days)
+        rows = rows.filter(F.col(name) >= F.lit(first))
+        if raw is not None:
+            rows = rows.filter(F.col(raw) >= F.lit(datetime.combine(first, time())).cast(source.schema[raw].dataType))
     mode = "static" if newest is None else "dynamic"  # a first or full build replaces the whole table
     aggregate(rows).write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(name).parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:
     """A table bucketed and sorted by a join key: two such tables join without a shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    df.write.mode("overwrite").options(**({"path": path} if path else {})).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
 
 
 def compact(spark: SparkSession, path: str, target: str, file_bytes: int = 128 << 20, sizes: list[int] | None = None) -> int:
@@ -121,9 +158,16 @@ def compact(spark: SparkSession, path: str, target: str, file_bytes: int = 128 <
 
 
 def drop_before(spark: SparkSession, table: str, column: str, today: date, days: int) -> list[str]:
-    """Retention: drop whole partitions older than ``days``; returns them."""
+    """Retention: drop whole partitions older than ``days``, of external tables their files too; returns them."""
     cutoff = (today - timedelta(days=days)).isoformat()
-    old = [r[0] for r in spark.sql(f"SHOW PARTITIONS {table}").collect() if r[0].split(f"{column}=")[1].split("/")[0] < cutoff]
-    for p in old:
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({column}='{p.split('=')[1]}')")
-    return old
+    found = [dict(x.split("=", 1) for x in r[0].split("/")) for r in spark.sql(f"SHOW PARTITIONS {table}").collect()]
+    old = sorted({p[column] for p in found if p[column] < cutoff})
+    about = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect()}
+    for day in old:  # with whatever partitions lie below it
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({column}='{day}')")
+        if about["Type"] == "EXTERNAL":
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{about['Location']}/{column}={day}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if old:
+        spark.catalog.refreshTable(table)
+    return [f"{column}={day}" for day in old]

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.sinks import replace_partitions, write_snapshot
+from ..operators.sinks import replace_partitions, swap, write_snapshot
 from ..sources.readers import latest_snapshot, read_snapshot
 from . import models
 from .quality import FailedTests, build_and_test
@@ -25,15 +25,16 @@ def load_checked(df: DataFrame, load: Callable[[DataFrame], None], key: str) ->
 
 
 def snapshot(tables: dict[str, DataFrame], landing: str, ds: str) -> None:
-    """Each source table as a full snapshot of the day."""
+    """Each source table as a full snapshot of the day, written under a hidden name and put in place once it has passed."""
     for name, df in tables.items():
-        load_checked(df, lambda x, n=name: write_snapshot(x, f"{landing}/{n}", ds), "id")
+        load_checked(df, lambda x, n=name: write_snapshot(x, f"{landing}/{n}", ds, key="_staged"), "id")
+        swap(df.sparkSession, f"{landing}/{name}/_staged={ds}", f"{landing}/{name}/dt={ds}")
 
 
 def load_partition(spark: SparkSession, names: list[str], landing: str, raw: str, ds: str) -> None:
     """The day's snapshots into the partitions of the raw tables; a second run replaces them."""
     for name in names:
-        replace_partitions(read_snapshot(spark, f"{landing}/{name}", ds), f"{raw}/{name}")
+        replace_partitions(read_snapshot(spark, f"{landing}/{name}", ds), f"{raw}/{name}", day=ds)
 
 
 def build(spark: SparkSession, raw: str, marts: str, as_of: str | None = None) -> tuple[dict[str, DataFrame], list]:
@@ -51,7 +52,7 @@ def build(spark: SparkSession, raw: str, marts: str, as_of: str | None = None) -
     steps = [
         ("stg_customers", lambda m: models.stg_customers(table("customers")), keyed("customer_id")),
         ("stg_orders", lambda m: models.stg_orders(table("orders")), [*keyed("order_id"), ("not_null", "customer_id", {}), ("relationships", "customer_id", customer), ("not_null", "status", {}), ("accepted_values", "status", {"values": ["pending", "paid", "shipped", "delivered", "cancelled"]})]),
-        ("stg_order_items", lambda m: models.stg_order_items(table("order_items")).withColumnRenamed("id", "item_id"), [*keyed("item_id"), ("not_null", "order_id", {}), ("relationships", "order_id", order)]),
+        ("stg_order_items", lambda m: models.stg_order_items(table("order_items")), [*keyed("order_item_id"), ("not_null", "order_id", {}), ("relationships", "order_id", order)]),
         ("fct_orders", lambda m: models.fct_orders(m["stg_orders"], m["stg_customers"], m["stg_order_items"]), [*keyed("order_id"), ("not_null", "customer_id", {}), ("relationships", "customer_id", customer), ("not_null", "amount", {})]),
         ("daily_revenue", lambda m: models.daily_revenue(m["fct_orders"]), [*keyed("order_date"), ("not_null", "revenue", {})]),
     ]

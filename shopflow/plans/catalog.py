@@ -1,5 +1,7 @@
 """One query for each operator that no report uses: scans, sinks, predicates, joins, aggregates, windows, functions, streams, data tests."""
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..schemas import schema
 from ..sources import readers
 from ..sources.storage import scratch, stored
 from ..streaming import cdc, events as stream
-from . import models, quality
+from . import batch, models, quality
 from .analytics import FACTS, HISTORY, NOW, _history, change_log, money, moves
 from .registry import query
 
@@ -49,29 +51,51 @@ def src4_csv(shop):
     return readers.read_csv(shop.spark, path, schema("id bigint, name string"))
 
 
-@query("SELECT event_type, count(*) AS events FROM clicks GROUP BY 1")
+def _from_database(df: DataFrame, name: str, **how) -> DataFrame:
+    """A small table copied to an embedded database and read from there."""
+    url = f"jdbc:derby:{tempfile.mkdtemp(prefix='shopflow-')}/shop;create=true"
+    df.coalesce(1).write.format("jdbc").options(url=url, dbtable=name, driver="org.apache.derby.jdbc.EmbeddedDriver").mode("overwrite").save()
+    return readers.read_database(df.sparkSession, url, name, driver="org.apache.derby.jdbc.EmbeddedDriver", **how)
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation")
+def src5_6_database(shop):
+    """Two columns of a database table, in ranges of its key."""
+    nations = shop.table("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("int").alias("region"))
+    return _from_database(nations, "nations", columns=["id", "name"], key="id", bounds=(0, 25), parts=4)
+
+
+@query("SELECT event_type, count(*) AS events, CAST(0 AS BIGINT) AS rejected FROM clicks GROUP BY 1 UNION ALL SELECT 'none', 0, 3")
 def src7_json_queue(shop):
     """Messages by field name: an unknown field is ignored, malformed messages are quarantined."""
     path, table = scratch(shop.spark, "queue"), scratch(shop.spark, "events")
     e = shop.events.select(F.to_json(F.struct("event_id", "user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.lit(1).alias("extra"))).alias("value"))
     e.unionByName(e.limit(3).select(F.lit('{"event_id": ').alias("value"))).write.text(path)
-    good, _ = stream.split_malformed(readers.read_queue(shop.spark, path), schema("event_id string, user_id bigint, event_type string, page string, ts timestamp"), "event_id")
-    stream.run_available(good, table, scratch(shop.spark, "checkpoint"))
-    return shop.spark.read.parquet(table).groupBy("event_type").agg(F.count("*").alias("events"))
+    good, bad = stream.split_malformed(readers.read_queue(shop.spark, path), schema("event_id string, user_id bigint, event_type string, page string, ts timestamp"), "event_id")
+    quarantine = scratch(shop.spark, "quarantine")
+    for part, target in ((good, table), (bad, quarantine)):
+        stream.run_available(part, target, scratch(shop.spark, "checkpoint"))
+    landed = shop.spark.read.parquet(table).groupBy("event_type").agg(F.count("*").alias("events"), F.lit(0).cast("long").alias("rejected"))
+    kept_apart = shop.spark.read.parquet(quarantine).agg(F.count("*").alias("rejected"))
+    return landed.unionByName(kept_apart.select(F.lit("none").alias("event_type"), F.lit(0).cast("long").alias("events"), "rejected"))
 
 
-@query("SELECT count(*) AS messages FROM clicks")
+@query("SELECT count(*) AS messages, count(DISTINCT event_id) AS events FROM clicks")
 def src8_bounded_drain(shop):
-    """A topic in many files, drained in small batches until nothing is left."""
-    path, table = scratch(shop.spark, "topic"), scratch(shop.spark, "drained")
+    """A topic in many files: a first run stops at its bound, a second one drains what is left."""
+    path, table, mark = scratch(shop.spark, "topic"), scratch(shop.spark, "drained"), scratch(shop.spark, "checkpoint")
     shop.events.select(F.to_json(F.struct("event_id")).alias("value")).repartition(6).write.text(path)
-    stream.run_available(readers.read_queue(shop.spark, path, files_per_batch=2), table, scratch(shop.spark, "checkpoint"))
-    return shop.spark.read.parquet(table).agg(F.count("*").alias("messages"))
+    act = lambda b, i: stream.publish(b, {table: lambda x: x.select(F.get_json_object("value", "$.event_id").alias("event_id"))}, i)
+    readers.drain(readers.read_queue(shop.spark, path, files_per_batch=2), act, mark, most=1)
+    stream.for_each_available(readers.read_queue(shop.spark, path, files_per_batch=2), act, mark)
+    return shop.spark.read.parquet(table).agg(F.count("*").alias("messages"), F.count_distinct("event_id").alias("events"))
 
 
-@query("SELECT count(*) AS n, CAST(sum(i) AS BIGINT) AS total FROM (SELECT unnest(range(1, (SELECT count(*) FROM shop_orders) + 1)) AS i)")
+@query("SELECT i AS id, CAST(amount AS DOUBLE) AS amount FROM (SELECT unnest(range(1, (SELECT max(id) FROM shop_orders) + 1)) AS i) LEFT JOIN shop_orders ON id = i")
 def src10_series(shop):
-    return readers.series(shop.spark, shop.orders.count()).agg(F.count("*").alias("n"), F.sum("n").alias("total"))
+    """Every number up to the last order, with the order's amount where there is one."""
+    last = shop.orders.agg(F.max("id")).first()[0] or 0
+    return readers.series(shop.spark, last, "id").join(shop.orders.select("id", "amount"), "id", "left").select("id", money("amount").alias("amount"))
 
 
 @query("SELECT d AS dt, count(*) AS rows FROM shop_orders, (SELECT DATE '2026-06-10' AS d UNION ALL SELECT DATE '2026-06-11') GROUP BY d")
@@ -79,12 +103,14 @@ def src11_partition_inventory(shop):
     return readers.partitions(shop.spark, _landed(shop)).select("dt", "rows")
 
 
-@query("SELECT CAST(order_ts AS DATE) AS _dt, count(*) AS orders, CAST(sum(amount) AS DOUBLE) AS revenue FROM shop_orders GROUP BY 1")
+@query("SELECT CAST(order_ts AS DATE) AS _dt, count(*) AS orders, CAST(sum(amount) AS DOUBLE) AS revenue FROM shop_orders WHERE date_trunc('month', order_ts) <> (SELECT min(date_trunc('month', order_ts)) FROM shop_orders) GROUP BY 1")
 def snk2_partition_replace(shop):
-    """Days loaded in two parts, one of them twice."""
+    """Months loaded; then the last is loaded again, and the first by a source that has no rows of it any more."""
     path, rows = scratch(shop.spark, "raw-orders"), shop.orders.withColumn("_dt", F.trunc(F.col("order_ts"), "MM"))
-    for _ in range(2):
-        sinks.replace_partitions(rows.filter(F.col("id") >= 0), path)
+    sinks.replace_partitions(rows, path)
+    ends = rows.agg(F.min("_dt").alias("first"), F.max("_dt").alias("last")).first()
+    sinks.replace_partitions(rows, path, day=str(ends["last"]))
+    sinks.replace_partitions(rows.filter(F.col("_dt") > ends["first"]), path, day=str(ends["first"]))
     back = shop.spark.read.parquet(path)
     return back.groupBy(F.to_date("order_ts").alias("_dt")).agg(F.count("*").alias("orders"), money(F.sum("amount")).alias("revenue"))
 
@@ -110,9 +136,16 @@ def snk10_insert_if_absent(shop):
     return sinks.insert_if_absent(old, new.unionByName(new), "id").agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids"), money(F.sum("amount")).alias("total"))
 
 
-@query("SELECT count(*) AS rows FROM shop_orders WHERE status <> 'cancelled'")
-def snk13_delete_where(shop):
-    return sinks.delete_where(shop.orders, F.col("status") == "cancelled", scratch(shop.spark, "kept")).agg(F.count("*").alias("rows"))
+@query("SELECT status, count(*) AS rows FROM shop_orders WHERE status <> 'cancelled' GROUP BY 1 UNION ALL SELECT 'new', 2")
+def snk13_delete_and_insert(shop):
+    """Rows deleted in place, then literal rows inserted."""
+    path = scratch(shop.spark, "kept")
+    shop.orders.select("id", "status").write.parquet(path)
+    sinks.delete_in_place(shop.spark, path, F.col("status") == "cancelled")
+    shop.spark.sql("DROP TABLE IF EXISTS shopflow_kept")
+    sinks.ensure_table(shop.spark, "shopflow_kept", schema("id bigint, status string"), path=path)
+    sinks.insert_values(shop.spark, "shopflow_kept", (-1, "new"), (-2, "new"))
+    return shop.spark.table("shopflow_kept").groupBy("status").agg(F.count("*").alias("rows"))
 
 
 @query("SELECT count(*) AS rows FROM clicks WHERE ts > TIMESTAMP '2024-01-20'")
@@ -130,7 +163,7 @@ def snk19_stream_append(shop):
     return shop.spark.read.parquet(table).groupBy("event_type").agg(F.count("*").alias("events"))
 
 
-@query("SELECT id AS customer_id, name, email, city FROM customers")
+@query("SELECT id AS customer_id, name, email, city, created_at FROM customers")
 def prj1_stg_customers(shop):
     return models.stg_customers(shop.customers)
 
@@ -140,9 +173,12 @@ def prj2_stg_orders(shop):
     return models.stg_orders(shop.orders).withColumn("amount", money("amount"))
 
 
-@query("SELECT order_id, line_no, product, quantity, CAST(unit_price AS DOUBLE) AS unit_price, CAST(quantity * unit_price AS DOUBLE) AS line_total FROM order_items")
+@query("""SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS order_item_id, l_orderkey AS order_id,
+  l_linenumber AS line_no, concat('product_', l_partkey) AS product, CAST(l_quantity AS INT) AS quantity, CAST(CAST(p_retailprice AS DECIMAL(10,2)) AS DOUBLE) AS unit_price, CAST(CAST(l_quantity AS INT) * CAST(p_retailprice AS DECIMAL(10,2)) AS DOUBLE) AS line_total
+  FROM lineitem JOIN part ON p_partkey = l_partkey""")
 def prj3_stg_order_items(shop):
-    return models.stg_order_items(shop.order_items).withColumns({"unit_price": money("unit_price"), "line_total": money("line_total")})
+    """With a dense id over all rows, which no single task numbers."""
+    return models.stg_order_items(shop.numbered_items).withColumns({"unit_price": money("unit_price"), "line_total": money("line_total")})
 
 
 @query("SELECT count(*) AS events FROM clicks WHERE ts > TIMESTAMP '2024-01-30 12:00:00'")
@@ -201,11 +237,9 @@ def jon11_salted(shop):
 
 @query(FACTS + "SELECT r_name AS region, count(*) AS orders, CAST(round(sum(amount), 2) AS DOUBLE) AS revenue FROM f JOIN nation ON n_name = city JOIN region ON r_regionkey = n_regionkey GROUP BY 1")
 def jon12_three_sources(shop):
-    """A mart table, a CSV export and a raw table in one plan."""
-    path = scratch(shop.spark, "nations")
-    shop.table("nation").select("n_name", F.col("n_regionkey").cast("int")).write.option("header", True).csv(path)
-    nations = readers.read_csv(shop.spark, path, schema("n_name string, n_regionkey int"))
-    facts = models.build(shop)[0].join(F.broadcast(nations), F.col("city") == F.col("n_name")).join(shop.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    """A mart table, a source database and a raw table in one plan."""
+    nations = _from_database(shop.table("nation").select("n_name", F.col("n_regionkey").cast("int")), "nations")
+    facts = models.build(shop)[0].join(small(nations), F.col("city") == F.col("n_name")).join(shop.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return facts.groupBy(F.col("r_name").alias("region")).agg(F.count("*").alias("orders"), money(F.sum("amount")).alias("revenue"))
 
 
@@ -424,7 +458,7 @@ def str5_watermark(shop):
     """Append mode gives a window once the watermark has passed it; the last ones stay open."""
     source, path = scratch(shop.spark, "events"), scratch(shop.spark, "closed")
     e = stream.timed(shop.events)
-    e.coalesce(1).write.parquet(source)
+    e.write.parquet(source)  # all files are one micro-batch
     counted = stream.per_window(stream.with_lateness(shop.spark.readStream.schema(e.schema).parquet(source), "10 minutes"), "1 hour")
     stream.run_available(counted, path, scratch(shop.spark, "checkpoint"))
     return shop.spark.read.parquet(path).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
@@ -484,3 +518,139 @@ def dq6_freshness(shop):
 def dq9_contract(shop):
     rows = shop.orders.select("id", "status")
     return quality.contract(rows, schema("id bigint, status int, gone string"))
+
+
+@query("SELECT count(*) AS orders, CAST(sum(amount) AS DOUBLE) AS revenue FROM shop_orders WHERE status = 'paid'")
+def snk4_view(shop):
+    """A staging view, evaluated when it is read."""
+    view = sinks.as_view(models.stg_orders(shop.orders), "shopflow_stg_orders")
+    return view.filter(F.col("status") == "paid").agg(F.count("*").alias("orders"), money(F.sum("amount")).alias("revenue"))
+
+
+@query("SELECT s AS load, count(*) AS orders, CAST(sum(amount + s) AS DOUBLE) AS revenue FROM shop_orders, (SELECT unnest([0, 1]) AS s) GROUP BY s")
+def snk7_8_versioned_appends(shop):
+    """Two full reloads, each stamped, in files of a bounded number of rows; columns are matched by name."""
+    path = scratch(shop.spark, "reloads")
+    for load in (0, 1):
+        rows = shop.orders.select((F.col("amount") + load).cast("decimal(11,2)").alias("amount"), "id")
+        sinks.append_stamped(rows, path, F.lit(NOW.replace(hour=load)), rows_per_file=5_000)
+    back = shop.spark.read.parquet(path)
+    return back.groupBy(F.hour("_loaded_at").alias("load")).agg(F.count("*").alias("orders"), money(F.sum("amount")).alias("revenue"))
+
+
+def _table(shop, name: str, wanted, **how) -> str:
+    """A new table under a fixed name; its files are in the scratch folder."""
+    shop.spark.sql(f"DROP TABLE IF EXISTS {name}")
+    sinks.ensure_table(shop.spark, name, wanted, path=scratch(shop.spark, name), **how)
+    return name
+
+
+@query("SELECT id, customer_id, CASE WHEN id % 2 = 0 THEN status END AS note FROM shop_orders")
+def snk9_11_12_declared_table(shop):
+    """A table declared twice, filled by column names in another order, widened, and filled again."""
+    wanted = schema("id bigint, customer_id bigint")
+    name = _table(shop, "shopflow_declared", wanted)
+    sinks.ensure_table(shop.spark, name, wanted)
+    odd, even = shop.orders.filter("id % 2 = 1"), shop.orders.filter("id % 2 = 0")
+    path = _location(shop, name)
+    sinks.insert_by_name(odd.select("customer_id", "id"), wanted, path)
+    sinks.add_column(shop.spark, name, "note", "string")
+    sinks.add_column(shop.spark, name, "note", "string")
+    sinks.insert_by_name(even.select(F.col("status").alias("note"), "customer_id", "id"), schema("id bigint, customer_id bigint, note string"), path)
+    shop.spark.catalog.refreshTable(name)
+    return shop.spark.table(name)
+
+
+def _location(shop, name: str) -> str:
+    rows = shop.spark.sql(f"DESCRIBE EXTENDED {name}").filter("col_name = 'Location'")
+    return rows.first()["data_type"]
+
+
+@query("SELECT o.id, c.city FROM shop_orders o JOIN customers c ON c.id = o.customer_id")
+def snk17_jon10_bucketed_join(shop):
+    """Both sides bucketed by the key once: joins of them move nothing."""
+    for name, rows in (("shopflow_orders_by_customer", shop.orders.select("id", "customer_id")), ("shopflow_customers", shop.customers.select(F.col("id").alias("customer_id"), "city"))):
+        sinks.write_bucketed(rows, name, "customer_id", 8, scratch(shop.spark, name))
+    return shop.spark.table("shopflow_orders_by_customer").join(shop.spark.table("shopflow_customers").hint("merge"), "customer_id").select("id", "city")
+
+
+@query("SELECT id, status, CAST(amount AS DOUBLE) AS amount FROM shop_orders")
+def snk18_compaction(shop):
+    """Many small files as one; nothing is lost."""
+    path, target = scratch(shop.spark, "small-files"), scratch(shop.spark, "compact")
+    shop.orders.select("id", "status", "amount").repartition(16).write.parquet(path)
+    sinks.compact(shop.spark, path, target)
+    return shop.spark.read.parquet(target).withColumn("amount", money("amount"))
+
+
+@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS events FROM clicks WHERE CAST(ts AS DATE) >= DATE '2024-01-20' GROUP BY ALL")
+def snk21_retention(shop):
+    """Partitions of two levels; whole days beyond twelve go."""
+    name, path = "shopflow_event_days", scratch(shop.spark, "event-days")
+    shop.spark.sql(f"DROP TABLE IF EXISTS {name}")
+    days = shop.events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("events")).withColumn("day", F.col("day").cast("string"))
+    days.repartition("day").write.partitionBy("day", "event_type").option("path", path).saveAsTable(name)
+    sinks.drop_before(shop.spark, name, "day", NOW.date(), 12)
+    return shop.spark.table(name).select(F.col("day").cast("date").alias("day"), "event_type", "events")
+
+
+@query("SELECT count(*) AS orders, CAST(sum(amount) AS DOUBLE) AS revenue FROM shop_orders")
+def flt4_partition_filter(shop):
+    """One landed day; the other day's files are not listed."""
+    tree = readers.read_tree(shop.spark, _landed(shop))
+    return tree.filter(F.col("dt") == F.lit(DAY1).cast("date")).agg(F.count("*").alias("orders"), money(F.sum("amount")).alias("revenue"))
+
+
+@query("SELECT row_number() OVER (ORDER BY order_ts, id) AS n, id FROM shop_orders")
+def win4_dense_id(shop):
+    return layout.dense_id(shop.orders.select("order_ts", "id"), "n", "order_ts", "id").select("n", "id")
+
+
+@query(""", late AS (SELECT count(*) FILTER (WHERE CAST(event_id AS BIGINT) % 2 = 1 AND ts < (SELECT max(ts) FROM clicks WHERE CAST(event_id AS BIGINT) % 2 = 0) - INTERVAL 1 HOUR) AS n, count(*) AS every FROM clicks)
+SELECT 'drop' AS policy, every - n AS landed, CAST(0 AS BIGINT) AS set_aside FROM late UNION ALL SELECT 'side', every - n, n FROM late UNION ALL SELECT 'update', every, 0 FROM late""")
+def str8_late_policies(shop):
+    """Two batches, the second with events up to a month late; each batch arrives twice."""
+    out = None
+    parts = [stream.timed(shop.events.filter(F.col("event_id").cast("long") % 2 == half)) for half in (0, 1)]
+    for policy in ("drop", "side", "update"):
+        path, aside = scratch(shop.spark, policy), scratch(shop.spark, "late")
+        for number in (0, 1, 1):
+            stream.route_late(parts[number], number, path, aside if policy == "side" else None, allowed_seconds=3600, policy=policy)
+        counted = lambda p: shop.spark.read.parquet(p).agg(F.count("*").alias("n"))
+        apart = counted(aside) if policy == "side" else shop.spark.range(1).select(F.lit(0).cast("long").alias("n"))
+        part = counted(path).select(F.lit(policy).alias("policy"), F.col("n").alias("landed")).join(F.broadcast(apart.select(F.col("n").alias("set_aside"))))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT count(DISTINCT user_id) AS users, true AS one_partition_each FROM clicks")
+def str16_keyed_partitions(shop):
+    """Rows of a user go to one partition, in every batch."""
+    path = scratch(shop.spark, "by-user")
+    act = lambda b, i: stream.publish(stream.by_key(b, "user_id", 8).withColumn("p", F.spark_partition_id()), {path: lambda x: x.groupBy("user_id").agg(F.count_distinct("p").alias("parts"))}, i)
+    stream.for_each_available(_stream(shop).drop("part"), act, scratch(shop.spark, "checkpoint"))
+    return shop.spark.read.parquet(path).agg(F.count_distinct("user_id").alias("users"), (F.max("parts") == 1).alias("one_partition_each"))
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT status) AS statuses FROM shop_orders")
+def dst3_statistics(shop):
+    """What the optimizer knows of a table after it has been analyzed."""
+    name = "shopflow_analyzed"
+    shop.spark.sql(f"DROP TABLE IF EXISTS {name}")
+    shop.orders.select("id", "status").write.option("path", scratch(shop.spark, name)).saveAsTable(name)
+    layout.analyze(shop.spark, name)
+    rows = shop.spark.sql(f"DESCRIBE EXTENDED {name}").filter("col_name = 'Statistics'").select(F.regexp_extract("data_type", "([0-9]+) rows", 1).cast("long").alias("rows"))
+    about = shop.spark.sql(f"DESCRIBE EXTENDED {name} status").filter("info_name = 'distinct_count'").select(F.col("info_value").cast("long").alias("statuses"))
+    return rows.join(F.broadcast(about))
+
+
+@query(FACTS + "SELECT order_date, CAST(orders AS BIGINT) AS orders, CAST(revenue AS DOUBLE) AS revenue FROM net")
+def dq8_10_11_daily_batch(shop):
+    """The whole day run twice: snapshots checked and put in place, partitions loaded, models built and tested in order."""
+    root = scratch(shop.spark, "day")
+    tables = {"customers": shop.customers, "orders": shop.orders, "order_items": shop.numbered_items}
+    first = quality.fingerprint(batch.run(shop.spark, tables, root, DAY1)[0]["fct_orders"])
+    found, _ = batch.run(shop.spark, tables, root, DAY1)
+    if quality.fingerprint(found["fct_orders"]) != first:
+        raise quality.FailedTests("a second run changed the facts")
+    return found["daily_revenue"].withColumn("revenue", money("revenue"))

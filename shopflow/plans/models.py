@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 
 def stg_customers(customers: DataFrame) -> DataFrame:
-    return customers.select(F.col("id").alias("customer_id"), "name", "email", "city")
+    return customers.select(F.col("id").alias("customer_id"), "name", "email", "city", "created_at")
 
 
 def stg_orders(orders: DataFrame) -> DataFrame:
@@ -14,7 +14,7 @@ def stg_orders(orders: DataFrame) -> DataFrame:
 
 def stg_order_items(items: DataFrame) -> DataFrame:
     total = (F.col("quantity") * F.col("unit_price")).cast("decimal(12,2)")
-    return items.withColumn("line_total", total)
+    return items.withColumnsRenamed({"id": "order_item_id"}).withColumn("line_total", total)
 
 
 def fct_orders(orders: DataFrame, customers: DataFrame, items: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.layout import dense_id
+
 STATUS_OF_PRIORITY = {"1-URGENT": "pending", "2-HIGH": "paid", "3-MEDIUM": "shipped", "4-NOT SPECIFIED": "delivered"}
 
 
@@ -20,8 +22,9 @@ class Shop:
     @cached_property
     def customers(self) -> DataFrame:
         c, n = self.table("customer"), self.table("nation")
+        since = F.expr("TIMESTAMP_NTZ '1992-01-01 00:00:00' + make_dt_interval(cast(c_custkey % 365 AS int))")
         email = F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("_"))), F.lit("@example.com"))
-        return c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), email.alias("email"), F.col("n_name").alias("city"))
+        return c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), email.alias("email"), F.col("n_name").alias("city"), since.alias("created_at"))
 
     @cached_property
     def orders(self) -> DataFrame:
@@ -35,12 +38,21 @@ class Shop:
 
     @cached_property
     def order_items(self) -> DataFrame:
-        i, p = self.table("lineitem"), self.table("part")
+        return self.order_items_of(self.table("lineitem"))
+
+    def order_items_of(self, i: DataFrame, *keep: str) -> DataFrame:
+        p = self.table("part")
         return i.join(p, i["l_partkey"] == p["p_partkey"]).select(
             F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"), F.concat(F.lit("product_"), F.col("l_partkey").cast("string")).alias("product"),
-            F.col("l_quantity").cast("int").alias("quantity"), F.col("p_retailprice").cast("decimal(10,2)").alias("unit_price"),
+            F.col("l_quantity").cast("int").alias("quantity"), F.col("p_retailprice").cast("decimal(10,2)").alias("unit_price"), *keep,
         )
 
+    @cached_property
+    def numbered_items(self) -> DataFrame:
+        """The items with an id: their number in the order of all columns, since the table has no key."""
+        raw = self.table("lineitem")
+        return dense_id(self.order_items_of(raw, *raw.columns), "id", *raw.columns).drop(*raw.columns)
+
     @cached_property
     def events(self) -> DataFrame:
         return self.table("events").select(F.col("event_id").cast("string").alias("event_id"), "user_id", "event_type", "ts", "props")
@@ -48,7 +60,8 @@ class Shop:
 
 #: The same relations in SQL, for oracles: to be followed by a comma or a SELECT.
 BIND = """WITH customers AS (
-  SELECT c.c_custkey AS id, c.c_name AS name, concat(lower(replace(c.c_name, '#', '_')), '@example.com') AS email, n.n_name AS city
+  SELECT c.c_custkey AS id, c.c_name AS name, concat(lower(replace(c.c_name, '#', '_')), '@example.com') AS email, n.n_name AS city,
+         TIMESTAMP '1992-01-01' + INTERVAL 1 DAY * (c.c_custkey % 365) AS created_at
   FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey
 ), shop_orders AS (
   SELECT o_orderkey AS id, o_custkey AS customer_id,

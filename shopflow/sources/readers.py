@@ -1,6 +1,9 @@
 """Scans: partitioned trees, single snapshots, CSV, databases, JSON queues, series, inventories."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,12 +56,35 @@ def decode_events(value: Column, schema: T.StructType) -> Column:
     return F.from_json(value, schema, JSON_TIME)
 
 
-def read_queue(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+def read_queue(spark: SparkSession, path: str, files_per_batch: int | None = None, bytes_per_batch: str | None = None) -> DataFrame:
     """A stream of JSON lines as ``value``; the file source stands in for a broker's topic."""
-    reader = spark.readStream.format("text")
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.load(path)
+    limits = {"maxFilesPerTrigger": files_per_batch, "maxBytesPerTrigger": bytes_per_batch}
+    return spark.readStream.format("text").options(**{k: v for k, v in limits.items() if v}).load(path)
+
+
+def drain(stream: DataFrame, act: Callable[[DataFrame, int], None], checkpoint: str, most: int = 100_000, idle_seconds: float = 5.0) -> int:
+    """Read a queue from where the last run stopped until nothing new comes for a while, or ``most`` messages have been
+    read; returns how many. Batches are read whole, so a run passes the bound by less than two of them; the rest, and a batch
+    that the stop interrupts, is read by the next run.
+    """
+    read, quiet_since = 0, time.monotonic()
+
+    def counted(batch: DataFrame, batch_id: int) -> None:
+        nonlocal read, quiet_since
+        seen = Observation()
+        act(batch.observe(seen, F.count(F.lit(1)).alias("n")), batch_id)
+        read += seen.get["n"]
+        quiet_since = time.monotonic()
+
+    query = stream.writeStream.foreachBatch(counted).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
+    try:
+        while query.isActive and read < most and time.monotonic() - quiet_since < idle_seconds:
+            query.awaitTermination(0.2)
+    finally:
+        query.stop()
+    if read < most and query.exception() is not None:
+        raise query.exception()
+    return read
 
 
 def series(spark: SparkSession, n: int, name: str = "n") -> DataFrame:

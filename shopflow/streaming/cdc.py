@@ -14,7 +14,8 @@ def decode(values: DataFrame, tiebreak: str | None = None) -> DataFrame:
     """source_table, id, op, payload, _version, _deleted (and the tiebreak column) of envelopes in ``value``.
 
     A delete keeps what was before, anything else what is after; the payload is
-    the record's own JSON. Tombstones, messages without a key and malformed ones
+    the record's own JSON. The version is the event's own time, or where that is
+    missing or 0 the source's. Tombstones, messages without a key and malformed ones
     are left out; ``rejected`` gives them.
     """
     e = values.withColumn("e", F.from_json("value", ENVELOPE))
@@ -22,7 +23,7 @@ def decode(values: DataFrame, tiebreak: str | None = None) -> DataFrame:
     out = e.select(
         F.coalesce("e.source.table", F.lit("?")).alias("source_table"), F.when(gone, F.col("e.before.id")).otherwise(F.col("e.after.id")).alias("id"), F.col("e.op").alias("op"),
         F.when(gone, F.get_json_object("value", "$.before")).otherwise(F.get_json_object("value", "$.after")).alias("payload"),
-        first_non_zero(F.col("e.source.ts_ms"), F.col("e.ts_ms")).alias("_version"), F.coalesce(gone, F.lit(False)).alias("_deleted"), *([tiebreak] if tiebreak else []),
+        first_non_zero(F.col("e.ts_ms"), F.col("e.source.ts_ms")).alias("_version"), F.coalesce(gone, F.lit(False)).alias("_deleted"), *([tiebreak] if tiebreak else []),
     )
     return out.filter("id IS NOT NULL")
 
@@ -34,24 +35,27 @@ def rejected(values: DataFrame) -> DataFrame:
 
 
 def land(path: str):
-    """For foreachBatch: a batch is one partition, so a replayed batch replaces itself."""
+    """For foreachBatch: a batch is one partition, so a replayed batch replaces itself. ``_position`` is the place in the batch."""
 
     def act(batch: DataFrame, batch_id: int) -> None:
-        decode(batch).withColumn("_batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch_id").parquet(path)
+        rows = decode(batch.withColumn("_position", F.monotonically_increasing_id()), "_position")
+        rows.withColumn("_batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch_id").parquet(path)
 
     return act
 
 
-def current(landed: DataFrame, tiebreak: str | None = None) -> DataFrame:
-    return current_state(landed, ["source_table", "id"], "_version", tiebreak)
+def current(landed: DataFrame, *tiebreak: str) -> DataFrame:
+    """Live rows. Of changes of one version the last to arrive counts, in what ``land`` has written; elsewhere name the columns that decide."""
+    tiebreak = tiebreak or tuple(c for c in ("_batch_id", "_position") if c in landed.columns)
+    return current_state(landed, ["source_table", "id"], "_version", *tiebreak)
 
 
-def counts(landed: DataFrame, tiebreak: str | None = None) -> DataFrame:
+def counts(landed: DataFrame, *tiebreak: str) -> DataFrame:
     """Live rows of each source table."""
-    return current(landed, tiebreak).groupBy("source_table").agg(F.count("*").alias("live_rows"))
+    return current(landed, *tiebreak).groupBy("source_table").agg(F.count("*").alias("live_rows"))
 
 
-def replica(landed: DataFrame, table: str, schema: T.StructType, tiebreak: str | None = None) -> DataFrame:
+def replica(landed: DataFrame, table: str, schema: T.StructType, *tiebreak: str) -> DataFrame:
     """The typed rows of one source table, rebuilt from payloads."""
-    rows = current(landed.filter(F.col("source_table") == table), tiebreak)
+    rows = current(landed.filter(F.col("source_table") == table), *tiebreak)
     return rows.select(F.from_json("payload", schema).alias("r")).select("r.*")

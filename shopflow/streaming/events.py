@@ -2,6 +2,7 @@
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,18 +51,26 @@ def deduplicated(events: DataFrame, key: str, within: str, column: str = "ts") -
     return events.withWatermark(column, within).dropDuplicatesWithinWatermark([key])
 
 
-def route_late(batch: DataFrame, mark, on_time: str, late: str, column: str = "ts", allowed_seconds: int = 0):
-    """Append a batch to one of two tables by its lateness against the mark so far; returns the new mark."""
-    limit = None if mark is None else F.lit(mark) - F.expr(f"INTERVAL {allowed_seconds} SECONDS")
-    is_late: Column = F.lit(False) if limit is None else F.col(column) < limit
-    batch = batch.persist()
-    try:
-        batch.filter(~is_late).write.mode("append").parquet(on_time)
-        batch.filter(is_late).write.mode("append").parquet(late)
-        newest = batch.agg(F.max(column)).first()[0]
-    finally:
-        batch.unpersist()
-    return newest if mark is None or (newest is not None and newest > mark) else mark
+def route_late(batch: DataFrame, batch_id: int, on_time: str, late: str | None = None, column: str = "ts", allowed_seconds: int = 0, policy: str = "side") -> None:
+    """Land a batch by its lateness against the newest event of the batches before it, which is read from the table itself.
+
+    ``drop`` leaves late events out, ``side`` puts them in the table ``late``, ``update`` lands them with the others, so that
+    a recomputation of their bucket counts them. Both tables keep a batch under its number: a replay replaces it.
+    """
+    if policy not in ("drop", "side", "update") or (policy == "side" and late is None):
+        raise ValueError(f"no such policy, or no table for it: {policy}")
+    spark, mark = batch.sparkSession, None
+    if batch_id:
+        try:
+            mark = spark.read.parquet(on_time).filter(F.col("_batch_id") < batch_id).agg(F.max(column)).first()[0]
+        except AnalysisException as e:  # no batch has landed yet
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+    is_late: Column = F.lit(False) if mark is None else F.coalesce(F.col(column) < F.lit(mark) - F.expr(f"INTERVAL {allowed_seconds} SECONDS"), F.lit(False))
+    targets = {on_time: (lambda b: b) if policy == "update" else (lambda b: b.filter(~is_late))}
+    if policy == "side":
+        targets[late] = lambda b: b.filter(is_late)
+    publish(batch, targets, batch_id)
 
 
 def publish(batch: DataFrame, targets: dict[str, Callable[[DataFrame], DataFrame]], batch_id: int) -> None:

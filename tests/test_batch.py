@@ -13,7 +13,7 @@ STATUS = ["pending", "paid", "shipped", "delivered", "cancelled"]
 def shop(spark):
     """The seed's formulas: customers, orders and three items for each order."""
     cities = F.array(*[F.lit(x) for x in ("Moscow", "Kazan", "Omsk", "Tver", "Perm")])
-    customers = spark.range(1, 101).select("id", F.concat(F.lit("customer_"), "id").alias("name"), F.concat(F.lit("customer_"), "id", F.lit("@example.com")).alias("email"), F.element_at(cities, (1 + F.col("id") % 5).cast("int")).alias("city"))
+    customers = spark.range(1, 101).select("id", F.concat(F.lit("customer_"), "id").alias("name"), F.concat(F.lit("customer_"), "id", F.lit("@example.com")).alias("email"), F.element_at(cities, (1 + F.col("id") % 5).cast("int")).alias("city"), F.lit("2026-01-01").cast("timestamp").alias("created_at"))
     day = F.expr("timestamp '2026-03-13' + make_dt_interval(cast(id % 90 as int), cast(id % 24 as int))")
     orders = spark.range(1, 1001).select("id", (1 + F.col("id") % 100).alias("customer_id"), F.element_at(F.array(*[F.lit(x) for x in STATUS]), (1 + F.col("id") % 5).cast("int")).alias("status"), day.alias("order_ts"), (10 + F.col("id") % 490).cast("decimal(10,2)").alias("amount"))
     s = spark.range(1, 4).select(F.col("id").alias("s"))

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shopflow.functions import expressions as fn
-from shopflow.operators import collapse, joins, sinks
+from shopflow.operators import collapse, joins, layout, sinks
 from shopflow.plans import models, quality
 from shopflow.schemas import SCHEMAS, differences, schema
 from shopflow.sources import readers
@@ -95,11 +95,11 @@ def test_salted_join_equals_plain_join(spark):
         joins.salted(facts, dim, "k", how="right")
 
 
-def test_broadcast_only_what_was_counted_to_be_small(spark):
-    big, dim = spark.range(1000), spark.range(100)
+def test_broadcast_only_what_is_known_to_be_small(spark):
+    big, dim = spark.range(1000), spark.range(100)  # 800 bytes
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert "BroadcastHashJoin" in plan(big.join(joins.small(dim, 100), "id")) and "BroadcastHashJoin" not in plan(big.join(joins.small(dim, 99), "id"))
+        assert "BroadcastHashJoin" in plan(big.join(joins.small(dim, 800), "id")) and "BroadcastHashJoin" not in plan(big.join(joins.small(dim, 799), "id"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
@@ -223,12 +223,46 @@ def test_messages_that_cannot_be_read_are_kept_apart(spark):
     assert bad.count() == 3
 
 
-def test_late_events_go_to_a_table_of_their_own(spark, tmp_path):
+def test_late_events_by_policy(spark, tmp_path):
     t = lambda h: datetime(2024, 1, 1, h)
-    mark = None
-    for batch in ([(1, t(10)), (2, t(12))], [(3, t(9)), (4, t(13))], [(5, t(13))]):
-        mark = events.route_late(spark.createDataFrame(batch, "id long, ts timestamp"), mark, f"{tmp_path}/ok", f"{tmp_path}/late", allowed_seconds=3600)
-    assert mark == t(13) and rows(spark.read.parquet(f"{tmp_path}/late").select("id")) == [(3,)] and spark.read.parquet(f"{tmp_path}/ok").count() == 4
+    batches = [[(1, t(10)), (2, t(12))], [(3, t(9)), (4, t(13)), (6, None)], [(5, t(13))]]
+    for policy, landed in (("side", [1, 2, 4, 5, 6]), ("drop", [1, 2, 4, 5, 6]), ("update", [1, 2, 3, 4, 5, 6])):
+        for number in (0, 1, 1, 2, 1):  # replays change nothing
+            events.route_late(spark.createDataFrame(batches[number], "id long, ts timestamp"), number, f"{tmp_path}/{policy}", f"{tmp_path}/late" if policy == "side" else None, allowed_seconds=3600, policy=policy)
+        assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/{policy}").collect()) == landed
+    assert rows(spark.read.parquet(f"{tmp_path}/late").select("id")) == [(3,)]
+    with pytest.raises(ValueError):
+        events.route_late(spark.createDataFrame(batches[0], "id long, ts timestamp"), 0, f"{tmp_path}/x", policy="lose")
+
+
+def test_a_day_without_rows_replaces_its_partition(spark, tmp_path):
+    df = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-01"), (3, "2024-01-02")], "id long, _dt string").withColumn("_dt", F.col("_dt").cast("date"))
+    path = f"{tmp_path}/t"
+    sinks.replace_partitions(df, path)
+    for _ in range(2):
+        sinks.replace_partitions(df.limit(0), path, day="2024-01-01")
+    assert rows(spark.read.parquet(path).select("id")) == [(3,)]
+    sinks.replace_partitions(df, path, day="2024-01-01")
+    assert rows(spark.read.parquet(path).select("id")) == [(1,), (2,), (3,)]
+
+
+def test_delete_in_place_and_dense_ids(spark, tmp_path):
+    df = spark.createDataFrame([(i, "ab"[i % 2], None if i % 5 else i) for i in range(50)] * 2, "id long, k string, v long")
+    df.write.parquet(f"{tmp_path}/t")
+    assert sinks.delete_in_place(spark, f"{tmp_path}/t", F.col("v") > 10).count() == 100 - 14
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+    got = layout.dense_id(df, "n", "k", "id").collect()
+    assert sorted(r.n for r in got) == list(range(1, 101))
+    assert [(r.k, r.id) for r in sorted(got, key=lambda r: r.n)] == sorted((r.k, r.id) for r in got)
+    assert layout.dense_id(df.limit(0), "n", "id").count() == 0
+
+
+def test_the_events_own_time_comes_before_the_sources(spark):
+    lines = ['{"op":"u","after":{"id":1,"v":"new"},"source":{"table":"t","ts_ms":10},"ts_ms":99}', '{"op":"u","after":{"id":1,"v":"old"},"source":{"table":"t","ts_ms":90},"ts_ms":98}', '{"op":"c","after":{"id":2},"source":{"table":"t","ts_ms":5},"ts_ms":0}', '{"op":"d","before":{"id":2},"source":{"table":"t","ts_ms":5}}']
+    rows_ = cdc.decode(spark.createDataFrame([(x, i) for i, x in enumerate(lines)], "value string, at long"), "at")
+    assert sorted((r.id, r._version) for r in rows_.collect()) == [(1, 98), (1, 99), (2, 5), (2, 5)]
+    assert [(r.id, r.payload) for r in cdc.current(rows_, "at").collect()] == [(1, '{"id":1,"v":"new"}')]
+    assert cdc.current(rows_.withColumnRenamed("at", "_position")).count() == 1
 
 
 def test_change_data_cases(spark):
@@ -282,7 +316,7 @@ def test_reconciliation_and_freshness(spark):
 
 def test_orders_without_items_count_zero(spark):
     orders = models.stg_orders(spark.createDataFrame([(1, 7, "paid", datetime(2024, 1, 1), 5.0), (2, 8, "cancelled", datetime(2024, 1, 1), 6.0), (3, 7, None, datetime(2024, 1, 1), 7.0)], "id long, customer_id long, status string, order_ts timestamp, amount double").withColumn("amount", F.col("amount").cast("decimal(10,2)")))
-    customers = models.stg_customers(spark.createDataFrame([(7, "n", "e", "c")], "id long, name string, email string, city string"))
+    customers = models.stg_customers(spark.createDataFrame([(7, "n", "e", "c", None)], "id long, name string, email string, city string, created_at timestamp"))
     items = models.stg_order_items(spark.createDataFrame([(1, 1, "p", 2)], "order_id long, line_no long, product string, quantity int").withColumn("unit_price", F.lit("1.50").cast("decimal(10,2)")))
     facts = models.fct_orders(orders, customers, items)
     assert sorted((r.order_id, r.city, r.item_count, float(r.items_total)) for r in facts.collect()) == [(1, "c", 1, 3.0), (2, None, 0, 0.0), (3, "c", 0, 0.0)]
