@@ -13,7 +13,9 @@ ssn, iban, secret, name, and phone numbers without a country code.
 Scale. Spans are found by a map over rows; only counted vote patterns are
 shuffled, at most 3^4 per kind. EM and the classifier run on that bounded table
 as one row of arrays. Patterns use possessive loops, so long runs neither
-recurse nor go quadratic.
+recurse nor go quadratic; offsets are running sums in blocks, surroundings come
+from what lies between matches, and overlaps are found by halving, so the work
+on a text grows with its length and its spans.
 
 Edge cases. Null text is empty and has no spans. Offsets are code points, ends
 exclusive. Without any candidate the classifier adds nothing. Repeated rows each
@@ -37,7 +39,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]{0,40}[0-9])[A-Za-z0-9_/+=-]{24,}+",
+    "secret": r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{24,}+",
     "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Señora?|Sra?)\.?\x20\p{Lu}\p{L}++(?:\x20\p{Lu}\p{L}++)?",
     "local_phone": r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
 }
@@ -50,21 +52,58 @@ CUES = {
 }
 AGAINST = "isbn|issn|order|invoice|version|build|serial|part no|article|sku|sha|commit|digest|hash|checksum"
 LABELERS, CONTEXT, KEEP = 4, 32, 0.5
+#: Elements of a block of a running sum, and code points of a cell of a text that is cut.
+BLOCK, CELL = 128, 1024
+
+
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _running(x: Column, join) -> Column:
+    """Running sums, or what ``join`` does, of an array of integers: within blocks, and then over blocks, since adding to an array copies it."""
+    empty = F.expr("named_struct('at', cast(null AS int), 'out', cast(array() AS array<int>))")
+    add = lambda acc, v: F.struct(v.alias("at"), F.concat(acc["out"], F.array(v)).alias("out"))
+    onto = lambda acc, v: F.when(acc["at"].isNull(), v).otherwise(join(acc["at"], v))
+
+    def scan(values: Column) -> Column:
+        return F.aggregate(values, empty, lambda acc, v: _let(onto(acc, v), lambda t: add(acc, t)))["out"]
+
+    def blocks(x: Column) -> Column:
+        own = lambda k: F.transform(F.sequence(k * BLOCK, F.least(F.size(x), (k + 1) * BLOCK) - 1), lambda i: F.get(x, i))
+        return F.transform(F.sequence(F.lit(0), ((F.size(x) - 1) / BLOCK).cast("int")), lambda k: scan(own(k)))
+
+    def whole(parts: Column) -> Column:
+        ends = scan(F.transform(parts, lambda p: F.element_at(p, -1)))
+        return _let(ends, lambda e: F.flatten(F.transform(parts, lambda p, k: F.when(k == 0, p).otherwise(F.transform(p, lambda v: join(F.get(e, k - 1), v))))))
+
+    none = F.expr("cast(array() AS array<int>)")
+    return _let(x, lambda x: F.when(F.size(x) > 0, _let(blocks(x), whole)).otherwise(none))
+
+
+_FOUND = "array<struct<start: int, end: int, match: string, before: string, around: string>>"
 
 
 def _found(text: Column, kind: str) -> Column:
-    """Array of (start, end, match) of the leftmost, non-overlapping matches: lengths of matches and of what lies between add up to offsets."""
+    """Array of (start, end, match, before, around) of the leftmost, non-overlapping matches.
+
+    Lengths of matches and of what lies between add up to offsets, and the surroundings of a match are the ends of its
+    neighbours, so nothing walks the text again for a match. ``before`` reaches back to the match before at most.
+    """
     needs = F.contains(text, F.lit(NEEDS[kind])) if len(NEEDS[kind]) == 1 else text.rlike(NEEDS[kind])
-    matches, between = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), F.split(text, PATTERNS[kind], -1)
-    zero = F.expr("named_struct('at', 0, 'out', cast(array() AS array<struct<start: int, end: int, match: string>>))")
+    none = F.expr(f"cast(array() AS {_FOUND})")
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["b"])
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("match")))).alias("out"))
+    def spans(m: Column, b: Column) -> Column:
+        widths = F.transform(m, lambda x, i: F.length(x) + F.length(F.get(b, i)))
+        last = lambda i, n: F.right(F.concat(F.right(F.coalesce(F.get(m, i - 1), F.lit("")), F.lit(n)), F.right(F.get(b, i), F.lit(n))), F.lit(n))
+        next_ = lambda i: F.left(F.concat(F.left(F.get(b, i + 1), F.lit(1)), F.left(F.coalesce(F.get(m, i + 1), F.lit("")), F.lit(1))), F.lit(1))
+        one = lambda x, i, e: F.struct((F.get(e, i) - F.length(x)).alias("start"), F.get(e, i).alias("end"), x.alias("match"), last(i, CONTEXT).alias("before"), F.concat(last(i, 1), F.lit(" "), next_(i)).alias("around"))
+        return _let(_running(widths, lambda p, q: p + q), lambda e: F.transform(m, lambda x, i: one(x, i, e)))
 
-    pairs = F.zip_with(matches, F.slice(between, F.lit(1), F.size(matches)), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
-    return F.when(needs, F.aggregate(pairs, zero, step)["out"]).otherwise(F.expr("cast(array() AS array<struct<start: int, end: int, match: string>>)"))
+    matches = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+    found = _let(matches, lambda m: F.when(F.size(m) > 0, _let(F.split(text, PATTERNS[kind], -1), lambda b: spans(m, b))).otherwise(none))
+    return F.when(needs, found).otherwise(none)
 
 
 def _digits(m: Column) -> Column:
@@ -79,7 +118,9 @@ def _luhn(digits: Column) -> Column:
 
 
 def valid(kind: str, m: Column) -> Column:
-    """Whether a match of a base kind meets the kind's definition."""
+    """Whether a match meets the kind's definition."""
+    if kind == "secret":
+        return m.rlike("[0-9]")
     if kind == "ip":
         part = lambda p: F.regexp_replace(p, "^0+", "")
         return F.forall(F.split(m, r"\."), lambda p: (F.length(part(p)) <= 3) & (F.coalesce(F.substr(part(p), F.lit(1), F.lit(3)).try_cast("int"), F.lit(0)) <= 255))
@@ -123,24 +164,37 @@ def _spans(text: Column, kind: str) -> Column:
     """Candidates of a kind with their votes."""
 
     def one(s):
-        before = F.lower(F.substr(text, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT))))
+        before = F.lower(s["before"])
         cue = F.when(before.rlike(AGAINST), 0).when(before.rlike(CUES[kind]), 1).otherwise(2)
-        around = F.concat(F.substr(text, s["start"], F.when(s["start"] > 0, 1).otherwise(0)), F.lit(" "), F.substr(text, s["end"] + 1, F.lit(1)))
-        apart = (~around.rlike(r"[\p{L}\p{N}@/_]")).cast("int")
+        apart = (~s["around"].rlike(r"[\p{L}\p{N}@/_]")).cast("int")
         votes = F.array(_format_vote(kind, s["match"]), _gazetteer_vote(kind, s["match"]), cue, apart)
         return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(kind in BASE).alias("base"), votes.alias("votes"))
 
     return F.transform(F.filter(_found(text, kind), lambda s: valid(kind, s["match"])), one)
 
 
+def _overlaps(x: Column, base: Column) -> Column:
+    """Whether a span overlaps one of sorted spans that don't overlap each other: of those that begin before its end the last one decides."""
+    middle = lambda r: ((r["lo"] + r["hi"]) / 2).cast("int")
+    pair = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+
+    def halve(r: Column, _: Column) -> Column:
+        before = F.get(base, middle(r))["start"] < x["end"]
+        return F.when(r["lo"] >= r["hi"], r).otherwise(pair(F.when(before, middle(r) + 1).otherwise(r["lo"]), F.when(before, r["hi"]).otherwise(middle(r))))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(base) + F.lit(1))).cast("int"))
+    first_after = F.aggregate(steps, pair(F.lit(0), F.size(base)), halve)["lo"]
+    return F.coalesce(F.get(base, first_after - 1)["end"] > x["start"], F.lit(False))
+
+
 def candidates(documents: DataFrame, keep: tuple = ()) -> DataFrame:
     """doc_id, spans (kind, start, end, base, votes) and the columns of ``keep``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = documents.select("doc_id", *keep, text.alias("_text"))
-    rows = rows.withColumn("_base", F.concat(*(_spans(F.col("_text"), k) for k in BASE)))
+    rows = rows.withColumns({f"_base_{k}": _spans(F.col("_text"), k) for k in BASE})
     added = F.concat(*(_spans(F.col("_text"), k) for k in ADDED))
-    apart = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    return rows.select("doc_id", *keep, F.concat("_base", F.filter(added, apart)).alias("spans"))
+    clash = lambda x: F.coalesce(*(F.when(_overlaps(x, F.col(f"_base_{k}")), True) for k in BASE), F.lit(False))
+    return rows.select("doc_id", *keep, F.concat(*(F.col(f"_base_{k}") for k in BASE), F.filter(added, lambda x: ~clash(x))).alias("spans"))
 
 
 _PRODUCT = "aggregate(sequence(0, {m} - 1), cast(1.0 AS double), (a, j) -> a * s.theta[{y}][j * 3 + p.votes[j]])"
@@ -201,21 +255,34 @@ def report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in BASE), F.sha2(shown(F.filter("spans", lambda x: x["base"])), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
 
 
-def redact(documents: DataFrame, weights: list[float]) -> DataFrame:
-    """The documents with each span replaced by its kind in brackets, overlapping spans by the first one's."""
-    names = documents.columns
-    found = decide(candidates(documents.withColumn("_row", F.struct(*names)), keep=("_row",)), weights)
-    cut = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() AS array<string>)").alias("out")),
-        lambda acc, x: F.when(x["start"] < acc["at"], F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(x["end"].alias("at"), F.concat(acc["out"], F.array(F.substr(F.col("_row.text"), acc["at"] + 1, x["start"] - acc["at"]), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))).alias("out"))
-        ),
-    )
-    found = found.withColumn("cut", F.when(F.size("spans") > 0, cut))
-    rest = F.substr(F.col("_row.text"), F.col("cut.at") + 1, F.length("_row.text"))
-    text = F.when(F.col("cut").isNull(), F.col("_row.text")).otherwise(F.concat(F.array_join("cut.out", ""), rest))
-    return found.select(*(text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in names))
+def with_rows(documents: DataFrame) -> DataFrame:
+    """``candidates`` with the rows they were found in, for ``redact``."""
+    return candidates(documents.withColumn("_row", F.struct(*documents.columns)), keep=("_row",))
+
+
+def _piece(cells: Column, start: Column, end: Column) -> Column:
+    """Code points [start, end) of a text cut into cells."""
+    from_, to = (lambda c: F.greatest(start - c * CELL, F.lit(0))), (lambda c: F.least(end - c * CELL, F.lit(CELL)))
+    part = lambda c: F.substr(F.get(cells, c), from_(c) + 1, to(c) - from_(c))
+    return F.when(end > start, F.array_join(F.transform(F.sequence((start / CELL).cast("int"), ((end - 1) / CELL).cast("int")), part), "")).otherwise("")
+
+
+def redact(found: DataFrame, weights: list[float]) -> DataFrame:
+    """The rows of ``with_rows`` with each span replaced by its kind in brackets, overlapping spans by the first one's."""
+    names = found.schema["_row"].dataType.names
+    text = F.col("_row.text")
+    found = decide(found, weights)
+
+    def cut(cells: Column, ends: Column) -> Column:
+        # how far the spans before reach
+        reach = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+        shown = F.transform("spans", lambda x, i: F.when(x["start"] >= reach(i), F.concat(_piece(cells, reach(i), x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(""))
+        return F.concat(F.array_join(shown, ""), _piece(cells, F.element_at(ends, -1), F.length(text)))
+
+    cells = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CELL}}}"), F.lit(0))
+    ends = _running(F.transform("spans", lambda x: x["end"]), F.greatest)
+    out = F.when(F.size("spans") > 0, _let(cells, lambda c: _let(ends, lambda e: cut(c, e)))).otherwise(text)
+    return found.select(*(out.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in names))
 
 
 def find(documents: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def test_base_spans_and_added_ones(personal):
 
 def test_redaction_keeps_columns_and_clean_texts(personal):
     rows, df = personal
-    out = {r.doc_id: r for r in pii.redact(df, pii.train(pii.candidates(df))).collect()}
+    out = {r.doc_id: r for r in pii.redact(pii.with_rows(df), pii.train(pii.candidates(df))).collect()}
     assert out[1000].text == "[EMAIL][EMAIL]" and out[1001].text == "[IP].[IP]" and out[40].text is None and out[41].text == "" and out[43].text == "one two"
     assert set(out[43].asDict()) == {x.split()[0] for x in DOCUMENTS.split(", ")} and out[43].spans == "x"
     for d, t in ((c[0], c[1]) for c in rows):
@@ -140,6 +140,32 @@ def test_toxicity_edge_cases(documents, no_documents, spark, corpus):
     assert toxicity.keep_clean(documents, model).columns == documents.columns
 
 
+def test_many_spans_and_cuts_across_blocks(spark):
+    r = np.random.default_rng(8)
+    kinds = ["anna.b@mail.example.org", "10.0.0.7", "4111 1111 1111 1111", "+49 30 1234567", "Dr. Ada Lovelace", "078-05-1120", "plain words", "é😀 und", "x" * 1500, "call 555-123-4567 now", "400.0.0.1"]
+    texts = [" ".join(kinds[i] for i in r.integers(0, len(kinds), n)) for n in (1, 2, 127, 128, 129, 700)] + ["a@b.c" * 300, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weights = [5.0] + [0.0] * (len(pii.KINDS) + 2 * pii.LABELERS)  # every candidate stays
+    decided = {r.doc_id: r.spans for r in pii.decide(pii.candidates(df), weights).collect()}
+    redacted = {r.doc_id: r.text for r in pii.redact(pii.with_rows(df), weights).collect()}
+    for i, text in enumerate(texts):
+        base = [(x.start, x.kind, x.end) for x in decided[i] if x.base]
+        assert [f"{k}:{a}:{z}" for a, k, z in base] == brute_spans(text)
+        out, at = "", 0
+        for x in decided[i]:
+            assert x.base or not any(a < x.end and x.start < z for a, _, z in base)
+            if x.start >= at:
+                out += text[at : x.start] + f"[{x.kind.upper()}]"
+            at = max(at, x.end)
+        assert redacted[i] == out + text[at:]
+
+
+def test_secrets_need_a_digit_anywhere(spark):
+    texts = ["a" * 41 + "1" + "b" * 10, "1" + "a" * 41 + "b" * 10, "a" * 60, "key " + "z" * 500 + "7"]
+    found = pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in found} == {0: [("secret", 0, 52)], 1: [("secret", 0, 52)], 2: [], 3: [("secret", 4, 505)]}
+
+
 class PlainKneserNey:
     """Interpolated Kneser-Ney of one language, as in the textbook."""
 
