@@ -5,6 +5,9 @@
 3. decontamination: documents that hold too much of a benchmark item go.
 4. PII: spans of personal data are replaced by their kind in brackets.
 5. mixing: how many words the mix takes of each document.
+
+All stages take whole tables, also empty ones. Columns they don't need may have any name or be missing, and go through
+unchanged until the last stage. A null in any column is no error.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,25 +18,46 @@ from shopflow.llm.shared import materialize, release, table, without, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose clauses score under the threshold, with all their columns.
+
+    Null and empty texts match nothing and stay. Repeated rows are judged alike. Without labels the known words decide.
+    """
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies, that of the least doc_id; of repeated rows of that id one.
+
+    Null, empty and wordless texts are near nothing and stay, and so do rows without an id. Groups of thousands are linked
+    through one typical document each; ties in that go to the greater set id and change no group.
+    """
     return jaccard.one_of_each(docs, k=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without the documents of which five per cent of the words or more are benchmark text.
+
+    Texts without words stay. An empty benchmark drops nothing.
+    """
     found = decontamination.report(decontamination.contamination(docs, table(spark, sf_dir, "benchmark")))
     return without(docs, found.filter("contaminated"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    weights = pii.train(materialize(pii.candidates(docs), "candidates"))
-    out = pii.redact(docs, weights)
+    """All rows, spans of personal data replaced by their kind in brackets, overlapping ones by the first's; n_chars follows.
+
+    Null texts stay null. Candidates are found once and kept with their rows between training and replacing.
+    """
+    found = materialize(pii.with_rows(docs), "candidates", compression="zstd")
+    out = pii.redact(found, pii.train(found))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per doc_id and source: its size, its source's size and target, and the words that the stored mix takes of it.
+
+    A null source is one of its own; null and empty texts have size 0. The order of rows changes nothing.
+    """
     return mixing.taken(*mixing.mix_sources(docs))
 
 
