@@ -25,6 +25,7 @@ give a row; other columns are ignored.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import cells, let, piece, running
 from .shared import materialize
 
 # The kinds in their order, and their patterns.
@@ -52,34 +53,6 @@ CUES = {
 }
 AGAINST = "isbn|issn|order|invoice|version|build|serial|part no|article|sku|sha|commit|digest|hash|checksum"
 LABELERS, CONTEXT, KEEP = 4, 32, 0.5
-#: Elements of a block of a running sum, and code points of a cell of a text that is cut.
-BLOCK, CELL = 128, 1024
-
-
-def _let(value: Column, then) -> Column:
-    """``then`` of a value that is computed once."""
-    return F.transform(F.array(value), then)[0]
-
-
-def _running(x: Column, join) -> Column:
-    """Running sums, or what ``join`` does, of an array of integers: within blocks, and then over blocks, since adding to an array copies it."""
-    empty = F.expr("named_struct('at', cast(null AS int), 'out', cast(array() AS array<int>))")
-    add = lambda acc, v: F.struct(v.alias("at"), F.concat(acc["out"], F.array(v)).alias("out"))
-    onto = lambda acc, v: F.when(acc["at"].isNull(), v).otherwise(join(acc["at"], v))
-
-    def scan(values: Column) -> Column:
-        return F.aggregate(values, empty, lambda acc, v: _let(onto(acc, v), lambda t: add(acc, t)))["out"]
-
-    def blocks(x: Column) -> Column:
-        own = lambda k: F.transform(F.sequence(k * BLOCK, F.least(F.size(x), (k + 1) * BLOCK) - 1), lambda i: F.get(x, i))
-        return F.transform(F.sequence(F.lit(0), ((F.size(x) - 1) / BLOCK).cast("int")), lambda k: scan(own(k)))
-
-    def whole(parts: Column) -> Column:
-        ends = scan(F.transform(parts, lambda p: F.element_at(p, -1)))
-        return _let(ends, lambda e: F.flatten(F.transform(parts, lambda p, k: F.when(k == 0, p).otherwise(F.transform(p, lambda v: join(F.get(e, k - 1), v))))))
-
-    none = F.expr("cast(array() AS array<int>)")
-    return _let(x, lambda x: F.when(F.size(x) > 0, _let(blocks(x), whole)).otherwise(none))
 
 
 _FOUND = "array<struct<start: int, end: int, match: string, before: string, around: string>>"
@@ -99,10 +72,10 @@ def _found(text: Column, kind: str) -> Column:
         last = lambda i, n: F.right(F.concat(F.right(F.coalesce(F.get(m, i - 1), F.lit("")), F.lit(n)), F.right(F.get(b, i), F.lit(n))), F.lit(n))
         next_ = lambda i: F.left(F.concat(F.left(F.get(b, i + 1), F.lit(1)), F.left(F.coalesce(F.get(m, i + 1), F.lit("")), F.lit(1))), F.lit(1))
         one = lambda x, i, e: F.struct((F.get(e, i) - F.length(x)).alias("start"), F.get(e, i).alias("end"), x.alias("match"), last(i, CONTEXT).alias("before"), F.concat(last(i, 1), F.lit(" "), next_(i)).alias("around"))
-        return _let(_running(widths, lambda p, q: p + q), lambda e: F.transform(m, lambda x, i: one(x, i, e)))
+        return let(running(widths, lambda p, q: p + q), lambda e: F.transform(m, lambda x, i: one(x, i, e)))
 
     matches = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    found = _let(matches, lambda m: F.when(F.size(m) > 0, _let(F.split(text, PATTERNS[kind], -1), lambda b: spans(m, b))).otherwise(none))
+    found = let(matches, lambda m: F.when(F.size(m) > 0, let(F.split(text, PATTERNS[kind], -1), lambda b: spans(m, b))).otherwise(none))
     return F.when(needs, found).otherwise(none)
 
 
@@ -260,28 +233,20 @@ def with_rows(documents: DataFrame) -> DataFrame:
     return candidates(documents.withColumn("_row", F.struct(*documents.columns)), keep=("_row",))
 
 
-def _piece(cells: Column, start: Column, end: Column) -> Column:
-    """Code points [start, end) of a text cut into cells."""
-    from_, to = (lambda c: F.greatest(start - c * CELL, F.lit(0))), (lambda c: F.least(end - c * CELL, F.lit(CELL)))
-    part = lambda c: F.substr(F.get(cells, c), from_(c) + 1, to(c) - from_(c))
-    return F.when(end > start, F.array_join(F.transform(F.sequence((start / CELL).cast("int"), ((end - 1) / CELL).cast("int")), part), "")).otherwise("")
-
-
 def redact(found: DataFrame, weights: list[float]) -> DataFrame:
     """The rows of ``with_rows`` with each span replaced by its kind in brackets, overlapping spans by the first one's."""
     names = found.schema["_row"].dataType.names
     text = F.col("_row.text")
     found = decide(found, weights)
 
-    def cut(cells: Column, ends: Column) -> Column:
+    def cut(own: Column, ends: Column) -> Column:
         # how far the spans before reach
         reach = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
-        shown = F.transform("spans", lambda x, i: F.when(x["start"] >= reach(i), F.concat(_piece(cells, reach(i), x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(""))
-        return F.concat(F.array_join(shown, ""), _piece(cells, F.element_at(ends, -1), F.length(text)))
+        shown = F.transform("spans", lambda x, i: F.when(x["start"] >= reach(i), F.concat(piece(own, reach(i), x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(""))
+        return F.concat(F.array_join(shown, ""), piece(own, F.element_at(ends, -1), F.length(text)))
 
-    cells = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CELL}}}"), F.lit(0))
-    ends = _running(F.transform("spans", lambda x: x["end"]), F.greatest)
-    out = F.when(F.size("spans") > 0, _let(cells, lambda c: _let(ends, lambda e: cut(c, e)))).otherwise(text)
+    ends = running(F.transform("spans", lambda x: x["end"]), F.greatest)
+    out = F.when(F.size("spans") > 0, let(cells(text), lambda c: let(ends, lambda e: cut(c, e)))).otherwise(text)
     return found.select(*(out.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in names))
 
 

@@ -16,8 +16,8 @@ most ``sample_rows`` labelled rows; the logistic function is fitted on the same
 rows. A short list of words is known from the start.
 
 Scale. One pass over the labelled rows and one map over all documents, without a
-shuffle of texts. Only bounded things reach the driver: counts of stems that
-passed ``least`` documents, limited to ``max_stems``, and features of the sample.
+shuffle of texts. Only things that the sample bounds reach the driver: counts of
+stems that passed ``least`` of its documents, and features of its rows.
 
 Edge cases. Null and empty texts match nothing and get the score of documents
 without a match. Without labels, or with labels of one class, the known words
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .textbytes import ALNUM, U, Words, chunks, mix, utf8
 
-SAMPLE_ROWS, LEAST, PRECISION, MAX_STEMS, THRESHOLD = 20_000, 5, 0.7, 400, 0.3
+SAMPLE_ROWS, LEAST, PRECISION, THRESHOLD = 20_000, 5, 0.7, 0.3
 STEMS = (0, 5, 6, 7, 8, 9, 10)  # bytes; 0 is the whole word
 
 # Words of the grammar, lower-cased.
@@ -203,7 +203,7 @@ def document_features(buf: np.ndarray, offs: np.ndarray, lexicon: Lexicon) -> np
             continue
         done.add((row, clause))
         lo = hi = p
-        while lo > lo_w and stops[words.start[lo - 1]] == clause and p - lo < 64:
+        while lo > lo_w and stops[words.start[lo - 1]] == clause:
             lo -= 1
         while hi + 1 < hi_w and stops[words.start[hi + 1]] == clause:
             hi += 1
@@ -239,11 +239,11 @@ def _stem_counts(batches, stems):
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), m, np.int32)), pa.array(k.view(np.int64)), pa.array(c[:, 0].astype(np.int64)), pa.array(c[:, 1].astype(np.int64))], ["m", "stem", "clean", "toxic"])
 
 
-def learn_stems(sample: DataFrame, least: int = LEAST, precision: float = PRECISION, max_stems: int = MAX_STEMS) -> pd.DataFrame:
+def learn_stems(sample: DataFrame, least: int = LEAST, precision: float = PRECISION) -> pd.DataFrame:
     """m, stem, weight from rows (text, toxic)."""
     counts = sample.mapInArrow(partial(_stem_counts, stems=STEMS), "m int, stem long, clean long, toxic long").groupBy("m", "stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     good = (F.col("toxic") >= least) & (F.col("toxic") >= precision * (F.col("toxic") + F.col("clean")))
-    best = counts.filter(good).orderBy(F.desc("toxic"), "clean", "m", "stem").limit(max_stems).toPandas()
+    best = counts.filter(good).orderBy(F.desc("toxic"), "clean", "m", "stem").toPandas()
     best["weight"] = best["toxic"] / (best["toxic"] + best["clean"] + 1.0)
     return pd.concat([known_stems(), best[["m", "stem", "weight"]]], ignore_index=True)
 

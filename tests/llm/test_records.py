@@ -44,6 +44,20 @@ def test_chat_parts(spark):
     assert chat.format_chats(spark.createDataFrame([], f"conv_id long, turn long, role string, parts array<{chat.PART}>")).count() == 0
 
 
+def test_placeholders_and_loss_spans_are_read_back(spark):
+    part = lambda kind, text=None: (kind, text, None, None, None, None, None)
+    rows = [(1, 0, "user", [part("image"), part("text", "<image 1> &lt;"), part("a>b <c"), part(None, "é😀"), part("text", "")]), (1, 1, "assistant", [part("text", "x < y &amp; z"), part("image"), part("text", "ok")]), (1, 2, "assistant", []), (1, 3, "tool", [part("text", "t" * 3000)]), (1, 4, "assistant", [part("text", "é" * 2500)])]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    got = chat.read_back(chat.format_chats(df))
+    r = got.withColumn("loss", chat.loss_text(F.col("formatted"), F.col("turns"))).first()
+    assert [(p.type, p.text, p.number) for p in r.turns[0].parts] == [("image", None, 1), ("text", "<image 1> &lt;", None), ("a>b <c", None, 2), ("text", "é😀", None)]
+    assert [(p.type, p.text, p.number) for p in r.turns[1].parts] == [("text", "x < y &amp; z", None), ("image", None, 3), ("text", "ok", None)] and r.turns[2].parts == []
+    undo = lambda x: x.replace("&lt;", "<").replace("&amp;", "&")
+    spans = [undo(r.formatted[t.loss_start : t.loss_start + t.loss_length]) for t in r.turns]
+    assert spans == ["", "x < y &amp; z<image 3>ok", "", "", "é" * 2500] and r.loss == "".join(spans)
+    assert all(r.formatted[t.loss_start - 1] == "\n" for t in r.turns)
+
+
 def test_chat_uses_no_python(spark):
     df = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string").withColumn("parts", chat.text_parts(F.col("text")))
     plan = chat.digest(chat.read_back(chat.format_chats(df)))._jdf.queryExecution().executedPlan().toString()

@@ -302,9 +302,9 @@ def test_pipeline_run_releases_what_stages_wrote(spark):
     found = lambda: set(Path(shared_dir(spark).removeprefix("file:")).glob("pii-*"))
     before = found()
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    # four stage results, and the two tables that the mix is computed from
-    assert written() == 6 and out.count() > 100
-    assert release(spark) == 6 and written() == 0
+    # four stage results, and the three tables that the mix is computed from
+    assert written() == 7 and out.count() > 100
+    assert release(spark) == 7 and written() == 0
     assert found() == before
 
 
