@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import BITS, bitmap, materialize, without
+from .shared import BITS, bitmap, materialize, with_key, without
 from .textbytes import NONSPACE, U, Words, chunks, grams, inside_rows, mix, utf8
 
 K, PERCENT, CELLS, PIECES, BANDS, ROWS, BUCKETS = 4, 85, 1 << 22, 64, 4, 2, 64
@@ -193,21 +193,24 @@ def _suffix(batches, percent: int):
 
 
 def typical_pairs(classes: DataFrame, percent: int) -> DataFrame:
-    """Each class with the most typical class of its bands: one pair at most for each."""
+    """Each class with the most typical class of its bands: one pair at most for each, the smaller set first."""
     rows = classes.select("id", "n", "typical", F.explode("bands").alias("band"))
     best = rows.groupBy("band").agg(F.max(F.struct("typical", "id", "n")).alias("best"), F.count("*").alias("size")).filter("size > 1")
     near = (F.least("n", "best.n") * 100 >= F.greatest("n", "best.n") * percent) & (F.col("id") != F.col("best.id"))
-    return rows.join(best, "band").filter(near).groupBy("id").agg(F.max("best").alias("best")).select(F.col("id").alias("a"), F.col("best.id").alias("b"))
+    chosen = rows.join(best, "band").filter(near).groupBy("id", "n").agg(F.max("best").alias("best"))
+    one, other = F.struct("n", "id"), F.struct("best.n", "best.id")
+    return chosen.select(F.least(one, other)["id"].alias("a"), F.greatest(one, other)["id"].alias("b")).distinct()
 
 
-def prefix_pairs(classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components that share a prefix shingle and pass the length and positional filters.
+def prefix_pairs(classes: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs of classes, of different components if ``roots`` are given, that share a prefix shingle and pass the length and positional filters.
 
     All that two sets share comes at or after the first shingle they share, in
     both orders, so what is left from there bounds the intersection. Later
     matches only have a lower bound: a pair is found if its first match passes.
     """
-    rows = classes.select("id", "n", "prefix").join(roots, F.col("id") == F.col("node"), "left")
+    rows = classes.select("id", "n", "prefix")
+    rows = rows.withColumn("root", F.col("id")) if roots is None else rows.join(roots, F.col("id") == F.col("node"), "left")
     postings = rows.select("id", F.coalesce("root", "id").alias("root"), "n", F.posexplode("prefix").alias("at", "shingle"))
     # most prefix shingles occur in one component only and end here
     mixed = postings.groupBy("shingle").agg(F.min("root").alias("first"), F.max("root").alias("last")).filter("first != last").select("shingle")
@@ -222,20 +225,34 @@ def prefix_pairs(classes: DataFrame, roots: DataFrame, percent: int) -> DataFram
     return x.join(y, (x["shingle"] == y["shingle"]) & ok).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
-def jaccard_components(documents: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id of the component) for each row."""
+def describe(documents: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id of each row with what is known of its set."""
     counts = documents.sparkSession.sparkContext.broadcast(shingle_counts(documents, k))
     kind = documents.schema["doc_id"].dataType.simpleString()
     described = documents.select("doc_id", F.col("text").cast("string")).mapInArrow(partial(_describe, k=k, percent=percent, counts=counts), f"doc_id {kind}, {_DESCRIBED}")
-    described = materialize(described, "described")
-    classes = lambda *columns: described.filter("n > 0").select("id", *columns).dropDuplicates(["id"])
-    links = verify(typical_pairs(classes("n", "typical", "bands"), percent), documents, k, percent)
-    roots = materialize(components(links), "roots")
-    pairs = prefix_pairs(classes("n", "prefix"), roots, percent)
-    buckets = materialize(classes("buckets"), "buckets")
+    return materialize(described, "described")
+
+
+def _classes(described: DataFrame, *columns: str) -> DataFrame:
+    """Each set once."""
+    return described.filter("n > 0").select("id", *columns).dropDuplicates(["id"])
+
+
+def suffix_filter(described: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    buckets = materialize(_classes(described, "buckets"), "buckets")
     sized = pairs.join(buckets.withColumnsRenamed({"id": "a", "buckets": "x"}), "a").join(buckets.withColumnsRenamed({"id": "b", "buckets": "y"}), "b")
-    pairs = sized.select("a", "b", "x", "y").mapInArrow(partial(_suffix, percent=percent), "a long, b long")
-    more = verify(pairs, documents, k, percent)
+    return sized.select("a", "b", "x", "y").mapInArrow(partial(_suffix, percent=percent), "a long, b long")
+
+
+def jaccard_components(documents: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id of the component) for each row."""
+    described = describe(documents, k, percent)
+    typical = materialize(typical_pairs(_classes(described, "n", "typical", "bands"), percent), "typical-pairs")
+    links = verify(typical, documents, k, percent)
+    roots = materialize(components(links), "roots")
+    # a pair that has been compared once and did not link is not compared again
+    pairs = prefix_pairs(_classes(described, "n", "prefix"), roots, percent).join(typical, ["a", "b"], "left_anti")
+    more = verify(suffix_filter(described, pairs, percent), documents, k, percent)
     roots = materialize(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
     rows = described.select("doc_id", "n", "id").join(roots, F.col("id") == F.col("node"), "left")
     rows = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "id")).alias("root"))
@@ -244,8 +261,22 @@ def jaccard_components(documents: DataFrame, k: int = K, percent: int = PERCENT)
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def jaccard_join(documents: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(members, links): doc_id, n_shingles, id (of the row's set; null without words); and a, b, the ids of every two different sets that link.
+
+    All links, each once, of prefix filtering alone: of a dense group there are as many as its sets have pairs.
+    """
+    described = describe(documents, k, percent)
+    links = verify(suffix_filter(described, prefix_pairs(_classes(described, "n", "prefix"), None, percent), percent), documents, k, percent)
+    return described.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("id")).alias("id")), links
+
+
 def one_of_each(documents: DataFrame, k: int, percent: int) -> DataFrame:
-    """One document of each component: that of the least doc_id, once."""
-    found = materialize(jaccard_components(documents.select("doc_id", "text"), k, percent), "found")
-    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    return without(documents, found.filter("doc_id != component_id"), repeated)
+    """One row of each component: that of the least doc_id (null after others), of its rows that of the least text hash, once.
+
+    Rows are told apart by doc_id and text. Rows without words are near nothing and stay.
+    """
+    rows = with_key(documents)
+    found = materialize(jaccard_components(rows.select(F.col("_row_key").alias("doc_id"), "text"), k, percent), "found").withColumnRenamed("doc_id", "_row_key")
+    repeated = found.filter("n_shingles > 0").groupBy("_row_key").agg(F.count("*").alias("n")).filter("n > 1")
+    return without(rows, found.filter("_row_key != component_id"), repeated, "_row_key").drop("_row_key")

@@ -86,23 +86,29 @@ def _rows(batches, shared, wanted: bool):
         yield batch.filter(pa.array(is_set(bits, batch.column(batch.num_columns - 1).to_numpy()) == wanted))
 
 
-def without(documents: DataFrame, drop: DataFrame, once: DataFrame | None = None) -> DataFrame:
-    """The documents whose doc_id is not in ``drop``; of the rows of each id in ``once`` one stays.
+def with_key(documents: DataFrame, name: str = "_row_key") -> DataFrame:
+    """Adds what tells rows apart: rows of one doc_id and different texts, and rows without an id, have keys of their own; those come last."""
+    return documents.withColumn(name, F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text")))
+
+
+def without(documents: DataFrame, drop: DataFrame, once: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """The documents whose key is not in ``drop``; of the rows of each key in ``once`` one stays.
 
     Texts are shuffled only for documents that a bitmap of fixed size cannot
-    rule out. Rows without an id stay.
+    rule out. Rows with a null key stay.
     """
     names = documents.columns
-    drop = materialize(drop.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "drop")
+    keys = lambda df, name: materialize(df.select(key).filter(F.col(key).isNotNull()).distinct(), name)
+    drop = keys(drop, "drop")
     touched = drop
     if once is not None:
-        once = materialize(once.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "once")
+        once = keys(once, "once")
         touched = drop.unionByName(once)
-    shared = documents.sparkSession.sparkContext.broadcast(bitmap(touched.select(F.xxhash64("doc_id").alias("id"))))
-    rows = documents.withColumn("_at", F.xxhash64("doc_id"))
+    shared = documents.sparkSession.sparkContext.broadcast(bitmap(touched.select(F.xxhash64(key).alias("id"))))
+    rows = documents.withColumn("_at", F.xxhash64(key))
     part = lambda wanted: rows.mapInArrow(partial(_rows, shared=shared, wanted=wanted), rows.schema).select(*names)
-    unsure = part(True).join(drop, "doc_id", "left_anti").select(*names)
+    unsure = part(True).join(drop, key, "left_anti").select(*names)
     if once is not None:
-        single = unsure.join(once, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        unsure = unsure.join(once, "doc_id", "left_anti").unionByName(single).select(*names)
+        single = unsure.join(once, key, "left_semi").dropDuplicates([key])
+        unsure = unsure.join(once, key, "left_anti").unionByName(single).select(*names)
     return part(False).unionByName(unsure)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 
 from pyspark.sql import functions as F
@@ -59,6 +60,27 @@ def test_one_of_each_keeps_one_row(documents, corpus):
     assert len([d for d in kept if d == 50]) == 0
 
 
+def test_all_links_of_the_join(documents, corpus):
+    members, links = jaccard.jaccard_join(documents)
+    rows = members.collect()
+    sets = collections.defaultdict(set)
+    for c in corpus:
+        sets[c[0]].add(shingles(c[1], 4))
+    assert all(any(len(x) == r.n_shingles for x in sets[r.doc_id]) and (r.id is None) == (r.n_shingles == 0) for r in rows)
+    distinct = {x for own in sets.values() for x in own if x}
+    assert len({r.id for r in rows if r.id is not None}) == len(distinct)
+    want = sum(100 * len(x & y) >= 85 * len(x | y) for x, y in itertools.combinations(distinct, 2))
+    got = [tuple(sorted((r.a, r.b))) for r in links.collect()]
+    assert len(got) == len(set(got)) == want > 0
+
+
+def test_no_pair_is_compared_twice(spark, documents, monkeypatch):
+    seen, verify = [], jaccard.verify
+    monkeypatch.setattr(jaccard, "verify", lambda pairs, *a: (seen.extend(tuple(sorted((r.a, r.b))) for r in pairs.collect()), verify(pairs, *a))[1])
+    jaccard.jaccard_components(documents).collect()
+    assert seen and len(seen) == len(set(seen))
+
+
 def test_without_drops_and_keeps_once(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "c"), (3, "d")], "doc_id long, text string")
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "doc_id long")
