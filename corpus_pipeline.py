@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopflow.llm import decontamination, jaccard, mixing, pii, toxicity
-from shopflow.llm.shared import materialize, release, table, without, written
+from shopflow.llm.shared import materialize, release, table, with_key, without, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +26,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies, that of the least doc_id; of repeated rows of that id one.
+    """One row of each group of near copies, that of the least doc_id, rows without an id last; of repeated rows one.
 
-    Null, empty and wordless texts are near nothing and stay, and so do rows without an id. Groups of thousands are linked
+    Null, empty and wordless texts are near nothing and stay. Rows of one id and different texts are different documents. Groups of thousands are linked
     through one typical document each; ties in that go to the greater set id and change no group.
     """
     return jaccard.one_of_each(docs, k=5, percent=80)
@@ -39,8 +39,10 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Texts without words stay. An empty benchmark drops nothing.
     """
-    found = decontamination.report(decontamination.contamination(docs, table(spark, sf_dir, "benchmark")))
-    return without(docs, found.filter("contaminated"))
+    rows = with_key(docs)
+    keyed = rows.select(F.col("_row_key").alias("doc_id"), "text")
+    found = decontamination.report(decontamination.contamination(keyed, table(spark, sf_dir, "benchmark")))
+    return without(rows, found.filter("contaminated").withColumnRenamed("doc_id", "_row_key"), key="_row_key").drop("_row_key")
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
