@@ -280,3 +280,28 @@ def one_of_each(documents: DataFrame, k: int, percent: int) -> DataFrame:
     found = materialize(jaccard_components(rows.select(F.col("_row_key").alias("doc_id"), "text"), k, percent), "found").withColumnRenamed("doc_id", "_row_key")
     repeated = found.filter("n_shingles > 0").groupBy("_row_key").agg(F.count("*").alias("n")).filter("n > 1")
     return without(rows, found.filter("_row_key != component_id"), repeated, "_row_key").drop("_row_key")
+
+
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT r, CASE WHEN len(w) < 4 THEN concat(len(w), ' ', array_to_string(w, ' ')) ELSE array_to_string(w[i : i + 3], ' ') END AS g
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT r, count(*) AS n FROM s GROUP BY r
+), sets AS (
+  SELECT r, n, min(r) OVER (PARTITION BY digest) AS c FROM (SELECT r, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS digest FROM s GROUP BY r)
+), one AS (
+  SELECT s.r, s.g, sets.n FROM s JOIN sets ON sets.r = s.r AND sets.c = s.r
+), links AS (
+  SELECT a.r AS a, b.r AS b FROM one a JOIN one b ON a.g = b.g AND a.r <> b.r
+  GROUP BY a.r, b.r HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach AS (
+  SELECT r AS a, r AS b FROM sets WHERE c = r UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+), least AS (
+  SELECT reach.a AS c, min(d.doc_id) AS component_id FROM reach JOIN sets ON sets.c = reach.b JOIN d ON d.r = sets.r GROUP BY reach.a
+)
+SELECT d.doc_id, coalesce(sets.n, 0) AS n_shingles, coalesce(least.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN sets ON sets.r = d.r LEFT JOIN least ON least.c = sets.c
+"""

@@ -61,4 +61,4 @@ _ALL = (
     op6_toxicity, op7_flac, op8_jaccard_join, op9_language_id, op10_suffix_dedup,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE_SQL = {"op1_chat_formatting": chat.SQL, "op3_decontamination": decontamination.SQL, "op5_warc": warc.SQL}
+ORACLE_SQL = {"op1_chat_formatting": chat.SQL, "op3_decontamination": decontamination.SQL, "op5_warc": warc.SQL, "op8_jaccard_join": jaccard.SQL, "op10_suffix_dedup": suffixes.SQL}

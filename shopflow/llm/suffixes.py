@@ -319,3 +319,25 @@ def remove_repeated(documents: DataFrame, length: int = LENGTH, lead: int = LEAD
         F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, EMPTY).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
     )
+
+
+SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), p AS (
+  SELECT r, 1024 * k + j AS i, md5(substr(cell, CAST(2 * j + 1 AS BIGINT), 400)) AS g
+  FROM (SELECT r, k, cell, unnest(range(0, len(cell) // 2 - 199)) AS j
+        FROM (SELECT r, k, substr(h, CAST(2048 * k + 1 AS BIGINT), 2446) AS cell FROM (SELECT r, h, unnest(range(0, (len(h) // 2 - 200) // 1024 + 1)) AS k FROM d WHERE len(h) >= 400)))
+), hit AS (
+  SELECT r, i, i > lag(i) OVER (PARTITION BY r ORDER BY i) + 200 AS apart FROM p WHERE g IN (SELECT g FROM p GROUP BY g HAVING count(*) > 1)
+), runs AS (
+  SELECT r, min(i) AS a, max(i) + 200 AS z FROM (SELECT r, i, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM hit) GROUP BY r, run
+), cut AS (
+  SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM runs
+), kept AS (
+  SELECT cut.r, sum(z - a) AS n_removed, count(*) AS n_spans, concat(string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a), substr(any_value(h), CAST(2 * max(z) + 1 AS BIGINT))) AS h
+  FROM cut JOIN d ON d.r = cut.r GROUP BY cut.r
+)
+SELECT doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.r = d.r
+"""
