@@ -13,17 +13,19 @@ before them.
    splitters, sorted, and compared with their neighbours, across partition
    boundaries too; those whose lead occurs once are dropped.
 2. The others get their context, ``length`` bytes on and ``length - lead`` back.
-   Suffixes are range-partitioned by their leading bytes with sampled splitters
-   and each range is sorted by the whole suffix; neighbours that share the lead
-   are compared at each offset that a string of ``length`` bytes can have, which
-   gives the longest covered span around each anchor.
-3. Leads with over ``hot`` anchors are not compared in one place: the hash of
-   each string around their anchors is counted by a pre-aggregated group.
+   Suffixes are range-partitioned by their leading bytes with sampled splitters,
+   so that no lead is cut by a boundary. Suffixes of a lead are sorted by multikey
+   quicksort, and so are the bytes before them, backwards; neighbours in both
+   orders are compared byte by byte, which gives the longest covered span around
+   each anchor.
+3. Leads with over ``hot`` anchors don't fit one place: the hash of each string
+   around their anchors is counted by a pre-aggregated group instead, with the
+   same result.
 4. Spans are united per text, and texts are cut.
 
 Texts with copies are covered as a whole, if they have ``length`` bytes, and one
-copy takes part in the rest. Strings are compared by 64-bit hashes within a
-lead, texts by 64-bit hashes.
+copy takes part in the rest. Texts, and strings at hot leads, are compared by
+64-bit hashes; all other strings byte by byte.
 
 Scale. What is shuffled is a hash per anchor (about 1 % of the bytes), and the
 context of anchors whose lead repeats. Texts are shuffled only where an anchor of
@@ -40,7 +42,6 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -152,34 +153,62 @@ def with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
 _CONTEXT = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("at", pa.int32()), ("before", pa.binary()), ("suffix", pa.binary()), ("print", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
 
+def _rows(kind: int, n: int, **columns):
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)) if f.name == "kind" else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _CONTEXT], schema=_CONTEXT)
+
+
+def _strings(key: int, raw: bytes, hot: list[int], length: int, back: int):
+    """Hash and place of every string around the hot anchors of a text, each place once."""
+    buf = np.frombuffer(raw, np.uint8)
+    at, last = np.array(hot, np.int64), len(buf) - length
+    edge = np.zeros(last + 2, np.int32)
+    first, end = np.maximum(at - back, 0), np.minimum(at, last) + 1
+    np.add.at(edge, first[first < end], 1)
+    np.add.at(edge, end[first < end], -1)
+    start = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+    up, down = _POWERS.upto(len(buf) + 1)
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_TABLE[buf] * up[: len(buf)], out=total[1:])
+    for i in range(0, len(start), 1 << 17):
+        s = start[i : i + (1 << 17)]
+        h = mix((total[s + length] - total[s]) * down[s])
+        yield _rows(1, len(s), id=np.full(len(s), key, np.int64), print=h.view(np.int64), start=s.astype(np.int32), end=(s + length).astype(np.int32))
+
+
 def _contexts(batches, length: int, lead: int):
     """kind 0: an anchor's context; 1: the hash of a string at a hot anchor; 2: a span that the text alone shows to repeat."""
     back = length - lead
+
+    def near_rows(rows):
+        return _rows(0, len(rows), **dict(zip(("id", "at", "before", "suffix"), zip(*rows, strict=True), strict=True)))
+
     for batch in batches:
-        out, size = [], 0
+        near, size = [], 0
         for key, text, anchors in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("anchors").to_pylist(), strict=True):
-            t, seen = text.as_py().encode(), {}
+            raw, seen, again, hot = text.as_py().encode(), {}, set(), []
             for x in anchors:
                 at = x["at"]
-                before, suffix = t[max(0, at - back) : at], t[at : at + length]
+                before, suffix = raw[max(0, at - back) : at], raw[at : at + length]
                 if len(before) == back and len(suffix) == length:
                     one = seen.setdefault((before, suffix), at)
                     if one != at:  # the same context again: all its strings repeat
-                        out += [(2, key, 0, None, None, 0, p - back, p + length) for p in {one, at}]
+                        again |= {one, at}
                         continue
                 if x["hot"]:
-                    whole = before + suffix
-                    for i in range(len(whole) - length + 1):
-                        p = at - len(before) + i
-                        out.append((1, key, at, None, None, xxhash.xxh3_64_intdigest(whole[i : i + length]) - 2**63, p, p + length))
+                    hot.append(at)
                 else:
-                    out.append((0, key, at, before, suffix, 0, 0, 0))
+                    near.append((key, at, before, suffix))
                     size += len(before) + len(suffix)
-            if len(out) >= 20_000 or size > 1 << 22:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _CONTEXT, strict=True)], schema=_CONTEXT)
-                out, size = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _CONTEXT, strict=True)], schema=_CONTEXT)
+                    if size > 1 << 22:
+                        yield near_rows(near)
+                        near, size = [], 0
+            if hot:
+                yield from _strings(key, raw, hot, length, back)
+            if again:
+                at = np.array(sorted(again), np.int32)
+                yield _rows(2, len(at), id=np.full(len(at), key, np.int64), start=at - back, end=at + length)
+        if near:
+            yield near_rows(near)
 
 
 def _fixed(column, width: int, right: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -192,43 +221,66 @@ def _fixed(column, width: int, right: bool) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
-def spans_of_group(before: np.ndarray, n_before: np.ndarray, suffix: np.ndarray, n_suffix: np.ndarray, group: np.ndarray, length: int, lead: int):
-    """Per context the least and greatest offset of a string that another context of its group has too; -1 if none."""
-    back = length - lead
-    up, down = _POWERS.upto(length + back + 1)
-    whole = np.concatenate([before, suffix], axis=1)
-    total = np.zeros((len(whole), length + back + 1), np.uint64)
-    np.cumsum(_TABLE[whole] * up[: length + back], axis=1, out=total[:, 1:])
-    # column c: the string that begins c bytes into the context, so back - c bytes before the anchor
-    h = (total[:, length:] - total[:, : back + 1]) * down[: back + 1]
-    column = np.arange(back + 1)
-    valid = (back - column <= n_before[:, None]) & (length - (back - column) <= n_suffix[:, None])
-    h = np.where(valid, h, mix(np.arange(h.size, dtype=np.uint64).reshape(h.shape)))
-    hit = np.zeros(h.shape, bool)
-    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    size = np.diff(np.r_[first, len(group)])
-    small = np.repeat(size <= 16, size)
-    for d in range(1, int(min(size.max(initial=1), 16))):
-        pair = (group[d:] == group[:-d]) & small[d:]
-        rows = np.flatnonzero(pair)
-        same = (h[rows] == h[rows + d]) & valid[rows] & valid[rows + d]
-        hit[rows] |= same
-        hit[rows + d] |= same
-    for a, n in zip(first[size > 16].tolist(), size[size > 16].tolist(), strict=True):
-        part = h[a : a + n]
-        order = np.argsort(part, axis=0)
-        ranked = np.take_along_axis(part, order, axis=0)
-        same = np.zeros(part.shape, bool)
-        same[1:] = ranked[1:] == ranked[:-1]
-        same[:-1] |= same[1:].copy()
-        np.put_along_axis(hit[a : a + n], order, same, axis=0)
-    hit &= valid
-    any_ = hit.any(axis=1)
-    return np.where(any_, hit.argmax(axis=1), -1), np.where(any_, back - hit[:, ::-1].argmax(axis=1), -1)
+def multikey_order(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The order of rows of bytes by (group, bytes); groups are numbered in ascending order.
+
+    Multikey quicksort, breadth first, with eight bytes as a key: runs of rows that are tied so far are partitioned by
+    their next key, and only parts of equal keys go on to the key after it.
+    """
+    n, width = rows.shape
+    keys = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    keys[:, :width] = rows
+    keys = keys.view(">u8")
+    order = np.arange(n)
+    new = np.r_[True, group[1:] != group[:-1]]  # where a run of ties begins
+    for k in range(keys.shape[1]):
+        tied = np.flatnonzero(~(new & np.r_[new[1:], True]))
+        if not len(tied):
+            break
+        run, key = np.cumsum(new)[tied], keys[order[tied], k].astype(np.uint64)
+        by = np.lexsort((key, run))
+        order[tied], key = order[tied][by], key[by]
+        new[tied[1:]] |= key[1:] != key[:-1]
+    return order
+
+
+def _shared(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """How many leading bytes each row shares with the row before it; -1 for the first of a group."""
+    differ = rows[1:] != rows[:-1]
+    n = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    return np.r_[-1, np.where(group[1:] == group[:-1], n, -1)]
+
+
+def _classes(rows: np.ndarray, group: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """[i, row]: a number that rows of a group share if their first need[i] bytes are equal."""
+    order = multikey_order(rows, group)
+    out = np.empty((len(need), len(rows)), np.int64)
+    out[:, order] = np.cumsum(_shared(rows[order], group[order])[None, :] < need[:, None], axis=1)
+    return out
+
+
+def spans_of_groups(reversed_before: np.ndarray, n_before: np.ndarray, suffix: np.ndarray, n_suffix: np.ndarray, group: np.ndarray, length: int, lead: int):
+    """Whether a string around an anchor is around another one of its group too, and the most and fewest bytes before the anchor of such strings.
+
+    Suffixes and reversed preceding bytes are sorted, and neighbours compared byte by byte. A string with o bytes before
+    the anchor repeats if another context has the same last o bytes before and the same first ``length`` - o from there on.
+    """
+    n, before = len(group), np.arange(length - lead + 1)
+    valid = (before[:, None] <= n_before) & (length - before[:, None] <= n_suffix)
+    key = _classes(suffix, group, length - before) * (n + 1) + _classes(reversed_before, group, before)
+    key = np.where(valid, key, -1 - np.arange(n))
+    order = np.argsort(key, axis=1)
+    ranked = np.take_along_axis(key, order, axis=1)
+    twin = np.zeros(key.shape, bool)
+    twin[:, 1:] = ranked[:, 1:] == ranked[:, :-1]
+    twin[:, :-1] |= twin[:, 1:].copy()
+    hit = np.zeros(key.shape, bool)
+    np.put_along_axis(hit, order, twin, axis=1)
+    return hit.any(axis=0), length - lead - hit[::-1].argmax(axis=0), hit.argmax(axis=0)
 
 
 def _compare(batches, length: int, lead: int):
-    """Spans of sorted contexts; groups share the lead and may go on in the next batch."""
+    """Spans of contexts ordered by their lead; groups share it and may go on in the next batch."""
     back, held = length - lead, None
     step = 2048
 
@@ -245,10 +297,9 @@ def _compare(batches, length: int, lead: int):
         while a < len(group):  # whole groups, about ``step`` contexts at a time
             later = first[first >= min(a + step, len(group))]
             z = int(later[0]) if len(later) else len(group)
-            low, high = spans_of_group(before[a:z], n_before[a:z], suffix[a:z], n_suffix[a:z], group[a:z], length, lead)
-            got = np.flatnonzero(low >= 0)
-            place = at[a:z][got].astype(np.int64) - back
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a:z][got]), pa.array((place + low[got]).astype(np.int32)), pa.array((place + high[got] + length).astype(np.int32))], ["id", "start", "end"])
+            found, most, least = spans_of_groups(before[a:z, ::-1], n_before[a:z], suffix[a:z], n_suffix[a:z], group[a:z], length, lead)
+            place = at[a:z][found].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a:z][found]), pa.array((place - most[found]).astype(np.int32)), pa.array((place - least[found] + length).astype(np.int32))], ["id", "start", "end"])
             a = z
 
     for batch in batches:
@@ -288,12 +339,13 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, lead: int = LEAD, hot
     """id, start, end: spans of bytes of the texts (id, text) that are covered by repeated strings; they may overlap."""
     anchors = materialize(repeated_anchors(texts, length, lead), "dense")
     busy = anchors.groupBy("lead").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("lead", F.lit(True).alias("hot"))
+    busy = materialize(busy, "hot-leads")  # so that Spark knows its size, and can split the join's hot leads if it does not broadcast it
     marked = anchors.join(busy, "lead", "left").select("id", "at", F.coalesce("hot", F.lit(False)).alias("hot"))
     by_text = materialize(marked.groupBy("id").agg(F.collect_list(F.struct("at", "hot")).alias("anchors")), "anchors-by-text")
     schema = "kind int, id long, at int, before binary, suffix binary, print long, start int, end int"
     found = materialize(with_texts(by_text, texts).select("id", "text", "anchors").mapInArrow(partial(_contexts, length=length, lead=lead), schema), "contexts", compression="zstd")
     contexts = found.filter("kind = 0").select("id", "at", "before", "suffix")
-    ranged = contexts.repartitionByRange(F.substring("suffix", 1, lead)).sortWithinPartitions("suffix", "id", "at")
+    ranged = contexts.repartitionByRange(F.substring("suffix", 1, lead)).sortWithinPartitions(F.substring("suffix", 1, lead))
     spans = ranged.mapInArrow(partial(_compare, length=length, lead=lead), "id long, start int, end int")
     strings = found.filter("kind = 1").select("print", "id", "start", "end")
     twice = strings.groupBy("print").agg(F.min(F.struct("id", "start")).alias("a"), F.max(F.struct("id", "start")).alias("b")).filter("a != b").select("print")
