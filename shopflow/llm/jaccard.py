@@ -8,7 +8,8 @@ share a prefix shingle are compared, and of those only pairs that pass
 
 * the length filter (the smaller has at least t of the larger),
 * the positional filter (what can follow the shared shingle is enough), and
-* a suffix filter (bucketed counts of both sets allow the overlap);
+* a suffix filter (what follows the first shared shingle, partitioned by fixed
+  pivots in the space of hashes, allows the overlap part by part);
 
 each pair left is verified once, on the whole sets. Documents with one set are
 one class, and classes are joined, not copies.
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import BITS, bitmap, materialize, with_key, without
+from .shared import BITS, bitmap, is_set, materialize, with_key, without
 from .textbytes import NONSPACE, U, Words, chunks, grams, inside_rows, mix, utf8
 
 K, PERCENT, CELLS, PIECES, BANDS, ROWS, BUCKETS = 4, 85, 1 << 22, 64, 4, 2, 64
@@ -177,19 +178,34 @@ def verify(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> Data
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     wanted = documents.sparkSession.sparkContext.broadcast(bitmap(ids))
     sets = documents.select(F.col("text").cast("string")).mapInArrow(partial(_emit_sets, k=k, wanted=wanted), "id long, shingles binary")
-    sets = materialize(sets, "sets").dropDuplicates(["id"])
+    sets = materialize(sets.dropDuplicates(["id"]), "sets")  # each set once, as a table, so that Spark can split the joins' hot sets
     left = sets.withColumnsRenamed({"id": "a", "shingles": "x"})
     right = sets.withColumnsRenamed({"id": "b", "shingles": "y"})
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return materialize(both.mapInArrow(partial(_overlaps, percent=percent), "a long, b long"), "links")
 
 
+def _wanted(batches, wanted):
+    bits = np.frombuffer(wanted.value, np.uint8)
+    for batch in batches:
+        yield batch.filter(pa.array(is_set(bits, batch.column(0).to_numpy())))
+
+
+def _after(buckets, prefixes, at: np.ndarray) -> np.ndarray:
+    """Per row, the bucketed counts of a set without its rarest shingles up to place ``at``."""
+    out = np.frombuffer(b"".join(buckets.to_pylist()), "<u4").reshape(-1, BUCKETS).astype(np.int64)
+    for row, (prefix, last) in enumerate(zip(prefixes, at.tolist(), strict=True)):
+        gone = prefix.values.to_numpy()[: last + 1].view(np.uint64)
+        np.subtract.at(out[row], (gone >> U(42) & U(BUCKETS - 1)).astype(np.int64), 1)  # the six bits that choose a bucket
+    return out
+
+
 def _suffix(batches, percent: int):
+    """Of (a, b, n_a, n_b, at_a, at_b, buckets and prefix of both) the pairs whose suffixes allow the overlap."""
     for batch in batches:
-        p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, BUCKETS) for i in (2, 3))
-        most = np.minimum(p, q).sum(axis=1, dtype=np.int64)
-        total = p.sum(axis=1, dtype=np.int64) + q.sum(axis=1, dtype=np.int64)
-        yield batch.select([0, 1]).filter(pa.array((100 + percent) * most >= percent * total))
+        n_a, n_b, at_a, at_b = (batch.column(i).to_numpy().astype(np.int64) for i in range(2, 6))
+        most = 1 + np.minimum(_after(batch.column(6), batch.column(7), at_a), _after(batch.column(8), batch.column(9), at_b)).sum(axis=1)
+        yield batch.select([0, 1]).filter(pa.array((100 + percent) * most >= percent * (n_a + n_b)))
 
 
 def typical_pairs(classes: DataFrame, percent: int) -> DataFrame:
@@ -203,7 +219,7 @@ def typical_pairs(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def prefix_pairs(classes: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs of classes, of different components if ``roots`` are given, that share a prefix shingle and pass the length and positional filters.
+    """Pairs of classes, of different components if ``roots`` are given, that share a prefix shingle and pass the length and positional filters, with the places of the first.
 
     All that two sets share comes at or after the first shingle they share, in
     both orders, so what is left from there bounds the intersection. Later
@@ -222,7 +238,8 @@ def prefix_pairs(classes: DataFrame, roots: DataFrame | None, percent: int) -> D
         (F.col("root_a") != F.col("root_b")) & (F.struct("n_a", "id_a") < F.struct("n_b", "id_b")) & (F.col("n_a") * 100 >= F.col("n_b") * percent)
         & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= needed)
     )
-    return x.join(y, (x["shingle"] == y["shingle"]) & ok).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    matches = x.join(y, (x["shingle"] == y["shingle"]) & ok)
+    return matches.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "n_a", "n_b").agg(F.min("at_a").alias("at_a"), F.min("at_b").alias("at_b"))
 
 
 def describe(documents: DataFrame, k: int, percent: int) -> DataFrame:
@@ -239,9 +256,17 @@ def _classes(described: DataFrame, *columns: str) -> DataFrame:
 
 
 def suffix_filter(described: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    buckets = materialize(_classes(described, "buckets"), "buckets")
-    sized = pairs.join(buckets.withColumnsRenamed({"id": "a", "buckets": "x"}), "a").join(buckets.withColumnsRenamed({"id": "b", "buckets": "y"}), "b")
-    return sized.select("a", "b", "x", "y").mapInArrow(partial(_suffix, percent=percent), "a long, b long")
+    """The pairs of ``prefix_pairs`` whose suffixes, after the first shared shingle, allow the overlap.
+
+    Nothing before the first shared shingle is shared, so 1 plus what the parts of both suffixes can share bounds the intersection.
+    """
+    pairs = materialize(pairs, "candidates")
+    wanted = described.sparkSession.sparkContext.broadcast(bitmap(pairs.select(F.col("a").alias("id")).union(pairs.select("b"))))
+    found = described.filter("n > 0").select("id", "buckets", "prefix").mapInArrow(partial(_wanted, wanted=wanted), "id long, buckets binary, prefix array<long>")
+    known = materialize(found.dropDuplicates(["id"]), "suffixes")
+    x, y = (known.withColumnsRenamed({"id": c, "buckets": f"buckets_{c}", "prefix": f"prefix_{c}"}) for c in "ab")
+    sized = pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "at_a", "at_b", "buckets_a", "prefix_a", "buckets_b", "prefix_b")
+    return sized.mapInArrow(partial(_suffix, percent=percent), "a long, b long")
 
 
 def jaccard_components(documents: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:

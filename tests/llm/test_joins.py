@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from shopflow.llm import decontamination, jaccard, suffixes
@@ -110,9 +111,31 @@ def brute_removed(corpus, n):
     return out
 
 
+def test_multikey_order_is_that_of_bytes():
+    r = np.random.default_rng(3)
+    for width in (1, 8, 13, 40):
+        rows = r.integers(0, 3, (300, width)).astype(np.uint8) * 127
+        group = np.sort(r.integers(0, 5, 300))
+        got = [(int(group[i]), rows[i].tobytes()) for i in suffixes.multikey_order(rows, group)]
+        assert got == sorted(got)
+
+
+def test_suffix_filter_keeps_every_link_and_drops_pairs(spark):
+    words = prose(31, 400).split()
+    rows = [(i, " ".join(words[i * 2 : i * 2 + 120])) for i in range(60)] + [(100, " ".join(words[:60] + prose(32, 60).split()))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    described = jaccard.describe(df, 4, 85)
+    pairs = jaccard.prefix_pairs(jaccard._classes(described, "n", "prefix"), None, 85)
+    left = {(r.a, r.b) for r in jaccard.suffix_filter(described, pairs, 85).collect()}
+    sets = [shingles(t, 4) for _, t in rows]
+    want = sum(100 * len(x & y) >= 85 * len(x | y) for x, y in itertools.combinations(sets, 2))
+    links = jaccard.verify(pairs, df, 4, 85).collect()
+    assert {(r.a, r.b) for r in links} <= left and len(links) == want > 0
+    assert len(left) <= pairs.count()
+
+
 def test_repeated_bytes(documents, corpus):
-    rows = [c for c in corpus if c[0] != 49]
-    df = documents.filter("doc_id IS NULL OR doc_id != 49")
+    rows, df = corpus, documents
     for n, lead, hot in ((200, 48, 4096), (200, 48, 2), (60, 16, 4096)):
         assert rows_of(suffixes.remove_repeated(df, n, lead, hot)) == brute_removed(rows, n)
 
