@@ -18,8 +18,8 @@ before them.
    quicksort, and so are the bytes before them, backwards; neighbours in both
    orders are compared byte by byte, which gives the longest covered span around
    each anchor.
-3. Leads with over ``hot`` anchors don't fit one place: the hash of each string
-   around their anchors is counted by a pre-aggregated group instead, with the
+3. Leads with over ``hot`` anchors don't fit one place: of their distinct contexts
+   the hash of each string is counted by a pre-aggregated group instead, with the
    same result.
 4. Spans are united per text, and texts are cut.
 
@@ -150,42 +150,24 @@ def with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(partial(_pick, wanted=wanted), "id long, text string").dropDuplicates(["id"]).join(rows, "id")
 
 
-_CONTEXT = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("at", pa.int32()), ("before", pa.binary()), ("suffix", pa.binary()), ("print", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+_CONTEXT = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("at", pa.int32()), ("before", pa.binary()), ("suffix", pa.binary()), ("start", pa.int32()), ("end", pa.int32())])
 
 
-def _rows(kind: int, n: int, **columns):
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)) if f.name == "kind" else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _CONTEXT], schema=_CONTEXT)
-
-
-def _strings(key: int, raw: bytes, hot: list[int], length: int, back: int):
-    """Hash and place of every string around the hot anchors of a text, each place once."""
-    buf = np.frombuffer(raw, np.uint8)
-    at, last = np.array(hot, np.int64), len(buf) - length
-    edge = np.zeros(last + 2, np.int32)
-    first, end = np.maximum(at - back, 0), np.minimum(at, last) + 1
-    np.add.at(edge, first[first < end], 1)
-    np.add.at(edge, end[first < end], -1)
-    start = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-    up, down = _POWERS.upto(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_TABLE[buf] * up[: len(buf)], out=total[1:])
-    for i in range(0, len(start), 1 << 17):
-        s = start[i : i + (1 << 17)]
-        h = mix((total[s + length] - total[s]) * down[s])
-        yield _rows(1, len(s), id=np.full(len(s), key, np.int64), print=h.view(np.int64), start=s.astype(np.int32), end=(s + length).astype(np.int32))
+def _rows(n: int, **columns):
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _CONTEXT], schema=_CONTEXT)
 
 
 def _contexts(batches, length: int, lead: int):
-    """kind 0: an anchor's context; 1: the hash of a string at a hot anchor; 2: a span that the text alone shows to repeat."""
+    """kind 0: an anchor's context; 1: that of a hot anchor; 2: a span that the text alone shows to repeat."""
     back = length - lead
 
-    def near_rows(rows):
-        return _rows(0, len(rows), **dict(zip(("id", "at", "before", "suffix"), zip(*rows, strict=True), strict=True)))
+    def context_rows(rows):
+        return _rows(len(rows), **dict(zip(("kind", "id", "at", "before", "suffix"), zip(*rows, strict=True), strict=True)))
 
     for batch in batches:
-        near, size = [], 0
+        found, size = [], 0
         for key, text, anchors in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("anchors").to_pylist(), strict=True):
-            raw, seen, again, hot = text.as_py().encode(), {}, set(), []
+            raw, seen, again = text.as_py().encode(), {}, set()
             for x in anchors:
                 at = x["at"]
                 before, suffix = raw[max(0, at - back) : at], raw[at : at + length]
@@ -194,21 +176,49 @@ def _contexts(batches, length: int, lead: int):
                     if one != at:  # the same context again: all its strings repeat
                         again |= {one, at}
                         continue
-                if x["hot"]:
-                    hot.append(at)
-                else:
-                    near.append((key, at, before, suffix))
-                    size += len(before) + len(suffix)
-                    if size > 1 << 22:
-                        yield near_rows(near)
-                        near, size = [], 0
-            if hot:
-                yield from _strings(key, raw, hot, length, back)
+                found.append((int(x["hot"]), key, at, before, suffix))
+                size += len(before) + len(suffix)
+                if size > 1 << 22:
+                    yield context_rows(found)
+                    found, size = [], 0
             if again:
                 at = np.array(sorted(again), np.int32)
-                yield _rows(2, len(at), id=np.full(len(at), key, np.int64), start=at - back, end=at + length)
-        if near:
-            yield near_rows(near)
+                yield _rows(len(at), kind=np.full(len(at), 2), id=np.full(len(at), key), start=at - back, end=at + length)
+        if found:
+            yield context_rows(found)
+
+
+def _strings(batches, length: int, lead: int):
+    """Of distinct contexts (context, before, suffix, n) the hash of each string with the bytes ``o`` it has before the anchor."""
+    back = length - lead
+    up, down = _POWERS.upto(length + back + 1)
+    o = back - np.arange(back + 1)
+    for batch in batches:
+        for i in range(0, batch.num_rows, 1024):
+            part = batch.slice(i, 1024)
+            (before, n_before), (suffix, n_suffix) = _fixed(part.column(1), back, True), _fixed(part.column(2), length, False)
+            whole = np.concatenate([before, suffix], axis=1)
+            total = np.zeros((len(whole), length + back + 1), np.uint64)
+            np.cumsum(_TABLE[whole] * up[: length + back], axis=1, out=total[:, 1:])
+            h = mix((total[:, length:] - total[:, : back + 1]) * down[: back + 1] + mix(o.astype(np.uint64)))
+            row, column = np.nonzero((o <= n_before[:, None]) & (length - o <= n_suffix[:, None]))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(h[row, column].view(np.int64)), pa.array(o[column].astype(np.int32)), part.column(3).take(pa.array(row))], ["context", "print", "o", "n"])
+
+
+def hot_spans(contexts: DataFrame, length: int, lead: int) -> DataFrame:
+    """id, start, end from contexts (id, at, before, suffix) of hot leads.
+
+    Equal contexts are pre-aggregated to one. Equal strings share an anchor at the same place, so strings are counted by
+    hash and place; a context gets the most and fewest bytes before its anchor of strings that occur again.
+    """
+    contexts = contexts.withColumn("context", F.xxhash64("before", "suffix"))
+    one = contexts.groupBy("context").agg(F.first("before").alias("before"), F.first("suffix").alias("suffix"), F.count("*").alias("n"))
+    one = one.select("context", "before", "suffix", "n")
+    strings = materialize(one.mapInArrow(partial(_strings, length=length, lead=lead), "context long, print long, o int, n long"), "strings")
+    twice = materialize(strings.groupBy("print").agg(F.sum("n").alias("n")).filter("n > 1").select("print"), "twice")  # tables, so that Spark can split the joins' hot keys
+    hits = materialize(strings.join(twice, "print", "left_semi").groupBy("context").agg(F.min("o").alias("least"), F.max("o").alias("most")), "hits")
+    start, end = F.col("at") - F.col("most"), F.col("at") - F.col("least") + length
+    return contexts.select("id", "at", "context").join(hits, "context").select("id", start.alias("start"), end.alias("end"))
 
 
 def _fixed(column, width: int, right: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -342,16 +352,12 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, lead: int = LEAD, hot
     busy = materialize(busy, "hot-leads")  # so that Spark knows its size, and can split the join's hot leads if it does not broadcast it
     marked = anchors.join(busy, "lead", "left").select("id", "at", F.coalesce("hot", F.lit(False)).alias("hot"))
     by_text = materialize(marked.groupBy("id").agg(F.collect_list(F.struct("at", "hot")).alias("anchors")), "anchors-by-text")
-    schema = "kind int, id long, at int, before binary, suffix binary, print long, start int, end int"
+    schema = "kind int, id long, at int, before binary, suffix binary, start int, end int"
     found = materialize(with_texts(by_text, texts).select("id", "text", "anchors").mapInArrow(partial(_contexts, length=length, lead=lead), schema), "contexts", compression="zstd")
-    contexts = found.filter("kind = 0").select("id", "at", "before", "suffix")
-    ranged = contexts.repartitionByRange(F.substring("suffix", 1, lead)).sortWithinPartitions(F.substring("suffix", 1, lead))
+    contexts = found.select("id", "at", "before", "suffix")
+    ranged = contexts.filter(found["kind"] == 0).repartitionByRange(F.substring("suffix", 1, lead)).sortWithinPartitions(F.substring("suffix", 1, lead))
     spans = ranged.mapInArrow(partial(_compare, length=length, lead=lead), "id long, start int, end int")
-    strings = found.filter("kind = 1").select("print", "id", "start", "end")
-    twice = strings.groupBy("print").agg(F.min(F.struct("id", "start")).alias("a"), F.max(F.struct("id", "start")).alias("b")).filter("a != b").select("print")
-    twice = materialize(twice, "twice")  # so that Spark can split the join's hot strings
-    hot_spans = strings.join(twice, "print").groupBy("id", "start").agg(F.first("end").alias("end"))
-    return spans.unionByName(hot_spans.select("id", "start", "end")).unionByName(found.filter("kind = 2").select("id", "start", "end"))
+    return spans.unionByName(hot_spans(contexts.filter(found["kind"] == 1), length, lead)).unionByName(found.filter("kind = 2").select("id", "start", "end"))
 
 
 def remove_repeated(documents: DataFrame, length: int = LENGTH, lead: int = LEAD, hot: int = HOT) -> DataFrame:
