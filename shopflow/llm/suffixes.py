@@ -18,9 +18,9 @@ before them.
    quicksort, and so are the bytes before them, backwards; neighbours in both
    orders are compared byte by byte, which gives the longest covered span around
    each anchor.
-3. Leads with over ``hot`` anchors don't fit one place: the hash of each string
-   around their anchors is counted by a pre-aggregated group instead, with the
-   same result.
+3. Leads with over ``hot`` anchors don't fit one place: each string around their
+   anchors is hashed, once per place, and the hashes are sorted in ranges and
+   compared with their neighbours as in step 1, with the same result.
 4. Spans are united per text, and texts are cut.
 
 Texts with copies are covered as a whole, if they have ``length`` bytes, and one
@@ -42,7 +42,6 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -122,9 +121,11 @@ def _repeated(batches):
         yield pa.RecordBatch.from_arrays([pa.array(edge), pa.array(np.full(len(edge), part, np.int64)), pa.array(np.zeros(len(edge), np.int32)), pa.array(np.zeros(len(edge), np.int32))], ["lead", "id", "at", "state"])
 
 
-def repeated_anchors(texts: DataFrame, length: int, lead: int) -> DataFrame:
-    """lead, id, at of the anchors whose lead occurs at another place."""
-    found = materialize(texts.mapInArrow(partial(_anchors, length=length, lead=lead), "lead long, id long, at int"), "anchors")
+def repeated_places(found: DataFrame) -> DataFrame:
+    """lead, id, at of the places (lead, id, at) whose lead is at another place too: sorted ranges, neighbours compared, across boundaries too.
+
+    Ranges go by all three columns, so that a lead with any number of places is cut into many ranges.
+    """
     ranged = found.repartitionByRange("lead", "id", "at").sortWithinPartitions("lead", "id", "at")
     seen = materialize(ranged.mapInArrow(_repeated, "lead long, id long, at int, state int"), "repeated")
     across = seen.filter("state = 0").groupBy("lead").agg(F.count_distinct("id").alias("parts")).filter("parts > 1").select("lead")
@@ -132,6 +133,11 @@ def repeated_anchors(texts: DataFrame, length: int, lead: int) -> DataFrame:
     return inside.unionByName(seen.filter("state = 1").join(across, "lead").select("lead", "id", "at"))
 
 
+def repeated_anchors(texts: DataFrame, length: int, lead: int) -> DataFrame:
+    """lead, id, at of the anchors whose lead occurs at another place."""
+    return repeated_places(materialize(texts.mapInArrow(partial(_anchors, length=length, lead=lead), "lead long, id long, at int"), "anchors"))
+
+
 def _pick(batches, wanted):
     """Each wanted text once per task."""
     bits, done = np.frombuffer(wanted.value, np.uint8), set()
@@ -154,34 +160,62 @@ def with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
 _CONTEXT = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("at", pa.int32()), ("before", pa.binary()), ("suffix", pa.binary()), ("print", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
 
+def _rows(kind: int, n: int, **columns):
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)) if f.name == "kind" else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _CONTEXT], schema=_CONTEXT)
+
+
+def _strings(key: int, raw: bytes, hot: list[int], length: int, back: int):
+    """Hash and place of every string around the hot anchors of a text, each place once."""
+    buf = np.frombuffer(raw, np.uint8)
+    at, last = np.array(hot, np.int64), len(buf) - length
+    edge = np.zeros(last + 2, np.int32)
+    first, end = np.maximum(at - back, 0), np.minimum(at, last) + 1
+    np.add.at(edge, first[first < end], 1)
+    np.add.at(edge, end[first < end], -1)
+    start = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+    up, down = _POWERS.upto(len(buf) + 1)
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_TABLE[buf] * up[: len(buf)], out=total[1:])
+    for i in range(0, len(start), 1 << 17):
+        s = start[i : i + (1 << 17)]
+        h = mix((total[s + length] - total[s]) * down[s])
+        yield _rows(1, len(s), id=np.full(len(s), key, np.int64), print=h.view(np.int64), start=s.astype(np.int32), end=(s + length).astype(np.int32))
+
+
 def _contexts(batches, length: int, lead: int):
     """kind 0: an anchor's context; 1: the hash of a string at a hot anchor; 2: a span that the text alone shows to repeat."""
     back = length - lead
+
+    def near_rows(rows):
+        return _rows(0, len(rows), **dict(zip(("id", "at", "before", "suffix"), zip(*rows, strict=True), strict=True)))
+
     for batch in batches:
-        out, size = [], 0
+        near, size = [], 0
         for key, text, anchors in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("anchors").to_pylist(), strict=True):
-            t, seen = text.as_py().encode(), {}
+            raw, seen, again, hot = text.as_py().encode(), {}, set(), []
             for x in anchors:
                 at = x["at"]
-                before, suffix = t[max(0, at - back) : at], t[at : at + length]
+                before, suffix = raw[max(0, at - back) : at], raw[at : at + length]
                 if len(before) == back and len(suffix) == length:
                     one = seen.setdefault((before, suffix), at)
                     if one != at:  # the same context again: all its strings repeat
-                        out += [(2, key, 0, None, None, 0, p - back, p + length) for p in {one, at}]
+                        again |= {one, at}
                         continue
                 if x["hot"]:
-                    whole = before + suffix
-                    for i in range(len(whole) - length + 1):
-                        p = at - len(before) + i
-                        out.append((1, key, at, None, None, xxhash.xxh3_64_intdigest(whole[i : i + length]) - 2**63, p, p + length))
+                    hot.append(at)
                 else:
-                    out.append((0, key, at, before, suffix, 0, 0, 0))
+                    near.append((key, at, before, suffix))
                     size += len(before) + len(suffix)
-            if len(out) >= 20_000 or size > 1 << 22:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _CONTEXT, strict=True)], schema=_CONTEXT)
-                out, size = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _CONTEXT, strict=True)], schema=_CONTEXT)
+                    if size > 1 << 22:
+                        yield near_rows(near)
+                        near, size = [], 0
+            if hot:
+                yield from _strings(key, raw, hot, length, back)
+            if again:
+                at = np.array(sorted(again), np.int32)
+                yield _rows(2, len(at), id=np.full(len(at), key, np.int64), start=at - back, end=at + length)
+        if near:
+            yield near_rows(near)
 
 
 def _fixed(column, width: int, right: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -320,11 +354,9 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, lead: int = LEAD, hot
     contexts = found.filter("kind = 0").select("id", "at", "before", "suffix")
     ranged = contexts.repartitionByRange(F.substring("suffix", 1, lead)).sortWithinPartitions(F.substring("suffix", 1, lead))
     spans = ranged.mapInArrow(partial(_compare, length=length, lead=lead), "id long, start int, end int")
-    strings = found.filter("kind = 1").select("print", "id", "start", "end")
-    twice = strings.groupBy("print").agg(F.min(F.struct("id", "start")).alias("a"), F.max(F.struct("id", "start")).alias("b")).filter("a != b").select("print")
-    twice = materialize(twice, "twice")  # so that Spark can split the join's hot strings
-    hot_spans = strings.join(twice, "print").groupBy("id", "start").agg(F.first("end").alias("end"))
-    return spans.unionByName(hot_spans.select("id", "start", "end")).unionByName(found.filter("kind = 2").select("id", "start", "end"))
+    strings = repeated_places(found.filter("kind = 1").select(F.col("print").alias("lead"), "id", F.col("start").alias("at")))
+    hot_spans = strings.select("id", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
+    return spans.unionByName(hot_spans).unionByName(found.filter("kind = 2").select("id", "start", "end"))
 
 
 def remove_repeated(documents: DataFrame, length: int = LENGTH, lead: int = LEAD, hot: int = HOT) -> DataFrame:
