@@ -4,11 +4,17 @@ Method. A clause is a run of words up to ``.``, ``!``, ``?``, ``;`` or a line
 end. Words become symbols: insult stems, threat verbs, target words, negation,
 reporting verbs, anything else. Five weighted transducers read the symbols of a
 clause: the insult and threat ones weigh what is said, the target one raises an
-attack that names somebody within a few words, the negation and
-reported-speech ones lower what follows a negation or a reporting verb. They are
-composed into one machine, and a clause scores the weight of its best path. A
-document's score is a logistic function of its best clause, the sum of its
-clauses and whether anything matched.
+attack that names somebody within a few words before or after it, the negation
+and reported-speech ones lower what follows a negation or a reporting verb. A
+threat needs its target after it, or an object pronoun before it, as German and
+the Romance languages put it. The machines are composed into one, and a clause
+scores the weight of its best path. A document's score is a logistic function of
+its best clause, the sum of its clauses and whether anything matched.
+
+The arcs of each transducer share a weight. The weights are fitted to the
+labelled rows by a logistic regression on how often each fires along the best
+path of a document's best clause, drawn towards ``ARCS`` where rows say little; a
+transducer keeps its sign.
 
 Insult stems and their weights are learned from labels: the beginnings of words
 (``STEMS`` bytes) and whole words whose share of toxic documents is high, on at
@@ -20,8 +26,8 @@ shuffle of texts. Only things that the sample bounds reach the driver: counts of
 stems that passed ``least`` of its documents, and features of its rows.
 
 Edge cases. Null and empty texts match nothing and get the score of documents
-without a match. Without labels, or with labels of one class, the known words
-and a fixed logistic function are used. Labels are taken per row; rows with a
+without a match. Without labels, or with labels of one class, the known words,
+``ARCS`` and a fixed logistic function are used. Labels are taken per row; rows with a
 null label or id are not learned from. Other columns are ignored.
 """
 
@@ -40,21 +46,30 @@ STEMS = (0, 5, 6, 7, 8, 9, 10)  # bytes; 0 is the whole word
 
 # Words of the grammar, lower-cased.
 INSULTS = "idiot moron stupid scum trash loser pathetic worthless disgusting clown fool imbecile dumb jerk bastard".split()
-THREATS = "kill hurt destroy beat smash shoot stab crush töten schlagen zerstören tuer frapper détruire matar golpear destruir".split()
-TARGETS = "you your u they them he him she her du dich dir ihr euch er sie tu toi te vous il elle eux tú ti usted ustedes él ella ellos".split()
+THREATS = (
+    "kill hurt destroy beat smash shoot stab crush töten töte umbringen schlagen schlage zerstören zerstöre erschießen erschieße "
+    "tuer tue tuerai frapper frappe frapperai détruire détruirai matar mato mataré golpear golpearé destruir destruiré"
+).split()
+TARGETS = "you your u they them he him she her du ihr er sie tu toi il elle eux tú ti usted ustedes él ella ellos".split()
+OBJECTS = "dich dir euch te vous os".split()
 NEGATIONS = "not no never isn aren don doesn nicht kein keine nie ne pas jamais nunca jamás".split()
 REPORTS = "said says say called calls wrote writes quoted quote reported claimed sagte sagt schrieb dit écrit appelle dijo dice escribió llamó".split()
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, OBJECT = range(7)
+#: Weights of the arcs of the insult, threat, target, negation and reported-speech transducers before they are fitted.
+ARCS = (1.0, 2.0, 0.5, -0.4, -0.3)
 
 
 class Transducer:
-    """A weighted machine that copies symbols: arcs[state, symbol] is a list of (next state, weight)."""
+    """A weighted machine that copies symbols: arcs[state, symbol] is a list of (next state, weight).
 
-    def __init__(self, n_states: int, n_symbols: int = 6):
+    Weights are numbers, or arrays that say how often each of several parameters counts.
+    """
+
+    def __init__(self, n_states: int, n_symbols: int = 7):
         self.n, self.symbols = n_states, n_symbols
         self.arcs: dict[tuple[int, int], list[tuple[int, float]]] = {(s, x): [] for s in range(n_states) for x in range(n_symbols)}
 
-    def arc(self, state: int, symbols, to: int, weight: float = 0.0) -> "Transducer":
+    def arc(self, state: int, symbols, to: int, weight=0.0) -> "Transducer":
         for x in [symbols] if isinstance(symbols, int) else symbols:
             self.arcs[state, x].append((to, weight))
         return self
@@ -68,45 +83,66 @@ class Transducer:
         return out
 
 
-def _every(but: int | None = None) -> list[int]:
-    return [x for x in range(6) if x != but]
+def _every(*but: int) -> list[int]:
+    return [x for x in range(7) if x not in but]
 
 
-def _window(trigger: int, on: int | tuple, weight: float, reach: int) -> Transducer:
+def _window(trigger: int | tuple, on: int | tuple, weight, reach: int) -> Transducer:
     """Adds the weight to symbols ``on`` that follow ``trigger`` within ``reach`` words."""
-    on = (on,) if isinstance(on, int) else on
+    trigger, on = ((x,) if isinstance(x, int) else x for x in (trigger, on))
     t = Transducer(reach + 1)
     for s in range(reach + 1):
         for x in _every():
-            t.arc(s, x, reach if x == trigger else max(s - 1, 0), weight if s and x in on else 0.0)
+            t.arc(s, x, reach if x in trigger else max(s - 1, 0), weight if s and x in on else 0.0)
     return t
 
 
 @lru_cache
 def grammar() -> Transducer:
-    """The composed machine. An insult's own weight is added by the caller, who knows the stem."""
-    insult = Transducer(1).arc(0, _every(INSULT), 0).arc(0, INSULT, 0, 1.0)
+    """The composed machine, whose weights say which transducers fire. An insult's own weight is added by the caller, who knows the stem."""
+    one, named, attack = np.eye(len(ARCS)), (TARGET, OBJECT), (INSULT, THREAT)
+    insult = Transducer(1).arc(0, _every(INSULT), 0).arc(0, INSULT, 0, one[0])
     threat = Transducer(2)  # a threat needs a target after it
-    threat.arc(0, _every(THREAT), 0).arc(0, THREAT, 1).arc(1, _every(TARGET), 1).arc(1, TARGET, 0, 2.0).arc(0, THREAT, 0)
-    target = _window(TARGET, INSULT, 0.5, 4)
-    negation = _window(NEGATION, (INSULT, THREAT), -0.4, 3)
-    report = _window(REPORT, (INSULT, THREAT), -0.3, 8)
-    return insult.compose(threat).compose(target).compose(negation).compose(report)
+    threat.arc(0, _every(THREAT), 0).arc(0, THREAT, 1).arc(1, _every(*named), 1).arc(1, named, 0, one[1]).arc(0, THREAT, 0)
+    clitic = _window(OBJECT, THREAT, one[1], 3)  # or its object before it
+    before = _window(named, INSULT, one[2], 4)
+    after = _window(INSULT, named, one[2], 2)
+    negation = _window(NEGATION, attack, one[3], 3)
+    report = _window(REPORT, attack, one[4], 8)
+    return insult.compose(threat).compose(clitic).compose(before).compose(after).compose(negation).compose(report)
+
 
+@lru_cache(maxsize=4)
+def weighted(arcs: tuple[float, ...]) -> dict[tuple[int, int], list[tuple]]:
+    """The arcs of the composed machine as (next state, weight, what fires or None)."""
+    w = np.array(arcs)
+    return {at: [(to, float(np.sum(v * w)), v) if np.any(v) else (to, 0.0, None) for to, v in out] for at, out in grammar().arcs.items()}
 
-def clause_weight(symbols: list[int], stems: list[float]) -> float:
-    """The best path's weight over a clause; stems are the learned weights of its insults."""
-    machine, best, at = grammar(), {0: 0.0}, 0
+
+def clause_path(symbols: list[int], stems: list[float], arcs: tuple[float, ...] = ARCS) -> tuple[float, np.ndarray]:
+    """The best path's weight over a clause, and how often each transducer fires on it; stems are the learned weights of its insults."""
+    machine, best, at = weighted(arcs), {0: (0.0, None)}, 0
     for x in symbols:
         own = 0.0
         if x == INSULT:
             own, at = stems[at], at + 1
-        new: dict[int, float] = {}
-        for s, w in best.items():
-            for t, v in machine.arcs[s, x]:
-                new[t] = max(new.get(t, -1e9), w + v + own)
+        new: dict[int, tuple] = {}
+        for s, (w, fired) in best.items():
+            for t, v, what in machine[s, x]:
+                if t not in new or w + v + own > new[t][0]:
+                    new[t] = w + v + own, fired if what is None else (fired, what)
         best = new
-    return max(best.values(), default=0.0)
+    weight, fired = max(best.values(), key=lambda b: b[0])
+    count = np.zeros(len(ARCS))
+    while fired:
+        fired, what = fired
+        count += what
+    count[0] += sum(stems)
+    return weight, count
+
+
+def clause_weight(symbols: list[int], stems: list[float], arcs: tuple[float, ...] = ARCS) -> float:
+    return clause_path(symbols, stems, arcs)[0]
 
 
 def _stem_hashes(words: Words, buf_hash, m: int):
@@ -136,7 +172,7 @@ class _Hashed(Words):
 def _word_symbols() -> dict[int, int]:
     """Hash of each fixed word -> its symbol."""
     out = {}
-    for symbol, words in ((TARGET, TARGETS), (THREAT, THREATS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
+    for symbol, words in ((TARGET, TARGETS), (OBJECT, OBJECTS), (THREAT, THREATS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
         for w in words:
             raw = np.frombuffer(w.encode(), np.uint8)
             out[int(_Hashed(raw, np.array([0, len(raw)])).hash[0])] = symbol
@@ -179,8 +215,8 @@ _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?;\n\r"]] = True
 
 
-def document_features(buf: np.ndarray, offs: np.ndarray, lexicon: Lexicon) -> np.ndarray:
-    """Per row: best clause, log of one plus the sum of positive clauses, whether anything matched."""
+def document_features(buf: np.ndarray, offs: np.ndarray, lexicon: Lexicon, arcs: tuple[float, ...] = ARCS) -> np.ndarray:
+    """Per row: best clause, log of one plus the sum of positive clauses, whether anything matched, and what fires in the best clause."""
     words, fixed = _Hashed(buf, offs), _word_symbols()
     at, weight = lexicon.weights(words)
     keys = np.sort(np.array(list(fixed), np.uint64))
@@ -191,7 +227,7 @@ def document_features(buf: np.ndarray, offs: np.ndarray, lexicon: Lexicon) -> np
     symbol = {int(p): fixed[int(words.hash[p])] for p in near}
     symbol.update(dict.fromkeys(at.tolist(), INSULT))
     own = dict(zip(at.tolist(), weight.tolist(), strict=True))
-    out = np.zeros((len(offs) - 1, 3))
+    out, top = np.zeros((len(offs) - 1, 3 + len(arcs))), {}
     # clauses are numbered by the stops before each word; only those with an insult or a threat are read
     stops = np.concatenate([[0], np.cumsum(_STOP[buf])])
     seeds = sorted(p for p, x in symbol.items() if x in (INSULT, THREAT))
@@ -208,7 +244,9 @@ def document_features(buf: np.ndarray, offs: np.ndarray, lexicon: Lexicon) -> np
         while hi + 1 < hi_w and stops[words.start[hi + 1]] == clause:
             hi += 1
         span = [i for i in range(lo, hi + 1)]
-        w = clause_weight([symbol.get(i, OTHER) for i in span], [own[i] for i in span if i in own])
+        w, fired = clause_path([symbol.get(i, OTHER) for i in span], [own[i] for i in span if i in own], arcs)
+        if w > top.get(row, -np.inf):
+            top[row], out[row, 3:] = w, fired
         if w > 0:
             out[row, 0] = max(out[row, 0], w)
             out[row, 1] += w
@@ -248,34 +286,55 @@ def learn_stems(sample: DataFrame, least: int = LEAST, precision: float = PRECIS
     return pd.concat([known_stems(), best[["m", "stem", "weight"]]], ignore_index=True)
 
 
-def _feature_rows(batches, shared):
+FEATURES = ("best", "total", "any")
+FIRED = ("insult", "threat", "target", "negation", "report")
+
+
+def _feature_rows(batches, shared, arcs: tuple[float, ...], width: int):
     lexicon = Lexicon(shared.value)
     for batch in batches:
         buf, offs = utf8(batch.column(1))
-        x = np.concatenate([document_features(b, o, lexicon) for _, _, b, o in chunks(buf, offs)]) if batch.num_rows else np.zeros((0, 3))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, j]) for j in range(3))], ["id", "best", "total", "any"])
+        x = np.concatenate([document_features(b, o, lexicon, arcs) for _, _, b, o in chunks(buf, offs)]) if batch.num_rows else np.zeros((0, width))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, j]) for j in range(width))], ["id", *(FEATURES + FIRED)[:width]])
 
 
-def features(rows: DataFrame, key: str, stems: pd.DataFrame) -> DataFrame:
-    """id, best, total, any of each row (key, text)."""
+def features(rows: DataFrame, key: str, stems: pd.DataFrame, arcs: tuple[float, ...] = ARCS, fired: bool = False) -> DataFrame:
+    """id, best, total, any of each row (key, text) and, if wanted, how often each transducer fires in its best clause."""
     shared = rows.sparkSession.sparkContext.broadcast(stems)
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, F.col("text").cast("string")).mapInArrow(partial(_feature_rows, shared=shared), f"id {kind}, best double, total double, any double")
+    names = FEATURES + FIRED if fired else FEATURES
+    schema = ", ".join([f"id {rows.schema[key].dataType.simpleString()}", *(f"{c} double" for c in names)])
+    return rows.select(key, F.col("text").cast("string")).mapInArrow(partial(_feature_rows, shared=shared, arcs=arcs, width=len(names)), schema)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1.0) -> np.ndarray:
-    """Newton steps for weights and, last, the intercept."""
+def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1.0, centre=0.0) -> np.ndarray:
+    """Newton steps for weights, drawn towards ``centre``, and, last, the intercept."""
     x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
+    w, centre = np.zeros(x.shape[1]), np.append(np.broadcast_to(centre, x.shape[1] - 1), 0.0)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([ridge] * (len(w) - 1) + [1e-6])
-        w = w + np.linalg.solve(h, x.T @ (y - p) - np.array([ridge] * (len(w) - 1) + [0]) * w)
+        w = w + np.linalg.solve(h, x.T @ (y - p) - np.array([ridge] * (len(w) - 1) + [0]) * (w - centre))
     return w
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[pd.DataFrame, list[float]]:
-    """(stems, weights) from documents (doc_id, text) and labels (doc_id, toxic) outside the held-out fold.
+def fit_arcs(fired: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Weights of the transducers in units of the insult's, from how often each fires in documents with a match, and labels.
+
+    ``ARCS`` stay if there is only one class, or if insults don't speak for it.
+    """
+    matched = fired.any(axis=1)
+    fired, y = fired[matched], y[matched]
+    if len(np.unique(y)) < 2:
+        return ARCS
+    scale = _logistic((fired @ np.array(ARCS))[:, None], y)[0]
+    w = _logistic(fired, y, centre=scale * np.array(ARCS))[:-1]
+    if not (np.isfinite(w).all() and scale > 0 and w[0] > 0):
+        return ARCS
+    return tuple(float(v) if v * a > 0 else 0.0 for v, a in zip(w / w[0], ARCS, strict=True))
+
+
+def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[pd.DataFrame, list[float], tuple[float, ...]]:
+    """(stems, weights, arcs) from documents (doc_id, text) and labels (doc_id, toxic) outside the held-out fold.
 
     At most ``sample_rows`` labels are used, the first by a hash of the id; that bound also bounds what is broadcast.
     """
@@ -287,18 +346,22 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
         marks = marks.filter(F.col("at") < int(-(2**63) + share * (2**64 - 1))).orderBy("at", "toxic").limit(sample_rows)
     sample = documents.select("doc_id", "text").join(F.broadcast(marks.select("doc_id", "toxic")), "doc_id").persist()
     stems = learn_stems(sample.select("text", "toxic"))
-    by_label = [features(sample.filter(F.col("toxic") == c), "doc_id", stems).select("best", "total", "any").toPandas().to_numpy() for c in (0, 1)]
+    by_label = lambda *a: [features(sample.filter(F.col("toxic") == c), "doc_id", stems, *a).drop("id").toPandas().to_numpy() for c in (0, 1)]
+    clean, toxic = by_label(ARCS, True)
+    arcs, y = ARCS, np.repeat([0.0, 1.0], [len(clean), len(toxic)])
+    weights = [1.0, 1.0, 1.0, -3.0]
+    if len(clean) and len(toxic):
+        arcs = fit_arcs(np.concatenate([clean, toxic])[:, len(FEATURES) :], y)
+        weights = _logistic(np.concatenate(by_label(arcs)), y).tolist()
     sample.unpersist()
-    if not all(len(x) for x in by_label):
-        return stems, [1.0, 1.0, 1.0, -3.0]
-    return stems, _logistic(np.concatenate(by_label), np.repeat([0.0, 1.0], [len(x) for x in by_label])).tolist()
+    return stems, weights, arcs
 
 
-def score(documents: DataFrame, model: tuple[pd.DataFrame, list[float]], threshold: float = THRESHOLD) -> DataFrame:
+def score(documents: DataFrame, model: tuple[pd.DataFrame, list[float], tuple[float, ...]], threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted."""
-    stems, w = model
-    z = sum((F.col(c) * F.lit(v) for c, v in zip(("best", "total", "any"), w, strict=False)), F.lit(w[3]))
-    out = features(documents, "doc_id", stems).select(F.col("id").alias("doc_id"), (1 / (1 + F.exp(-z))).alias("score"))
+    stems, w, arcs = model
+    z = sum((F.col(c) * F.lit(v) for c, v in zip(FEATURES, w, strict=False)), F.lit(w[3]))
+    out = features(documents, "doc_id", stems, arcs).select(F.col("id").alias("doc_id"), (1 / (1 + F.exp(-z))).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -307,17 +370,17 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def _clean_rows(batches, shared, text: int, weights: list[float], threshold: float):
+def _clean_rows(batches, shared, text: int, weights: list[float], arcs: tuple[float, ...], threshold: float):
     lexicon = Lexicon(shared.value)
     for batch in batches:
         buf, offs = utf8(batch.column(text))
-        x = np.concatenate([document_features(b, o, lexicon) for _, _, b, o in chunks(buf, offs)]) if batch.num_rows else np.zeros((0, 3))
+        x = np.concatenate([document_features(b, o, lexicon, arcs)[:, :3] for _, _, b, o in chunks(buf, offs)]) if batch.num_rows else np.zeros((0, 3))
         p = 1 / (1 + np.exp(-(x @ np.array(weights[:3]) + weights[3])))
         yield batch.filter(pa.array(p < threshold))
 
 
-def keep_clean(documents: DataFrame, model: tuple[pd.DataFrame, list[float]], threshold: float = THRESHOLD) -> DataFrame:
+def keep_clean(documents: DataFrame, model: tuple[pd.DataFrame, list[float], tuple[float, ...]], threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score is under the threshold, with all their columns."""
-    stems, w = model
+    stems, w, arcs = model
     shared = documents.sparkSession.sparkContext.broadcast(stems)
-    return documents.mapInArrow(partial(_clean_rows, shared=shared, text=documents.columns.index("text"), weights=w, threshold=threshold), documents.schema)
+    return documents.mapInArrow(partial(_clean_rows, shared=shared, text=documents.columns.index("text"), weights=w, arcs=arcs, threshold=threshold), documents.schema)

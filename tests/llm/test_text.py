@@ -110,6 +110,44 @@ def test_composition_is_the_sum_of_both_machines():
         assert run(a.compose(b), word) == run(a, word) + run(b, word)
 
 
+def test_clauses_score_their_best_path_among_all():
+    T, r = toxicity, np.random.default_rng(3)
+    arcs = (1.0, 1.7, 0.6, -0.9, -0.2)
+    machine = T.grammar().arcs
+
+    def paths(state, word):
+        if not word:
+            yield np.zeros(5)
+            return
+        for to, fires in machine[state, word[0]]:
+            for rest in paths(to, word[1:]):
+                yield fires + rest
+
+    for _ in range(200):
+        word = r.integers(0, 7, 7).tolist()
+        stems = r.uniform(0.5, 1, word.count(T.INSULT)).tolist()
+        want = max(float(p @ np.array(arcs)) for p in paths(0, word)) + sum(stems)
+        got, fired = T.clause_path(word, stems, arcs)
+        assert abs(got - want) < 1e-9 and abs(fired @ np.array(arcs) - got) < 1e-9
+
+
+def test_targets_on_either_side():
+    T = toxicity
+    assert T.clause_weight([T.INSULT, T.TARGET], [1.0]) == T.clause_weight([T.TARGET, T.INSULT], [1.0]) > T.clause_weight([T.INSULT], [1.0])
+    assert T.clause_weight([T.OBJECT, T.THREAT], []) == 2.0 and T.clause_weight([T.TARGET, T.THREAT], []) == 0.0
+    assert T.clause_weight([T.THREAT, T.OBJECT], []) == 2.0
+
+
+def test_arcs_are_fitted():
+    """Of negated insults few are toxic, of others most: the weight of a negation falls; nothing is known of the others."""
+    fired = np.array([[2.0, 0, 0, n, 0] for n in (0, 1)] * 500)
+    y = np.array([float(i % 20 < 18) if not n else float(i % 20 < 3) for i, n in enumerate(fired[:, 3])])
+    arcs = toxicity.fit_arcs(fired, y)
+    assert arcs[0] == 1.0 and arcs[3] < toxicity.ARCS[3] and arcs[1] > 0 and arcs[2] > 0 and arcs[4] < 0
+    assert toxicity.fit_arcs(fired, np.ones(len(y))) == toxicity.fit_arcs(fired * 0, y) == toxicity.ARCS
+    assert toxicity.fit_arcs(-fired, y)[0] == 1.0
+
+
 @pytest.fixture(scope="module")
 def insults(spark):
     r = np.random.default_rng(1)
