@@ -2,12 +2,15 @@
 
 import collections
 import hashlib
+import itertools
+import random
+import re
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from shopflow.llm import merkle
+from shopflow.llm import conversations, merkle
 
 
 def sha(*parts: str) -> str:
@@ -92,3 +95,111 @@ def test_merkle_keeps_every_few_levels_and_splits_a_hot_group(spark):
     assert leaves.agg(F.count_distinct("idx")).first()[0] == 20_000
     plan = leaves._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan.replace("BroadcastExchange", "")
+
+
+SPACES = re.compile("[^\x20\x09-\x0D]")
+WROTE = {"u": "user", "a": "assistant"}
+
+
+def damaged_by_force(rows: list[tuple]) -> dict:
+    """Rows after damage by conversation, in order; conversations without any too."""
+    out = collections.defaultdict(list)
+    for conv, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        shown = lambda v: " " if v is None else str(v)
+        k = zlib.crc32(f"{shown(conv)}:{shown(turn)}".encode()) % 20
+        text = "" if k == 1 else re.sub("[.!?]", "", text) if k == 2 else text
+        out[conv] += [(turn, "user" if k == 4 else role, text)] * {0: 0, 3: 2}.get(k, 1)
+    return {c: sorted(rs, key=lambda r: (r[0] is not None, r[0] or 0, r[1], sha(r[2]))) for c, rs in out.items()}
+
+
+def faults_by_force(rows: list[tuple]) -> list[str]:
+    out, seen = [], set()
+    for _, role, text in rows:
+        said = SPACES.findall(text)
+        out.append("blank" if not said else "duplicate" if (role, text) in seen else "" if said[-1] in ".!?" else "truncated")
+        seen.add((role, text))
+    return out
+
+
+def audits_by_force(rows: list[tuple], faults: list[str]) -> tuple:
+    """(cost, audit, turns): of all ways to edit with up to two insertions in a row, the cheapest that gives sound roles."""
+    found = []
+
+    def go(i: int, inserted: int, cost: int, audit: str, turns: tuple) -> None:
+        if i == len(rows):
+            if re.fullmatch("(s?(ua)+)?", "".join(r[:1] or "-" for r, _ in turns)):
+                found.append((cost, audit, turns))
+        else:
+            _, role, text = rows[i]
+            late = 3 if faults[i] == "truncated" else 0
+            go(i + 1, 0, cost + 4, audit + "D", turns)
+            if faults[i] not in ("blank", "duplicate"):
+                go(i + 1, 0, cost + late, audit + "K", (*turns, (role, text)))
+                for name in WROTE.values():
+                    go(i + 1, 0, cost + late + 3, audit + "R", (*turns, (name, text)))
+        if inserted < 2:
+            for name in WROTE.values():
+                go(i, inserted + 1, cost + 3, audit + "I", (*turns, (name, "")))
+
+    go(0, 0, 0, "", ())
+    return min(found)
+
+
+def repaired_by_force(rows: list[tuple]) -> list[tuple]:
+    out = []
+    for conv, own in damaged_by_force(rows).items():
+        faults = faults_by_force(own)
+        turns = [t for t, _, _ in own if t is not None]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in itertools.pairwise(own))
+        cost, audit, fixed = audits_by_force(own, faults)
+        out.append((conv, gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, sha("\n".join(f"{r}:{t}" for r, t in fixed))))
+    return sorted(out, key=str)
+
+
+TURNS = "conv_id long, turn long, role string, text string, signature string, digest string, at int, plan int, audit string"
+FIXED = ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+
+
+def talk(seed: int, conv, n: int) -> list[tuple]:
+    r = random.Random(seed)
+    texts = ["Yes.", "no", "  ", None, "", "Why?! \n", "é😀.", ". x", "A.\u00a0"]
+    return [(conv, r.choice([None, *range(9)]), r.choice(["user", "assistant", "user", "assistant", "system", "tool", "", None, "useful", "Assistant"]), r.choice(texts)) for _ in range(n)]
+
+
+def test_repair_of_small_conversations(spark):
+    """Nulls, blanks, ties of turns, repeated rows, odd roles and names that clash against all edits there are."""
+    rows = [x for k in range(60) for x in talk(k, k, 1 + k % 3)] + talk(999, None, 3) + [(1000, None, None, None), (1001, 5, "user", "Hi."), (1001, -3, "assistant", "Ho.")]
+    rows += [(c, t, "user", "dropped.") for c, t in [(c, t) for c in range(2000, 2100) for t in (0,) if zlib.crc32(f"{c}:{t}".encode()) % 20 == 0]]
+    df = spark.createDataFrame([(*r, "x", "y", 1, 2, "z") for r in rows], TURNS).repartition(5)
+    got = conversations.digests(conversations.damage(df)).collect()
+    assert sorted((tuple(r[c] for c in FIXED) for r in got), key=str) == repaired_by_force(rows)
+    assert any(r.audit == "" for r in got) and {e for r in got for e in r.audit} == set("DIKR")
+
+
+def test_repaired_turns(spark):
+    rows = [(1, 0, "system", "Be kind."), (1, 1, "assistant", "Hello."), (1, 2, "user", "So"), (1, 2, "user", "So"), (2, 0, "user", "  ")]
+    df = spark.createDataFrame([(*r, "x", "y", 1, 2, "z") for r in rows], TURNS)
+    got = [tuple(r) for r in conversations.repair(df).orderBy("conv_id", "n").collect()]
+    own = [(t, r, x) for c, t, r, x in rows if c == 1]
+    assert got == [(1, i, r, t) for i, (r, t) in enumerate(audits_by_force(own, faults_by_force(own))[2])]
+    assert conversations.digests(conversations.damage(df.limit(0))).collect() == []
+
+
+def test_equal_ends_are_one_node(spark):
+    """Nodes are the different ends of signatures, and a pattern that many conversations share is solved once."""
+    found = ["suaua", "uaua", "xua", "ua", "ua", "ua", "uaU", ""]
+    got = conversations.plans(spark.createDataFrame([(x,) for x in found], "signature string").repartition(2)).coalesce(1).collect()
+    assert sorted(r.signature for r in got) == sorted(set(found))
+    one = conversations.Automaton()
+    for x in sorted(x[::-1] for x in set(found)):
+        one.read(x)
+    assert one.nodes == len({x[i:] for x in found for i in range(len(x) + 1)})
+
+
+def test_long_conversation_is_linear(spark):
+    """200,000 rows of one conversation, with a fault now and then."""
+    rows = spark.range(200_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.when(F.col("id") % 1000 == 999, "").otherwise(F.concat(F.lit("Turn "), F.col("id"), F.lit("."))).alias("text"))
+    got = conversations.digests(rows).first()
+    assert got.blank == 200 and len(got.audit) == 200_200 and got.cost == 200 * (conversations.DELETE + conversations.INSERT)
