@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, conversations, decontamination, flac, jaccard, langid, merkle, mixing, pii, suffixes, toxicity, warc
+from . import chat, conversations, decontamination, flac, jaccard, langid, merkle, mixing, phrases, pii, suffixes, toxicity, warc
 from .shared import table
 
 
@@ -64,10 +64,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digests(conversations.damage(table(spark, sf_dir, "conversations")))
 
 
+def op13_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.fingerprints(table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_chat_formatting, op2_mixing, op3_decontamination, op4_pii, op5_warc,
     op6_toxicity, op7_flac, op8_jaccard_join, op9_language_id, op10_suffix_dedup,
-    op11_merkle, op12_conversation_repair,
+    op11_merkle, op12_conversation_repair, op13_phrase_fingerprint,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {"op1_chat_formatting": chat.SQL, "op3_decontamination": decontamination.SQL, "op5_warc": warc.SQL, "op8_jaccard_join": jaccard.SQL, "op10_suffix_dedup": suffixes.SQL, "op11_merkle": merkle.SQL, "op12_conversation_repair": conversations.SQL}

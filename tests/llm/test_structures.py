@@ -7,10 +7,11 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shopflow.llm import conversations, merkle
+from shopflow.llm import conversations, merkle, phrases
 
 
 def sha(*parts: str) -> str:
@@ -203,3 +204,74 @@ def test_long_conversation_is_linear(spark):
     rows = spark.range(200_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.when(F.col("id") % 1000 == 999, "").otherwise(F.concat(F.lit("Turn "), F.col("id"), F.lit("."))).alias("text"))
     got = conversations.digests(rows).first()
     assert got.blank == 200 and len(got.audit) == 200_200 and got.cost == 200 * (conversations.DELETE + conversations.INSERT)
+
+
+def phrases_by_force(data: bytes) -> set[bytes]:
+    out, start = set(), 0
+    for end in range(1, len(data) + 1):
+        if data[start:end] not in out:
+            out.add(data[start:end])
+            start = end
+    return out
+
+
+def neighbours_by_force(rows: list[tuple]) -> list[tuple]:
+    """doc_id, n_chars, edited_sha256, and the texts: own, edited, next. Rows are (doc_id, text, hash of the text)."""
+    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[2]))
+    out = []
+    for own, after in zip(rows, rows[1:] + rows[:1]):
+        text, following = own[1] or "", after[1] or ""
+        m = len(text) // 3
+        edited = text[: len(text) - m] + following[:m]
+        out.append((own[0], len(text), sha(edited), text, edited, following))
+    return out
+
+
+def checked_fingerprints(df, parts: int) -> None:
+    hashed = df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit("")))).collect()
+    want = collections.Counter()
+    of = lambda text: phrases.Parse().read(text.encode()).print()
+    for doc_id, n, edited_sha, text, edited, following in neighbours_by_force([tuple(r) for r in hashed]):
+        a, b, c = of(text), of(edited), of(following)
+        want[(doc_id, n, edited_sha, phrases.shown(a), phrases.shown(b), phrases.likeness(a, b), phrases.likeness(a, c))] += 1
+    got = collections.Counter(tuple(r) for r in phrases.fingerprints(df, parts).collect())
+    assert got == want
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_fingerprints_of_awkward_rows(documents, parts):
+    checked_fingerprints(documents, parts)
+
+
+def test_fingerprints_of_few_rows(spark, no_documents):
+    assert phrases.fingerprints(no_documents).collect() == []
+    for rows in ([(1, "one text of one row")], [(None, None)], [(1, None), (2, "")], [(5, "a"), (5, "a"), (5, "a")], [(-(2**63), "least"), (2**63 - 1, "greatest one"), (0, "zero " * 9)]):
+        checked_fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), 3)
+
+
+def test_likeness_is_that_of_the_phrase_sets():
+    """The phrases are those of the plain parse; estimates are near the exact likeness of the sets, of short texts too."""
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(300)]
+    errors = []
+    for n in (3, 12, 60, 400, 3000):
+        for keep in (0.0, 0.5, 0.9, 1.0):
+            a = " ".join(r.choice(words) for _ in range(n)).encode()
+            b = a[: int(len(a) * keep)] + " ".join(r.choice(words) for _ in range(n)).encode()[int(len(a) * keep) :]
+            x, y = phrases_by_force(a), phrases_by_force(b)
+            parse = phrases.Parse().read(a)
+            assert len(parse.new) == len(x) and len(set(phrases._hashed(parse.new, phrases._ROOT).tolist())) == len(x) + 1
+            errors.append(phrases.likeness(parse.print(), phrases.Parse().read(b).print()) - len(x & y) / len(x | y))
+            assert a != b or errors[-1] == 0
+    assert max(map(abs, errors)) < 0.2 and abs(np.mean(errors)) < 0.03
+
+
+def test_a_fork_parses_as_the_whole_text_does(monkeypatch):
+    """Also where the dictionary starts anew, in the shared part and after it, and in runs of one byte."""
+    monkeypatch.setattr(phrases, "DICTIONARY", 500)
+    monkeypatch.setattr(phrases, "STEP", 256)
+    r = random.Random(4)
+    for text in ("x" * 5000, "".join(r.choice("abcdé") for _ in range(9000)), "ab" * 2000 + "é" * 700):
+        for cut in (0, 1, 255, 256, 3000, len(text)):
+            whole = phrases.Parse().read(text.encode()).print()
+            assert (phrases.Parse().read(text[:cut].encode()).settle().fork().read(text[cut:].encode()).print() == whole).all()
