@@ -208,12 +208,16 @@ def _keys(doc_id: Column, text: Column) -> dict[str, Column]:
 
 
 def in_ranges(documents: DataFrame, parts: int | None = None) -> DataFrame:
-    """doc_id, text, guest in ranges of descending ids, each in order in a partition of its own, and behind it as a guest the row that comes next."""
+    """doc_id, text, guest in ranges of descending ids, each in order in a partition of its own, and behind it as a guest the row that comes next.
+
+    There are as many ranges as shuffle partitions, unless ``parts`` says how many.
+    """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = rows.withColumns(_keys(F.col("doc_id"), F.col("text")))
     names = ("nameless", "down", "h")
-    light = keyed.select(*names)
-    ranged = light.repartitionByRange(parts, *names) if parts else light.repartitionByRange(*names)
+    # a number of ranges of their own: by the bytes of keys alone they would be few
+    parts = parts or int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = keyed.select(*names).repartitionByRange(parts, *names)
     firsts = sorted(tuple(r[0]) for r in ranged.groupBy(F.spark_partition_id()).agg(F.min(F.struct(*names)).alias("first")).select("first").collect())
     bounds = _sortable(*(np.array([f[i] for f in firsts], t) for i, t in enumerate((bool, np.int64, np.int64)))) if firsts else None
 
