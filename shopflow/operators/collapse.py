@@ -24,19 +24,28 @@ def duplicate_report(df: DataFrame, key: str) -> DataFrame:
     return df.agg(F.count("*").alias("raw_count"), F.count_distinct(key).alias("deduped_count"))
 
 
-def partials(df: DataFrame, keys: list[str], sums: dict[str, str] | None = None, distinct: dict[str, str] | None = None) -> DataFrame:
-    """States of one block of rows: counts and sums as numbers, distinct counts as sketches."""
+#: Size of quantile sketches: ranks are right to about 0.4 per cent.
+QUANTILE_K = 800
+
+
+def partials(df: DataFrame, keys: list[str], sums: dict[str, str] | None = None, distinct: dict[str, str] | None = None, quantiles: dict[str, str] | None = None) -> DataFrame:
+    """States of one block of rows: counts and sums as numbers, distinct counts and quantiles as sketches."""
     states = [F.count("*").alias("count_state")]
     states += [F.sum(c).alias(f"{name}_state") for name, c in (sums or {}).items()]
     states += [F.hll_sketch_agg(c).alias(f"{name}_sketch") for name, c in (distinct or {}).items()]
+    states += [F.kll_sketch_agg_double(F.col(c).cast("double"), QUANTILE_K).alias(f"{name}_kll") for name, c in (quantiles or {}).items()]
     return df.groupBy(*keys).agg(*states)
 
 
-def merged(states: DataFrame, keys: list[str], sums: list[str] = (), distinct: list[str] = ()) -> DataFrame:
-    """The result of all blocks' states."""
+def merged(states: DataFrame, keys: list[str], sums: list[str] = (), distinct: list[str] = (), quantiles: dict[str, list[float]] | None = None) -> DataFrame:
+    """The result of all blocks' states; of ``quantiles`` an array of the values at the given ranks, null without values."""
     out = [F.sum("count_state").alias("count")]
     out += [F.sum(f"{n}_state").alias(n) for n in sums]
     out += [F.hll_sketch_estimate(F.hll_union_agg(f"{n}_sketch")).alias(n) for n in distinct]
+    for n, ranks in (quantiles or {}).items():
+        state = F.kll_merge_agg_double(f"{n}_kll")
+        values = F.kll_sketch_get_quantile_double(state, F.array(*(F.lit(float(r)) for r in ranks)))
+        out.append(F.when(F.kll_sketch_get_n_double(state) > 0, values).alias(n))
     return states.groupBy(*keys).agg(*out)
 
 

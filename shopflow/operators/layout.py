@@ -27,6 +27,41 @@ def dense_id(df: DataFrame, name: str, *order: str) -> DataFrame:
     return kept.join(F.broadcast(starts), part == F.col("_part")).withColumn(name, F.col("_start") + F.col("_place").bitwiseAND((1 << 33) - 1) + 1).drop("_place", "_part", "_start")
 
 
+def placed(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """Adds ``_place``, the number of a row in its group's order from 0, and ``_rows``, the rows of its group, without a window over a group.
+
+    Ranges of keys and order are sorted; a row's place is its place in the range and the rows of its group in the ranges before. A null is a key like another.
+    """
+    group, names = F.struct(*keys), df.columns
+    at, part = F.monotonically_increasing_id(), F.shiftright("_at", 33)
+    kept = stored(df.withColumn("_row", at).repartitionByRange(*keys, *order, "_row").sortWithinPartitions(*keys, *order, "_row").drop("_row").withColumn("_at", at).withColumn("_group", group), "placed")
+    # a row for each group and range
+    runs = kept.groupBy("_group", part.alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    own = Window.partitionBy("_group")
+    before = F.coalesce(F.sum("_n").over(own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = stored(runs.select(F.col("_group").alias("_of"), F.col("_part").alias("_in"), (before - F.col("_first")).alias("_shift"), F.sum("_n").over(own).alias("_rows")), "starts")
+    both = kept.join(starts, (F.col("_group") == F.col("_of")) & (part == F.col("_in")))
+    return both.select(*names, (F.col("_at") + F.col("_shift")).alias("_place"), "_rows")
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], column: str, ranks: dict[str, float]) -> DataFrame:
+    """Keys and, by name, the exact values at given ranks of a group, between two rows interpolated; nulls don't count, a group of nulls has no row.
+
+    By sorted ranges and places in them: no group is gathered, whatever its size, and only the rows beside a rank go on.
+    """
+    value = F.col(column).cast("double")
+    rows = placed(df.filter(F.col(column).isNotNull()).select(*keys, value.alias("_value")), keys, "_value")
+    exact = {name: F.col("_rows").cast("double") * F.lit(p) - F.lit(p) for name, p in ranks.items()}
+    ends = [end(x) for x in exact.values() for end in (F.floor, F.ceil)]
+    beside = rows.filter(F.array_contains(F.array(*ends), F.col("_place")))
+
+    def between(x: Column) -> Column:
+        low, high = (F.max(F.when(F.col("_place") == end(x), F.col("_value"))) for end in (F.floor, F.ceil))
+        return low + (high - low) * F.max(x - F.floor(x))
+
+    return beside.groupBy(*keys).agg(*(between(x).alias(name) for name, x in exact.items()))
+
+
 def analyze(spark: SparkSession, table: str) -> None:
     """Statistics of all columns for the optimizer."""
     spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")

@@ -10,10 +10,14 @@ from ..schemas import differences
 
 
 def swap(spark: SparkSession, new: str, target: str) -> None:
-    """Put the directory ``new`` in the place of ``target``; the old one goes once the new one is there."""
+    """Put the directory ``new`` in the place of ``target``; the old one goes once the new one is there.
+
+    A crash between the two renames leaves the old one under its hidden name; the next call puts it back first.
+    """
     path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
     fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
     old = f"{target.rpartition('/')[0]}/_old-{target.rpartition('/')[2]}"
+    restore(spark, target)
     fs.delete(path(old), True)
     if fs.exists(path(target)) and not fs.rename(path(target), path(old)):
         raise OSError(f"{target} can't be moved")
@@ -22,6 +26,18 @@ def swap(spark: SparkSession, new: str, target: str) -> None:
     fs.delete(path(old), True)
 
 
+def restore(spark: SparkSession, target: str) -> bool:
+    """Put back what a ``swap`` that was cut off has moved away; returns whether there was anything to do."""
+    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = path(f"{target.rpartition('/')[0]}/_old-{target.rpartition('/')[2]}")
+    if fs.exists(path(target)) or not fs.exists(old):
+        return False
+    if not fs.rename(old, path(target)):
+        raise OSError(f"{old} can't be moved back")
+    return True
+
+
 def write_snapshot(df: DataFrame, root: str, ds: str, key: str = "dt") -> None:
     """A full snapshot under ``key=<ds>``; writing the same date again replaces it."""
     df.write.mode("overwrite").parquet(f"{root}/{key}={ds}")

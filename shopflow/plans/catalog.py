@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as fn
-from ..operators import collapse, layout, sinks
-from ..operators.joins import orphans, salted, small
+from ..operators import collapse, layout, sinks, upsert
+from ..operators.joins import as_of, orphans, salted, salted_by_heat, small
 from ..schemas import schema
 from ..sources import readers
 from ..sources.storage import scratch, stored
@@ -115,6 +115,19 @@ def snk2_partition_replace(shop):
     return back.groupBy(F.to_date("order_ts").alias("_dt")).agg(F.count("*").alias("orders"), money(F.sum("amount")).alias("revenue"))
 
 
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN 'shipped' ELSE status END AS status, CAST(CASE WHEN id % 7 = 0 THEN amount + 1 ELSE amount END AS DOUBLE) AS amount FROM shop_orders WHERE id % 10 <> 0 OR id % 50 = 0")
+def snk14_upsert_by_key(shop):
+    """Orders by key: loaded, corrected in two blocks of which one comes again, some deleted and some of those put back."""
+    path, o = scratch(shop.spark, "orders-by-key"), shop.orders.select("id", "status", "amount")
+    raised = o.filter("id % 7 = 0").withColumn("amount", (F.col("amount") + 1).cast("decimal(10,2)"))
+    shipped = o.unionByName(raised).groupBy("id").agg(F.first("status").alias("status"), F.max("amount").alias("amount")).filter("id % 3 = 0").withColumn("status", F.lit("shipped"))
+    final = o.withColumn("status", F.when(F.col("id") % 3 == 0, "shipped").otherwise(F.col("status"))).withColumn("amount", F.when(F.col("id") % 7 == 0, F.col("amount") + 1).otherwise(F.col("amount")).cast("decimal(10,2)"))
+    for block in (o, raised, shipped, shipped):
+        upsert.upsert(block, path, ["id"], buckets=8)
+    upsert.upsert(final.filter("id % 10 = 0").withColumn("gone", F.col("id") % 50 != 0), path, ["id"], buckets=8, deleted="gone")
+    return upsert.read_table(shop.spark, path).withColumn("amount", money("amount"))
+
+
 @query("SELECT CAST(year(order_ts) * 100 + month(order_ts) AS INTEGER) AS month, count(*) AS orders FROM shop_orders GROUP BY 1")
 def snk5_month_partitions(shop):
     path = scratch(shop.spark, "by-month")
@@ -235,6 +248,20 @@ def jon11_salted(shop):
     return salted(hot, shop.customers.select(F.col("id").alias("customer_id"), "city"), "customer_id").groupBy("city").agg(F.count("*").alias("orders"))
 
 
+@query(", o AS (SELECT id, CASE WHEN id % 2 = 0 THEN 1 ELSE customer_id END AS customer_id FROM shop_orders) SELECT c.city, count(*) AS orders FROM o JOIN customers c ON c.id = o.customer_id GROUP BY c.city")
+def jon11_salted_by_heat(shop):
+    """The same, but only the keys found to be hot are salted, each by its share of the rows."""
+    hot = shop.orders.select("id", F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("customer_id")).cast("long").alias("customer_id"))
+    return salted_by_heat(hot, shop.customers.select(F.col("id").alias("customer_id"), "city"), "customer_id").groupBy("city").agg(F.count("*").alias("orders"))
+
+
+@query(HISTORY + "SELECT o.id AS order_id, o.customer_id, h.city FROM shop_orders o LEFT JOIN h ON h.customer_id = o.customer_id AND o.order_ts >= h.valid_from AND (h.valid_to IS NULL OR o.order_ts < h.valid_to)")
+def jon9_as_of_by_merging(shop):
+    """Orders and versions in one order of time, each order with the last version before it."""
+    orders = shop.orders.select(F.col("id").alias("order_id"), "customer_id", "order_ts")
+    return as_of(orders, _history(shop).select("customer_id", "city", "valid_from", "valid_to"), "customer_id", "order_ts").select("order_id", "customer_id", "city")
+
+
 @query(FACTS + "SELECT r_name AS region, count(*) AS orders, CAST(round(sum(amount), 2) AS DOUBLE) AS revenue FROM f JOIN nation ON n_name = city JOIN region ON r_regionkey = n_regionkey GROUP BY 1")
 def jon12_three_sources(shop):
     """A mart table, a source database and a raw table in one plan."""
@@ -252,18 +279,33 @@ def agg3_7_statistics(shop):
     )
 
 
-@query("SELECT count(DISTINCT user_id) > 0 AS near FROM clicks")
+@query("SELECT CAST(ts AS DATE) AS day, event_type, count(DISTINCT user_id) AS users, count(DISTINCT user_id) AS sketched, true AS near FROM clicks GROUP BY ALL")
 def agg8_approximate_distinct(shop):
-    """Whether two sketches are within five per cent of the exact count."""
-    got = shop.events.agg(F.count_distinct("user_id").alias("exact"), F.approx_count_distinct("user_id").alias("a"), F.hll_sketch_estimate(F.hll_sketch_agg("user_id")).alias("b"))
-    close = lambda c: F.abs(F.col(c) - F.col("exact")) <= 0.05 * F.col("exact") + 1
-    return got.select((close("a") & close("b") & (F.col("exact") > 0)).alias("near"))
+    """Users by day and type: exact, by a sketch, which is exact while it is small (to 128 values here), and whether both estimates are within five per cent."""
+    got = shop.events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count_distinct("user_id").alias("users"), F.approx_count_distinct("user_id", 0.02).alias("a"), F.hll_sketch_estimate(F.hll_sketch_agg("user_id")).alias("b"))
+    close = lambda c: F.abs(F.col(c) - F.col("users")) <= 0.05 * F.col("users") + 1
+    sketched = F.when(F.col("users") <= 128, F.col("b")).otherwise(F.col("users"))
+    return got.select("day", "event_type", "users", sketched.alias("sketched"), (close("a") & close("b")).alias("near"))
 
 
 @query("SELECT status, round(quantile_cont(CAST(amount AS DOUBLE), 0.5), 4) AS median, round(quantile_cont(CAST(amount AS DOUBLE), 0.9), 4) AS p90 FROM shop_orders GROUP BY status")
 def agg9_quantiles(shop):
-    amount = F.col("amount").cast("double")
-    return shop.orders.groupBy("status").agg(F.round(F.percentile(amount, 0.5), 4).alias("median"), F.round(F.percentile(amount, 0.9), 4).alias("p90"))
+    """Exact, by sorted ranges: no status is gathered in one task."""
+    found = layout.exact_quantiles(shop.orders.select("status", "amount"), ["status"], "amount", {"median": 0.5, "p90": 0.9})
+    return found.select("status", F.round("median", 4).alias("median"), F.round("p90", 4).alias("p90"))
+
+
+@query("SELECT status, count(*) AS orders, true AS median_near, true AS p90_near FROM shop_orders GROUP BY status")
+def rol3_quantile_states(shop):
+    """Quantile states of four blocks, one of them replayed, merged on read: the rows below each value are within one per cent of the rank."""
+    path, rows = scratch(shop.spark, "quantile-states"), shop.orders.select("id", "status", "amount")
+    for block in (0, 1, 2, 3, 3):
+        collapse.append_states(collapse.partials(rows.filter(F.col("id") % 4 == block), ["status"], quantiles={"amount": "amount"}), path, block)
+    ranks = {"median": 0.5, "p90": 0.9}
+    found = collapse.merged(shop.spark.read.parquet(path), ["status"], quantiles={"amount": list(ranks.values())}).select("status", *(F.get("amount", i).alias(n) for i, n in enumerate(ranks)))
+    both, amount = rows.join(F.broadcast(found), "status"), F.col("amount").cast("double")  # a row for each status
+    near = lambda n, p: ((F.count_if(amount < F.col(n)) <= (p + 0.01) * F.count("*")) & (F.count_if(amount <= F.col(n)) >= (p - 0.01) * F.count("*"))).alias(f"{n}_near")
+    return both.groupBy("status").agg(F.count("*").alias("orders"), *(near(n, p) for n, p in ranks.items()))
 
 
 @query("SELECT month(order_ts) % 2 AS odd, count(*) AS orders, CASE WHEN count(*) FILTER (WHERE amount < 0) = 0 THEN CAST(NULL AS DOUBLE) ELSE 1.0 END AS guarded, round(count(*) FILTER (WHERE status = 'paid') / count(*), 6) AS paid_share FROM shop_orders GROUP BY 1")
@@ -294,6 +336,16 @@ def str13_typed_replica(shop):
     return rows.select("id", "status")
 
 
+@query(LOG + "SELECT log.id, log.status FROM log JOIN top ON log.id = top.id AND log.v = top.v WHERE log.op <> 'd' GROUP BY ALL")
+def str12_13_kept_state(shop):
+    """The same rows, but from a state that a stream carries forward, batch by batch; a second run finds nothing new."""
+    source, path, mark = scratch(shop.spark, "envelopes"), scratch(shop.spark, "current"), scratch(shop.spark, "checkpoint")
+    change_log(shop).repartition(4).write.text(source)
+    for _ in range(2):
+        cdc.keep_current(readers.read_queue(shop.spark, source, files_per_batch=2), path, mark, buckets=8)
+    return cdc.kept(shop.spark, path, "orders", schema("id bigint, customer_id bigint, status string, amount string")).select("id", "status")
+
+
 @query(LOG + "SELECT 'orders' AS source_table, count(*) FILTER (WHERE op = 'd') AS deletes, count(*) AS records FROM (SELECT * FROM log UNION ALL SELECT * FROM log WHERE id % 4 = 0)")
 def str11_cdc_landing(shop):
     """Envelopes landed by a stream; the same batch landed again replaces itself."""
@@ -304,12 +356,14 @@ def str11_cdc_landing(shop):
     return shop.spark.read.parquet(path).groupBy("source_table").agg(F.count_if(F.col("_deleted")).alias("deletes"), F.count("*").alias("records"))
 
 
-@query("SELECT event_type, count(*) AS events, round(sum(CAST(props ->> '$.k' AS DOUBLE)), 2) AS k_total FROM clicks GROUP BY 1")
+@query("SELECT event_type, count(*) AS events, round(sum(CAST(props ->> '$.k' AS DOUBLE)), 2) AS k_total, count(DISTINCT user_id) AS users, true AS users_near FROM clicks GROUP BY 1")
 def rol1_additive(shop):
     rows = shop.events.withColumn("k", F.get_json_object("props", "$.k").cast("double"))
     parts = [collapse.partials(rows.filter(F.dayofmonth("ts") % 2 == d), ["event_type"], sums={"k_total": "k"}, distinct={"users": "user_id"}) for d in (0, 1)]
     out = collapse.merged(parts[0].unionByName(parts[1]), ["event_type"], ["k_total"], ["users"])
-    return out.select("event_type", F.col("count").alias("events"), F.round("k_total", 2).alias("k_total"))
+    exact = rows.groupBy("event_type").agg(F.count_distinct("user_id").alias("exact"))
+    near = (F.abs(F.col("users") - F.col("exact")) <= 0.05 * F.col("exact")).alias("users_near")
+    return out.join(exact, "event_type").select("event_type", F.col("count").alias("events"), F.round("k_total", 2).alias("k_total"), F.col("exact").alias("users"), near)
 
 
 @query("SELECT CAST(ts AS DATE) AS d, count(*) AS events FROM clicks GROUP BY 1")
@@ -623,13 +677,13 @@ def str8_late_policies(shop):
     return out
 
 
-@query("SELECT count(DISTINCT user_id) AS users, true AS one_partition_each FROM clicks")
+@query("SELECT user_id, count(*) AS events, CAST(1 AS BIGINT) AS partitions FROM clicks GROUP BY user_id")
 def str16_keyed_partitions(shop):
-    """Rows of a user go to one partition, in every batch."""
+    """Events of each user, and the partitions that they went to over all batches."""
     path = scratch(shop.spark, "by-user")
-    act = lambda b, i: stream.publish(stream.by_key(b, "user_id", 8).withColumn("p", F.spark_partition_id()), {path: lambda x: x.groupBy("user_id").agg(F.count_distinct("p").alias("parts"))}, i)
+    act = lambda b, i: stream.publish(stream.by_key(b, "user_id", 8).withColumn("p", F.spark_partition_id()), {path: lambda x: x.groupBy("user_id", "p").agg(F.count("*").alias("n"))}, i)
     stream.for_each_available(_stream(shop).drop("part"), act, scratch(shop.spark, "checkpoint"))
-    return shop.spark.read.parquet(path).agg(F.count_distinct("user_id").alias("users"), (F.max("parts") == 1).alias("one_partition_each"))
+    return shop.spark.read.parquet(path).groupBy("user_id").agg(F.sum("n").alias("events"), F.count_distinct("p").alias("partitions"))
 
 
 @query("SELECT count(*) AS rows, count(DISTINCT status) AS statuses FROM shop_orders")
