@@ -49,3 +49,13 @@ def percent(part: Column, whole: Column, digits: int = 1) -> Column:
 def compact_json(row: Column) -> Column:
     """Compact JSON that keeps null fields."""
     return F.to_json(row, {"ignoreNullFields": "false"})
+
+
+def at_most(cuts: list, x: Column) -> Column:
+    """How many of the sorted ``cuts`` are at most x, by halving; null gives 0."""
+    if not cuts:
+        return F.lit(0)
+    values = F.split(F.lit(",".join(map(repr, cuts))), ",").cast("array<long>" if isinstance(cuts[0], int) else "array<double>")  # one constant
+    steps = F.array(*(F.lit(1 << i) for i in range(len(cuts).bit_length() - 1, -1, -1)))
+    ahead = lambda at, step: (at + step <= len(cuts)) & (F.get(values, at + step - 1) <= x)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(ahead(at, step), at + step).otherwise(at))

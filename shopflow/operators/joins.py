@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expressions import at_most
 from ..sources.storage import stored
 
 #: A side is broadcast on request only up to this many bytes.
@@ -84,12 +85,7 @@ def as_of(facts: DataFrame, history: DataFrame, key: str, ts: str, valid_from: s
         wanted = [i / slices for i in range(1, slices)]
         bounds = sorted(set(facts.join(F.broadcast(found), F.col(key) == F.col("hot_key"), "left_semi").agg(F.percentile_approx(micros, wanted, 10_000)).first()[0] or []))
 
-    def slice_of(time: Column) -> Column:
-        """How many bounds are at or before a time, by halving."""
-        x, cuts = F.unix_micros(time.cast("timestamp")), F.array(*(F.lit(b) for b in bounds))
-        steps = F.array(*(F.lit(1 << i) for i in range(len(bounds).bit_length() - 1, -1, -1)))
-        ahead = lambda at, step: (at + step <= len(bounds)) & (F.get(cuts, at + step - 1) <= x)
-        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(ahead(at, step), at + step).otherwise(at))
+    slice_of = lambda time: at_most(bounds, F.unix_micros(time.cast("timestamp")))
 
     def dealt(rows: DataFrame, first: Column, last: Column | None = None) -> DataFrame:
         """With the slice of a row, 0 for keys that are not hot; or with all slices from the first to the last."""

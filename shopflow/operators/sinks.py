@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import differences
+from .publish import Folder, publish, recover, staging
 
 
 def swap(spark: SparkSession, new: str, target: str) -> None:
@@ -173,6 +174,44 @@ def compact(spark: SparkSession, path: str, target: str, file_bytes: int = 128 <
     return files
 
 
+def bins(sizes: dict[str, int], file_bytes: int) -> list[list[str]]:
+    """Files under half of ``file_bytes`` put together, largest first, each into the first bin that has room; bins of one file are left out."""
+    made: list[tuple[int, list[str]]] = []
+    for name, size in sorted(((n, s) for n, s in sizes.items() if 2 * s < file_bytes), key=lambda x: (-x[1], x[0])):
+        at = next((i for i, (used, _) in enumerate(made) if used + size <= file_bytes), None)
+        if at is None:
+            made.append((size, [name]))
+        else:
+            made[at] = (made[at][0] + size, made[at][1] + [name])
+    return [names for _, names in made if len(names) > 1]
+
+
+def compact_small(spark: SparkSession, path: str, *order: str, file_bytes: int = 128 << 20) -> int:
+    """Merge the small files of each partition, in place; returns how many files went.
+
+    Files are packed into bins by their bytes, and a bin becomes one file whose rows are in ``order``, as those of sorted files were.
+    Large files stay as they are. What replaces what is decided before any file moves, so a crash is made good by ``recover``.
+    """
+    recover(spark, path)
+    folder, by_folder = Folder(spark, path), {}
+    for name, size in folder.files().items():
+        by_folder.setdefault(name.rpartition("/")[0], {})[name] = size
+    packed = [names for sizes in by_folder.values() for names in bins(sizes, file_bytes)]
+    if not packed:
+        return 0
+    keys = [x.split("=", 1)[0] for x in packed[0][0].split("/")[:-1]]
+    small = [n for names in packed for n in names]
+    short = lambda n: "/".join(folder.at(n).toUri().getRawPath().split("/")[-len(keys) - 1 :])  # noqa: E731  as Spark shows a file
+    of = spark.createDataFrame([(short(n), i) for i, names in enumerate(packed) for n in names], "_name string, _bin int")
+    rows = spark.read.option("basePath", path).parquet(*(f"{path.rstrip('/')}/{n}" for n in small)).withColumn("_file", F.substring_index("_metadata.file_path", "/", -len(keys) - 1))
+    rows = rows.join(of, F.col("_file") == F.col("_name")).drop("_file", "_name")
+    change, staged = staging(spark, path)
+    binned = rows.repartitionById(len(packed), F.col("_bin")).sortWithinPartitions(*keys, *order).drop("_bin")
+    (binned.write.partitionBy(*keys) if keys else binned.write).parquet(staged)
+    publish(spark, path, change, small)
+    return len(small)
+
+
 def drop_before(spark: SparkSession, table: str, column: str, today: date, days: int) -> list[str]:
     """Retention: drop whole partitions older than ``days``, of external tables their files too; returns them."""
     cutoff = (today - timedelta(days=days)).isoformat()

@@ -11,7 +11,7 @@ from ..operators.joins import as_of, orphans, salted, salted_by_heat, small
 from ..schemas import schema
 from ..sources import readers
 from ..sources.storage import scratch, stored
-from ..streaming import cdc, events as stream
+from ..streaming import cdc, events as stream, progress
 from . import batch, models, quality
 from .analytics import FACTS, HISTORY, NOW, _history, change_log, money, moves
 from .registry import query
@@ -142,6 +142,16 @@ def snk6_sorted_layout(shop):
     return shop.spark.read.parquet(path).select("id", money("amount").alias("amount"))
 
 
+@query("SELECT id, customer_id, CAST(amount AS DOUBLE) AS amount FROM shop_orders WHERE customer_id BETWEEN 100 AND 120 OR amount > 300000")
+def snk6_clustered_layout(shop):
+    """Orders clustered by customer and amount: a filter on either skips most row groups."""
+    path = scratch(shop.spark, "clustered")
+    layout.write_clustered(shop.orders.select("id", "customer_id", "amount"), path, "customer_id", "amount", files=4)
+    back = shop.spark.read.parquet(path)
+    some = back.filter(F.col("customer_id").between(100, 120)).unionByName(back.filter("amount > 300000 AND NOT coalesce(customer_id BETWEEN 100 AND 120, false)"))
+    return some.withColumn("amount", money("amount"))
+
+
 @query("SELECT count(*) AS rows, count(DISTINCT id) AS ids, CAST(sum(CASE WHEN id % 2 = 0 THEN amount ELSE amount + 1 END) AS DOUBLE) AS total FROM shop_orders")
 def snk10_insert_if_absent(shop):
     old = shop.orders.filter("id % 2 = 0").select("id", "amount")
@@ -442,6 +452,14 @@ def set2_key_differences(shop):
     return quality.key_differences(ids, ids.filter("id % 100 <> 0").unionByName(ids.filter("id % 100 = 50").select((-F.col("id")).alias("id"))), "id")
 
 
+@query("SELECT id, 'missing' AS side FROM shop_orders WHERE id % 1000 = 7 UNION ALL SELECT -id, 'extra' FROM shop_orders WHERE id % 1000 = 8 UNION ALL SELECT id, 'changed' FROM shop_orders WHERE id % 1000 = 9")
+def set2_segmented_differences(shop):
+    """Missing, additional and changed orders, found by checksums of ranges; only ranges that differ are compared by row."""
+    o = shop.orders.select("id", "status", "amount")
+    kept = o.filter("id % 1000 <> 7").withColumn("status", F.when(F.col("id") % 1000 == 9, "lost").otherwise(F.col("status")))
+    return quality.segmented_differences(o, kept.unionByName(o.filter("id % 1000 = 8").withColumn("id", -F.col("id"))), "id")
+
+
 @query("""SELECT event_id, CAST(ts AS DATE) AS day, CAST(date_trunc('month', ts) AS DATE) AS month, date_trunc('minute', ts) AS minute, time_bucket(INTERVAL 5 MINUTE, ts) AS five,
   CAST(year(ts) * 100 + month(ts) AS INTEGER) AS ym, CAST(date_diff('day', ts, TIMESTAMP '2024-02-01') AS BIGINT) AS days_left, ts + INTERVAL 90 MINUTE AS later,
   CAST(date_diff('second', date_trunc('second', ts), TIMESTAMP '2024-02-01') AS BIGINT) AS seconds_left, strftime(ts, '%Y-%m-%d %H:%M:%S') AS shown, DATE '1970-01-01' AS epoch FROM clicks""")
@@ -546,6 +564,24 @@ def str15_progress(shop):
     return stream.progress(shop.spark.read.parquet(path)).agg(F.sum("rows").alias("rows"))
 
 
+@query(""", b AS (SELECT *, (dayofmonth(ts) - 1) // 8 AS batch FROM clicks), m AS (SELECT batch AS batch_id, count(*) AS rows, max(ts) AS newest FROM b GROUP BY 1),
+  w AS (SELECT *, date_trunc('milliseconds', max(newest) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) - INTERVAL 10 MINUTE AS watermark FROM m)
+SELECT batch_id, rows, CAST(date_diff('second', date_trunc('second', newest), TIMESTAMP '2024-02-01') AS BIGINT) AS lag_seconds, watermark,
+  (SELECT count(DISTINCT time_bucket(INTERVAL 1 HOUR, ts)) FROM b WHERE b.batch <= w.batch_id AND (w.watermark IS NULL OR time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR > w.watermark)) AS state_rows FROM w""")
+def str14_17_live_progress(shop):
+    """Rows, lag, watermark and rows of state of each micro-batch, as the running stream reports them; a batch is one file."""
+    source = scratch(shop.spark, "days")
+    e = stream.timed(shop.events)
+    for batch in range(4):  # files are read in the order they were written in
+        e.filter(F.floor((F.dayofmonth("ts") - 1) / 8) == batch).coalesce(1).write.mode("append").parquet(source)
+    files = shop.spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    counted = stream.per_window(stream.with_lateness(progress.observed(files), "10 minutes"), "1 hour")
+    with progress.Progress(shop.spark) as reports:
+        stream.run_available(counted, scratch(shop.spark, "closed"), scratch(shop.spark, "checkpoint"))
+        records = progress.lagging(reports.flush(scratch(shop.spark, "reports")), NOW)
+    return records.filter("rows > 0").select("batch_id", "rows", "lag_seconds", F.col("watermark").cast("timestamp_ntz").alias("watermark"), "state_rows")
+
+
 @query("SELECT CAST(sum(rows) AS BIGINT) AS rows, count(*) > 1 AS spread FROM (SELECT id % 8, count(*) AS rows FROM shop_orders GROUP BY 1)")
 def dst1_hash_segments(shop):
     return layout.distribution(shop.orders, layout.hash_segment("id", 8)).agg(F.sum("rows").alias("rows"), (F.count("*") > 1).alias("spread"))
@@ -630,11 +666,11 @@ def snk17_jon10_bucketed_join(shop):
 
 @query("SELECT id, status, CAST(amount AS DOUBLE) AS amount FROM shop_orders")
 def snk18_compaction(shop):
-    """Many small files as one; nothing is lost."""
-    path, target = scratch(shop.spark, "small-files"), scratch(shop.spark, "compact")
-    shop.orders.select("id", "status", "amount").repartition(16).write.parquet(path)
-    sinks.compact(shop.spark, path, target)
-    return shop.spark.read.parquet(target).withColumn("amount", money("amount"))
+    """The small files of each partition packed into few, in the order of ids; nothing is lost."""
+    path = scratch(shop.spark, "small-files")
+    shop.orders.select("id", "status", "amount").repartition(6).sortWithinPartitions("id").write.partitionBy("status").parquet(path)
+    sinks.compact_small(shop.spark, path, "id")
+    return shop.spark.read.parquet(path).select("id", "status", money("amount").alias("amount"))
 
 
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS events FROM clicks WHERE CAST(ts AS DATE) >= DATE '2024-01-20' GROUP BY ALL")

@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import orphans
@@ -84,6 +84,59 @@ def key_differences(source: DataFrame, target: DataFrame, key: str) -> DataFrame
     return missing.unionByName(extra)
 
 
+def _sums(df: DataFrame, columns: list[str], *by: str) -> DataFrame:
+    """Rows and an order-free sum of row hashes, by ``by``."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("h"))
+
+
+def _unequal(source: DataFrame, target: DataFrame, columns: list[str], part: Column) -> list[int]:
+    """Numbers of the parts, null first as -1, whose checksums differ."""
+    a, b = (_sums(df.withColumn("_part", F.coalesce(part, F.lit(-1))), columns, "_part") for df in (source, target))
+    both = a.alias("a").join(b.alias("b"), "_part", "full")
+    return sorted(r[0] for r in both.filter(~(F.col("a.n").eqNullSafe(F.col("b.n")) & F.col("a.h").eqNullSafe(F.col("b.h")))).select("_part").collect())
+
+
+def segmented_differences(source: DataFrame, target: DataFrame, key: str, ranges: int = 64) -> DataFrame:
+    """Keys that are missing from the target, that it has too many, or whose rows differ, found by checksums of ranges in two levels.
+
+    Both tables are summed up by ``ranges`` ranges of a whole-number key, then the ranges that differ by as many smaller ones, and only rows
+    of those are compared key by key. What is equal is read once: later passes filter by the ranges that differ, and the filters reach the scans. Equal rows
+    may be repeated, a null key is a key like another; columns are the source's.
+    """
+    columns = source.columns
+    target = target.select(*columns)
+    ends = [df.agg(F.min(key), F.max(key)).first() for df in (source, target)]
+    known = [x for r in ends for x in r if x is not None]
+    low, high = (min(known), max(known)) if known else (0, 0)
+    width = max(1, -(-(high - low + 1) // ranges))
+    narrow = max(1, -(-width // ranges))
+    at = F.col(key).cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")
+    wide = F.floor(at / width).cast("long")
+
+    def between(parts: list[int], size: int) -> Column:
+        """Rows of some parts, as few ranges of the key."""
+        out = F.col(key).isNull() if -1 in parts else F.lit(False)
+        runs: list[list[int]] = []
+        for p in (p for p in parts if p >= 0):
+            if runs and runs[-1][1] == p - 1:
+                runs[-1][1] = p
+            else:
+                runs.append([p, p])
+        for first, last in runs:
+            out = out | F.col(key).between(low + first * size, min(high, low + (last + 1) * size - 1))
+        return out
+
+    coarse = _unequal(source, target, columns, wide)
+    source, target = (df.filter(between(coarse, width)) for df in (source, target))
+    fine = F.floor(at / narrow).cast("long")
+    parts = _unequal(source, target, columns, fine) if coarse else []
+    source, target = (df.filter(between(parts, narrow) if len(parts) <= ranges else F.coalesce(fine, F.lit(-1)).isin(parts)) for df in (source, target))
+    a, b = _sums(source, columns, key).alias("a"), _sums(target, columns, key).alias("b")
+    both = a.join(b, F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")), "full")
+    side = F.when(F.col("b.n").isNull(), "missing").when(F.col("a.n").isNull(), "extra").when((F.col("a.n") != F.col("b.n")) | ~F.col("a.h").eqNullSafe(F.col("b.h")), "changed")
+    return both.select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), side.alias("side")).filter("side IS NOT NULL")
+
+
 def contract(df: DataFrame, wanted) -> DataFrame:
     """column_name, bad_rows: rows whose value does not fit the declared type; -1 for a missing column."""
     have = [f.name for f in wanted if f.name in df.columns]
