@@ -15,6 +15,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round moves every node nearer to the least one it can see, by a minimum
     per node and a join; neighbours of a node are never gathered in one place.
+    Null ends are no links; links of a node with itself, repeated and reversed links change nothing, and no links give no rows.
     Rounds are tables in the shared folder and end when one changes nothing.
     """
     links = links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()

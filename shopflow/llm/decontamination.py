@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, merged_runs
 from .textbytes import ALNUM, U, Words, chunks, grams, inside_rows, sliding_min, utf8
 
 WINDOW, K, BITS = 13, 6, 1 << 23
@@ -129,12 +129,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         "ahead": F.expr(f"CASE WHEN kind > 0 THEN IF(words = item_words, kind, 0) ELSE {run(k + reach, '(i - 1)')} END"),
     })
     hits = hits.filter(F.expr(f"CASE WHEN kind > 0 THEN ahead = kind ELSE ahead >= {k} AND back + ahead >= {window} END"))
-    by_text = hits.groupBy("digest").agg(F.collect_set(F.struct((F.col("at") - F.col("back")).alias("start"), (F.col("at") + F.col("ahead")).alias("end"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
-    merged = F.expr("""aggregate(array_sort(spans), cast(array() AS array<struct<start: bigint, end: bigint>>), (acc, s) ->
-        CASE WHEN size(acc) > 0 AND element_at(acc, -1).end >= s.start
-             THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, s.end))))
-             ELSE concat(acc, array(named_struct('start', s.start, 'end', s.end))) END)""")
-    by_text = by_text.select("digest", merged.alias("spans"), "items")
+    hits = hits.select("digest", "item", (F.col("at") - F.col("back")).alias("start"), (F.col("at") + F.col("ahead")).alias("end"))
+    runs = merged_runs(hits, "digest").groupBy("digest", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.collect_set("item").alias("items"))
+    by_text = runs.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     hit = scanned.filter(F.size("prints") > 0).select("doc_id", "digest", "n_words").join(by_text, "digest", "left")
     clean = scanned.filter(F.size("prints") == 0).select("doc_id", "n_words", F.expr("cast(array() AS array<struct<start: bigint, end: bigint>>)").alias("spans"), F.expr("cast(array() AS array<string>)").alias("items"))
     none = {"spans": "cast(array() AS array<struct<start: bigint, end: bigint>>)", "items": "cast(array() AS array<string>)"}

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import BITS, bitmap, is_set, materialize, with_key, without
+from .shared import bitmap, is_set, materialize, with_key, without
 from .textbytes import NONSPACE, U, Words, chunks, grams, inside_rows, mix, utf8
 
 K, PERCENT, CELLS, PIECES, BANDS, ROWS, BUCKETS = 4, 85, 1 << 22, 64, 4, 2, 64
@@ -152,7 +152,7 @@ def _emit_sets(batches, k: int, wanted):
         for _, h in _sets(batch.column(0), k):
             if len(h):
                 i = xxhash.xxh3_64_intdigest(h.tobytes()) - 2**63
-                at = i & BITS - 1
+                at = i & 8 * len(bits) - 1
                 if bits[at >> 3] >> (at & 7) & 1 and i not in done:
                     done.add(i)
                     ids.append(i)

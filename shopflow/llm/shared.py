@@ -6,11 +6,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bits of a bitmap of ids: 2 MB, whatever the number of ids.
-BITS = 1 << 24
+#: Bits of a bitmap of ids, at least (2 MB) and at most (128 MB); between them 16 or more for each id.
+BITS, MOST_BITS = 1 << 24, 1 << 30
 #: Bytes of an Arrow batch that goes to a Python worker: long texts make short batches.
 BATCH_BYTES = 8 << 20
 
@@ -67,18 +67,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def merged_runs(spans: DataFrame, key: str) -> DataFrame:
+    """Adds run: spans [start, end) of one key that touch or overlap have one number. One sort; nothing is gathered."""
+    in_order = Window.partitionBy(key).orderBy("start", "end")
+    reach = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    new = reach.isNull() | (F.col("start") > reach)
+    return spans.withColumn("_new", new.cast("int")).withColumn("run", F.sum("_new").over(in_order)).drop("_new")
+
+
 def bitmap(ids: DataFrame, column: str = "id") -> bytes:
-    """A bitmap of fixed size of 64-bit ids; other ids may share a bit, so it can only rule ids out."""
-    at = F.col(column).bitwiseAND(BITS - 1) + 1
-    rows = ids.select(at.alias("v")).filter("v IS NOT NULL").groupBy(F.expr("bitmap_bucket_number(v)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(v))").alias("bytes")).collect()
-    out = np.zeros((BITS // 32768, 4096), np.uint8)
+    """A bitmap of 64-bit ids, sized by their number up to a bound; other ids may share a bit, so it can only rule ids out."""
+    bits = min(MOST_BITS, max(BITS, 1 << (16 * ids.count()).bit_length()))
+    at = F.col(column).bitwiseAND(bits - 1) + 1
+    rows = ids.select(at.alias("v")).filter("v IS NOT NULL").groupBy(F.expr("bitmap_bucket_number(v)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(v))").alias("bytes")).toLocalIterator()
+    out = np.zeros((bits // 32768, 4096), np.uint8)
     for r in rows:
         out[r["bucket"] - 1] = np.frombuffer(r["bytes"], np.uint8)
     return out.tobytes()
 
 
 def is_set(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    at = ids & (BITS - 1)
+    at = ids & (8 * len(bits) - 1)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
@@ -96,7 +105,7 @@ def with_key(documents: DataFrame, name: str = "_row_key") -> DataFrame:
 def without(documents: DataFrame, drop: DataFrame, once: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
     """The documents whose key is not in ``drop``; of the rows of each key in ``once`` one stays.
 
-    Texts are shuffled only for documents that a bitmap of fixed size cannot
+    Texts are shuffled only for documents that a bitmap of bounded size cannot
     rule out. Rows with a null key stay.
     """
     names = documents.columns

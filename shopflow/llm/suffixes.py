@@ -29,7 +29,7 @@ copy takes part in the rest. Texts, and strings at hot leads, are compared by
 
 Scale. What is shuffled is a hash per anchor (about 1 % of the bytes), and the
 context of anchors whose lead repeats. Texts are shuffled only where an anchor of
-theirs repeats, by a bitmap of fixed size. No key gathers an unbounded group.
+theirs repeats, by a bitmap of bounded size. No key gathers an unbounded group.
 
 Edge cases. Null text is empty; texts under ``length`` bytes keep all. Runs of one
 byte have an anchor at every byte; equal contexts of a text are compared once.
@@ -37,16 +37,17 @@ Repeated rows each give a row; other columns are ignored.
 """
 
 import hashlib
+from array import array
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bitmap, is_set, materialize
+from .shared import bitmap, is_set, materialize, merged_runs
 from .textbytes import _POWERS, _TABLE, U, chunks, mix, sliding_min, utf8
 
 LENGTH, LEAD, HOT = 200, 48, 4096
@@ -152,7 +153,7 @@ def _pick(batches, wanted):
 
 
 def with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """rows (one per id) joined with their texts; a bitmap of fixed size keeps most other texts from being shuffled."""
+    """rows (one per id) joined with their texts; a bitmap of bounded size keeps most other texts from being shuffled."""
     wanted = texts.sparkSession.sparkContext.broadcast(bitmap(rows))
     return texts.mapInArrow(partial(_pick, wanted=wanted), "id long, text string").dropDuplicates(["id"]).join(rows, "id")
 
@@ -164,7 +165,7 @@ def _rows(kind: int, n: int, **columns):
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)) if f.name == "kind" else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _CONTEXT], schema=_CONTEXT)
 
 
-def _strings(key: int, raw: bytes, hot: list[int], length: int, back: int):
+def _strings(key: int, raw: bytes, hot: array, length: int, back: int):
     """Hash and place of every string around the hot anchors of a text, each place once."""
     buf = np.frombuffer(raw, np.uint8)
     at, last = np.array(hot, np.int64), len(buf) - length
@@ -192,16 +193,16 @@ def _contexts(batches, length: int, lead: int):
     for batch in batches:
         near, size = [], 0
         for key, text, anchors in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("anchors").to_pylist(), strict=True):
-            raw, seen, again, hot = text.as_py().encode(), {}, set(), []
-            for x in anchors:
-                at = x["at"]
+            raw, seen, again, hot = text.as_py().encode(), {}, array("i"), array("i")
+            for is_hot, at in ((x["hot"], at) for x in anchors for at in range(x["first"], x["first"] + x["n"])):
                 before, suffix = raw[max(0, at - back) : at], raw[at : at + length]
                 if len(before) == back and len(suffix) == length:
                     one = seen.setdefault((before, suffix), at)
                     if one != at:  # the same context again: all its strings repeat
-                        again |= {one, at}
+                        again.append(one)
+                        again.append(at)
                         continue
-                if x["hot"]:
+                if is_hot:
                     hot.append(at)
                 else:
                     near.append((key, at, before, suffix))
@@ -212,8 +213,10 @@ def _contexts(batches, length: int, lead: int):
             if hot:
                 yield from _strings(key, raw, hot, length, back)
             if again:
-                at = np.array(sorted(again), np.int32)
-                yield _rows(2, len(at), id=np.full(len(at), key, np.int64), start=at - back, end=at + length)
+                at = np.unique(np.frombuffer(again, np.int32))
+                apart = np.flatnonzero(at[1:] - at[:-1] > length + back)
+                first, last = at[np.r_[0, apart + 1]], at[np.r_[apart, len(at) - 1]]
+                yield _rows(2, len(first), id=np.full(len(first), key, np.int64), start=first - back, end=last + length)
         if near:
             yield near_rows(near)
 
@@ -348,7 +351,10 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, lead: int = LEAD, hot
     busy = anchors.groupBy("lead").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("lead", F.lit(True).alias("hot"))
     busy = materialize(busy, "hot-leads")  # so that Spark knows its size, and can split the join's hot leads if it does not broadcast it
     marked = anchors.join(busy, "lead", "left").select("id", "at", F.coalesce("hot", F.lit(False)).alias("hot"))
-    by_text = materialize(marked.groupBy("id").agg(F.collect_list(F.struct("at", "hot")).alias("anchors")), "anchors-by-text")
+    # anchors side by side are one run: a text of one byte has an anchor at every place
+    place = F.row_number().over(Window.partitionBy("id", "hot").orderBy("at"))
+    runs = marked.withColumn("run", F.col("at") - place).groupBy("id", "hot", "run").agg(F.min("at").alias("first"), F.count("*").cast("int").alias("n"))
+    by_text = materialize(runs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("first", "n", "hot"))).alias("anchors")), "anchors-by-text")
     schema = "kind int, id long, at int, before binary, suffix binary, print long, start int, end int"
     found = materialize(with_texts(by_text, texts).select("id", "text", "anchors").mapInArrow(partial(_contexts, length=length, lead=lead), schema), "contexts", compression="zstd")
     contexts = found.filter("kind = 0").select("id", "at", "before", "suffix")
@@ -366,7 +372,8 @@ def remove_repeated(documents: DataFrame, length: int = LENGTH, lead: int = LEAD
     texts = rows.filter(F.octet_length("text") >= length).select("id", "text")
     about = materialize(rows.select("doc_id", "id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256")), "about")
     copies = about.filter(F.col("n_bytes") >= length).groupBy("id").agg(F.count("*").alias("copies")).filter("copies > 1")
-    spans = materialize(repeated_spans(texts, length, lead, hot).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans")).join(copies, "id", "left_anti"), "spans")
+    runs = merged_runs(repeated_spans(texts, length, lead, hot).join(copies, "id", "left_anti"), "id").groupBy("id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = materialize(runs.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
     cut = materialize(with_texts(spans, texts).select("id", "text", "spans").mapInArrow(_cut, "id long, n_removed long, n_spans long, kept_sha256 string"), "cut")
     out = about.join(copies, "id", "left").join(cut, "id", "left")
     whole = F.col("copies").isNotNull()
