@@ -2,15 +2,18 @@
 
 import json
 import random
+import re
 from datetime import datetime, timedelta
 from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from shopflow.operators import collapse, layout, publish, sinks, upsert
+from shopflow.plans import quality
 from shopflow.sources import readers
-from shopflow.streaming import cdc
+from shopflow.streaming import cdc, events, progress
 
 
 def rows(df):
@@ -123,8 +126,6 @@ def test_state_kept_by_a_stream_equals_the_collapsed_log(spark, tmp_path):
         (source / f"{batch}.json").write_text("\n".join(lines + lines[-5:]))
         for _ in range(2):  # the second run has nothing to read
             cdc.keep_current(stream(), f"{tmp_path}/kept", f"{tmp_path}/mark", buckets=4)
-        from shopflow.streaming import events
-
         events.for_each_available(stream(), cdc.land(f"{tmp_path}/landed"), f"{tmp_path}/mark2")
         names = ("source_table", "id", "op", "payload", "_version")
         want = cdc.current(spark.read.parquet(f"{tmp_path}/landed"), "_batch_id", "_deleted", "payload").select(*names)
@@ -158,3 +159,116 @@ def test_places_split_a_hot_group(spark):
     got = layout.placed(df, ["k"], "x")
     assert got.filter("k = 1").agg(F.count_distinct("_place"), F.max("_place"), F.min("_rows")).first() == (4900, 4899, 4900)
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 0
+
+
+def groups_read(path: str, column: str, low: float, high: float) -> tuple[int, int]:
+    """(row groups whose range of a column meets low to high, all row groups)."""
+    met = every = 0
+    for f in files(path):
+        about = pq.ParquetFile(f).metadata
+        at = about.schema.names.index(column)
+        for i in range(about.num_row_groups):
+            s = about.row_group(i).column(at).statistics
+            every, met = every + 1, met + (s.min <= high and s.max >= low)
+    return met, every
+
+
+def test_clustering_serves_filters_on_either_column(spark, tmp_path):
+    """A tenth of the values of either column is in at most a third of the row groups; sorting serves one of them only."""
+    df = spark.range(60_000).select("id", (F.xxhash64("id") % 1000).cast("int").alias("a"), F.when(F.col("id") % 50 != 0, (F.xxhash64("id", F.lit(1)) % 1000).cast("double")).alias("b"))
+    write = lambda how, path: (spark.conf.set("parquet.block.size", str(1 << 15)), how(path), spark.conf.unset("parquet.block.size"))
+    write(lambda p: layout.write_clustered(df, p, "a", "b", files=16, bits=6), f"{tmp_path}/c")
+    write(lambda p: sinks.write_sorted(df, p, "a", "b", files=16), f"{tmp_path}/s")
+    assert rows(spark.read.parquet(f"{tmp_path}/c")) == rows(df)
+    for column in ("a", "b"):
+        met, every = groups_read(f"{tmp_path}/c", column, 100, 300)
+        assert every >= 16 and 3 * met <= every, (column, met, every)
+    met, every = groups_read(f"{tmp_path}/s", "b", 100, 300)
+    assert met == every
+    with pytest.raises(ValueError):
+        layout.write_clustered(df.withColumn("x", F.lit("text")), f"{tmp_path}/no", "a", "x")
+    layout.write_clustered(df.limit(0), f"{tmp_path}/none", "a", "b", files=2)
+    assert spark.read.parquet(f"{tmp_path}/none").count() == 0
+
+
+def test_small_files_are_packed_in_order(spark, tmp_path):
+    """Of each partition the small files become few, in order; a large one stays, and a crash is made good."""
+    path = f"{tmp_path}/t"
+    df = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, "a b").otherwise("c=d").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("x"))
+    df.filter("id >= 2000").coalesce(1).sortWithinPartitions("id").write.partitionBy("k").parquet(path)
+    large = files(path)
+    df.filter("id < 2000").repartition(7).sortWithinPartitions("id").write.mode("append").partitionBy("k").parquet(path)
+    assert sinks.compact_small(spark, path, "id", file_bytes=60_000) == 14
+    left = files(path)
+    assert large & left == {f for f in large if Path(f).stat().st_size > 30_000} and len(left) <= 6
+    for f in left:
+        ids = pq.read_table(f, columns=["id"])["id"].to_pylist()
+        assert ids == sorted(ids)
+    assert rows(spark.read.parquet(path).select("id", "k", "x")) == rows(df) and sinks.compact_small(spark, path, "id", file_bytes=1) == 0
+
+
+def test_bins_have_room():
+    sizes = {f"f{i}": s for i, s in enumerate([90, 40, 30, 30, 20, 10, 10, 5, 60])}
+    made = sinks.bins(sizes, 100)
+    assert all(sum(sizes[n] for n in names) <= 100 and len(names) > 1 for names in made)
+    assert sorted(n for names in made for n in names) == ["f1", "f2", "f3", "f4", "f5", "f6", "f7"] and sinks.bins({"one": 3}, 100) == []
+
+
+def test_partitions_and_the_latest_snapshot_come_from_metadata(spark, tmp_path):
+    root = f"{tmp_path}/t"
+    for ds, n in (("2026-06-09", 5), ("2026-06-10", 10), ("2026-06-11", 0)):
+        sinks.write_snapshot(spark.range(n), root, ds)
+    counted = readers.partitions(spark, root)
+    assert "PushedAggregation: [COUNT(*)]" in counted._jdf.queryExecution().toString()
+    assert [(str(r.dt), r.rows, r.files > 0) for r in counted.orderBy("dt").collect()] == [("2026-06-09", 5, True), ("2026-06-10", 10, True)]
+    tree = readers.read_tree(spark, root)
+    before = spark.sparkContext.statusTracker()
+    jobs = len(before.getJobIdsForGroup())
+    assert sorted(readers.partition_values(tree, "dt")) == ["2026-06-09", "2026-06-10", "2026-06-11"]
+    last = readers.latest_snapshot(tree, column="dt")
+    assert len(before.getJobIdsForGroup()) == jobs  # nothing ran
+    assert last.count() == 0 and readers.latest_snapshot(tree, "2026-06-10", "dt").count() == 10 and readers.latest_snapshot(tree, "2020-01-01", "dt").count() == 0
+    assert "PartitionFilters: [isnotnull(dt" in readers.latest_snapshot(tree, "2026-06-10", "dt")._jdf.queryExecution().toString()
+
+
+def test_differences_by_segments(spark):
+    """Missing, extra, changed and repeated rows, null keys; what is equal is left out of the later passes."""
+    r = random.Random(5)
+    base = [(k, f"x{k}") for k in range(-500, 3000, 3)] + [(None, "n"), (7, "again"), (7, "again")]
+    gone, new, other = r.sample(range(10, 3000, 3), 4), [2, 4001, -9000], r.sample(range(-500, 0, 3), 3)
+    target = [(k, x + "!" if k in other else x) for k, x in base if k not in gone] + [(k, "new") for k in new]
+    target.remove((7, "again"))
+    make = lambda data: spark.createDataFrame(data, "k long, x string").repartition(3)
+    got = {(x.k, x.side) for x in quality.segmented_differences(make(base), make(target).select("x", "k"), "k", ranges=8).collect()}
+    assert got == {(k, "missing") for k in gone} | {(k, "extra") for k in new} | {(k, "changed") for k in other} | {(7, "changed")}
+    for a, b in ((base, base), ([], []), ([], base), (base, []), ([(None, "a")], [(None, "b")]), ([(2**63 - 1, "a"), (-(2**63), "b")], [(2**63 - 1, "a")])):
+        want = {(k, "missing" if k not in dict(b) else "extra" if k not in dict(a) else "changed") for k in {*dict(a), *dict(b)} if sorted(x for x in a if x[0] == k) != sorted(x for x in b if x[0] == k)}
+        assert {tuple(x) for x in quality.segmented_differences(make(a), make(b), "k", ranges=8).collect()} == want
+
+
+def test_equal_segments_are_read_once(spark, tmp_path):
+    spark.range(100_000).select("id", (F.col("id") % 7).alias("x")).repartitionByRange(8, "id").sortWithinPartitions("id").write.parquet(f"{tmp_path}/a")
+    a = spark.read.parquet(f"{tmp_path}/a")
+    found = quality.segmented_differences(a, a.withColumn("x", F.when(F.col("id") == 77_777, 9).otherwise(F.col("x"))), "id")
+    assert [tuple(r) for r in found.collect()] == [(77_777, "changed")]
+    filters = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter (" in x and "id#" in x]
+    edge = lambda s, sign, best: best(int(x) for x in re.findall(rf"id#\d+L {sign} (\d+)", s))
+    assert len(filters) == 2 and all(edge(s, "<=", min) - edge(s, ">=", max) < 100 for s in filters)
+
+
+def test_reports_of_a_running_stream(spark, tmp_path):
+    """Rows, newest event, watermark and state of each batch; reports that were written are let go of."""
+    t0 = datetime(2024, 1, 1)
+    data = [[(0, 0), (1, 70)], [(2, 30), (3, 200)], [(4, 10)]]  # minutes; the last comes too late
+    source = f"{tmp_path}/in"
+    for part in data:
+        spark.createDataFrame([(i, t0 + timedelta(minutes=m)) for i, m in part], "id long, ts timestamp").coalesce(1).write.mode("append").parquet(source)
+    read = spark.readStream.schema("id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+    counted = events.per_window(events.with_lateness(progress.observed(read), "10 minutes"), "1 hour")
+    with progress.Progress(spark) as reports:
+        events.run_available(counted, f"{tmp_path}/out", f"{tmp_path}/mark")
+    table = reports.flush(f"{tmp_path}/reports")
+    assert reports.table().count() == 0 and reports not in spark.streams._jsqm.listListeners()
+    got = [r for r in progress.lagging(table, t0 + timedelta(minutes=300)).orderBy("batch_id").collect() if r.rows]
+    assert [(r.batch_id, r.rows, r.lag_seconds, r.watermark) for r in got] == [(0, 2, 230 * 60, None), (1, 2, 100 * 60, t0 + timedelta(minutes=60)), (2, 1, 100 * 60, t0 + timedelta(minutes=190))]
+    assert [r.state_rows for r in got] == [2, 2, 1] and [r.late_rows for r in got] == [0, 0, 1]
