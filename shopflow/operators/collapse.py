@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .publish import Folder, publish, recover, staging
 
 def latest(df: DataFrame, keys: list[str], version: str, *tiebreak: str | None) -> DataFrame:
     """One row per key: the greatest version, ties by ``tiebreak``. The rank filter also runs before the shuffle."""
@@ -88,6 +89,27 @@ def scd2_merge(history: DataFrame, snapshot: DataFrame, key: str, tracked: list[
     return closed.unionByName(old).unionByName(new)
 
 
+def scd2_merge_into(snapshot: DataFrame, path: str, key: str, tracked: list[str], now: Column, close_missing: bool = False) -> DataFrame:
+    """``scd2_merge`` on a stored history, in place; returns the history.
+
+    Open versions are in one folder and closed ones in another. A step reads and replaces the open ones, of which there is one for each key, and
+    adds the versions that it closes; files of closed versions are never read or written again. ``recover`` makes a crash good.
+    """
+    spark = snapshot.sparkSession
+    recover(spark, path)
+    folder, kind = Folder(spark, path), snapshot.select(now.alias("now")).schema["now"].dataType
+    old = [f for f in folder.files() if f.startswith("_open=true/")]
+    if old:
+        open_ = spark.read.option("basePath", path).parquet(f"{path.rstrip('/')}/_open=true").drop("_open")
+    else:
+        open_ = snapshot.select(key, *tracked).limit(0).withColumns({"valid_from": now.cast(kind), "valid_to": F.lit(None).cast(kind), "is_current": F.lit(True)})
+    merged_ = scd2_merge(open_, snapshot, key, tracked, now, close_missing).withColumn("_open", F.col("valid_to").isNull())
+    change, staged = staging(spark, path)
+    merged_.write.partitionBy("_open").parquet(staged)
+    publish(spark, path, change, old)
+    return spark.read.parquet(path).drop("_open")
+
+
 def surrogate_key(*columns: Column) -> Column:
     """A stable key of a version: a hash of the natural key and when it became valid."""
     return F.md5(F.concat_ws(":", *(c.cast("string") for c in columns)))

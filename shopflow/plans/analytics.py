@@ -346,13 +346,13 @@ def tested_models(shop: Shop) -> dict[str, DataFrame]:
     facts = stored(facts, "fct-orders")
     return {
         "stg_customers": models.stg_customers(shop.customers), "stg_orders": models.stg_orders(shop.orders),
-        "stg_order_items": models.stg_order_items(shop.numbered_items), "fct_orders": facts, "daily_revenue": models.daily_revenue(facts),
+        "stg_order_items": models.stg_order_items(shop.hashed_items), "fct_orders": facts, "daily_revenue": models.daily_revenue(facts),
     }
 
 
 _DQ = {
     ("stg_customers", "customer_id"): "SELECT id AS v FROM customers", ("stg_orders", "order_id"): "SELECT id AS v FROM shop_orders", ("stg_orders", "customer_id"): "SELECT customer_id AS v FROM shop_orders",
-    ("stg_orders", "status"): "SELECT status AS v FROM shop_orders", ("stg_order_items", "order_item_id"): "SELECT row_number() OVER () AS v FROM order_items", ("stg_order_items", "order_id"): "SELECT l_orderkey AS v FROM lineitem",
+    ("stg_orders", "status"): "SELECT status AS v FROM shop_orders", ("stg_order_items", "order_item_id"): "SELECT md5(CAST(lineitem AS VARCHAR)) AS v FROM lineitem", ("stg_order_items", "order_id"): "SELECT l_orderkey AS v FROM lineitem",
     ("fct_orders", "order_id"): "SELECT order_id AS v FROM f", ("fct_orders", "customer_id"): "SELECT customer_id AS v FROM f", ("fct_orders", "amount"): "SELECT amount AS v FROM f",
     ("daily_revenue", "order_date"): "SELECT order_date AS v FROM net", ("daily_revenue", "revenue"): "SELECT revenue AS v FROM net",
 }
@@ -383,4 +383,4 @@ def dq_report(shop):
 def reconcile(shop):
     """Sources against targets that were loaded twice and collapsed by key."""
     twice = lambda df, key: collapse.latest(df.withColumn("_v", F.lit(1)).unionByName(df.withColumn("_v", F.lit(2))), [key], "_v")
-    return quality.reconcile({"customers": (shop.table("customer"), twice(shop.customers.select("id"), "id")), "orders": (shop.table("orders"), twice(shop.orders.select("id"), "id")), "order_items": (shop.table("lineitem"), twice(shop.numbered_items.select("id"), "id"))})
+    return quality.reconcile({"customers": (shop.table("customer"), twice(shop.customers.select("id"), "id")), "orders": (shop.table("orders"), twice(shop.orders.select("id"), "id")), "order_items": (shop.table("lineitem"), twice(shop.hashed_items.select("id"), "id"))})

@@ -1,6 +1,7 @@
 """One query for each operator that no report uses: scans, sinks, predicates, joins, aggregates, windows, functions, streams, data tests."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,11 @@ from .registry import query
 DAY1, DAY2 = "2026-06-10", "2026-06-11"
 
 
+def unique(name: str) -> str:
+    """A catalog name that no other run has."""
+    return f"shopflow_{name}_{uuid.uuid4().hex}"
+
+
 def _landed(shop) -> str:
     """Orders landed on two days, the second with changed amounts."""
     root = scratch(shop.spark, "landing")
@@ -52,9 +58,11 @@ def src4_csv(shop):
 
 
 def _from_database(df: DataFrame, name: str, **how) -> DataFrame:
-    """A small table copied to an embedded database and read from there."""
+    """A small table copied to an embedded database and read from there: the database is in one process, so this is for a local master only."""
+    if df.sparkSession.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("the embedded database can't be reached from executors; read a real one by readers.read_database")
     url = f"jdbc:derby:{tempfile.mkdtemp(prefix='shopflow-')}/shop;create=true"
-    df.coalesce(1).write.format("jdbc").options(url=url, dbtable=name, driver="org.apache.derby.jdbc.EmbeddedDriver").mode("overwrite").save()
+    df.write.format("jdbc").options(url=url, dbtable=name, driver="org.apache.derby.jdbc.EmbeddedDriver").mode("overwrite").save()
     return readers.read_database(df.sparkSession, url, name, driver="org.apache.derby.jdbc.EmbeddedDriver", **how)
 
 
@@ -165,10 +173,10 @@ def snk13_delete_and_insert(shop):
     path = scratch(shop.spark, "kept")
     shop.orders.select("id", "status").write.parquet(path)
     sinks.delete_in_place(shop.spark, path, F.col("status") == "cancelled")
-    shop.spark.sql("DROP TABLE IF EXISTS shopflow_kept")
-    sinks.ensure_table(shop.spark, "shopflow_kept", schema("id bigint, status string"), path=path)
-    sinks.insert_values(shop.spark, "shopflow_kept", (-1, "new"), (-2, "new"))
-    return shop.spark.table("shopflow_kept").groupBy("status").agg(F.count("*").alias("rows"))
+    name = unique("kept")
+    sinks.ensure_table(shop.spark, name, schema("id bigint, status string"), path=path)
+    sinks.insert_values(shop.spark, name, (-1, "new"), (-2, "new"))
+    return shop.spark.table(name).groupBy("status").agg(F.count("*").alias("rows"))
 
 
 @query("SELECT count(*) AS rows FROM clicks WHERE ts > TIMESTAMP '2024-01-20'")
@@ -225,10 +233,11 @@ def qry4_recursive(shop):
     """Months as a chain, each reached from the one before it."""
     months = shop.orders.select(fn.start_of_month(F.col("order_ts")).alias("month")).distinct()
     linked = stored(months.select("month", F.lag("month").over(Window.orderBy("month")).alias("before")), "months")
-    linked.createOrReplaceTempView("shopflow_months")
-    return shop.spark.sql("""WITH RECURSIVE chain(month, depth) AS (
-        SELECT month, 0L FROM shopflow_months WHERE before IS NULL
-        UNION ALL SELECT m.month, c.depth + 1 FROM chain c JOIN shopflow_months m ON m.before = c.month
+    name = unique("months")
+    linked.createOrReplaceTempView(name)
+    return shop.spark.sql(f"""WITH RECURSIVE chain(month, depth) AS (
+        SELECT month, 0L FROM {name} WHERE before IS NULL
+        UNION ALL SELECT m.month, c.depth + 1 FROM chain c JOIN {name} m ON m.before = c.month
     ) SELECT month, depth FROM chain""")
 
 
@@ -391,16 +400,19 @@ def rol6_side_table(shop):
     return sinks.rebuild(joined.groupBy("city").agg(F.sum("amount").alias("revenue")), path).select("city", money("revenue").alias("revenue"))
 
 
-@query(HISTORY + "SELECT customer_id, city, valid_from, valid_to, valid_to IS NULL AS is_current FROM h")
+SNAPSHOTS = ("1996-01-01", "1997-07-01", "1999-01-01", "2000-07-01")
+
+
+@query(HISTORY + f""", d AS (SELECT CAST(unnest({list(SNAPSHOTS)}) AS TIMESTAMP) AS day), s AS (SELECT customer_id, day, arg_max(city, (order_ts, id)) AS city FROM log JOIN d ON order_ts < day GROUP BY ALL),
+  n AS (SELECT *, lag(city) OVER (PARTITION BY customer_id ORDER BY day) AS before FROM s), c AS (SELECT customer_id, city, day FROM n WHERE before IS NULL OR before <> city)
+SELECT customer_id, city, day AS valid_from, lead(day) OVER (PARTITION BY customer_id ORDER BY day) AS valid_to, lead(day) OVER (PARTITION BY customer_id ORDER BY day) IS NULL AS is_current FROM c""")
 def scd1_snapshot_merge(shop):
-    """The same history, reached by merging a snapshot for each change: the first of every key, then the second, and so on."""
-    whole = _history(shop).select("customer_id", "city", "valid_from")
-    steps = whole.withColumn("step", F.row_number().over(Window.partitionBy("customer_id").orderBy("valid_from")))
-    steps = stored(steps, "changes")
-    history = steps.filter("step = 1").select("customer_id", "city", "valid_from", F.lit(None).cast("timestamp_ntz").alias("valid_to"), F.lit(True).alias("is_current"))
-    for step in range(2, steps.agg(F.max("step")).first()[0] + 1):
-        snapshot = steps.filter(F.col("step") == step).select("customer_id", "city", F.col("valid_from").alias("seen"))
-        history = stored(collapse.scd2_merge(history, snapshot, "customer_id", ["city"], F.col("s.seen")), "history")
+    """Where customers were at four dates, merged one after the other into a stored history; closed versions stay as they were written."""
+    path, log = scratch(shop.spark, "history"), moves(shop)
+    for day in SNAPSHOTS:
+        at = F.lit(day).cast("timestamp_ntz")
+        seen = collapse.latest_values(log.filter(F.col("order_ts") < at), ["customer_id"], F.struct("order_ts", "id"), ["city"])
+        history = collapse.scd2_merge_into(seen, path, "customer_id", ["city"], at)
     return history.select("customer_id", "city", "valid_from", "valid_to", "is_current")
 
 
@@ -613,7 +625,7 @@ def dq9_contract(shop):
 @query("SELECT count(*) AS orders, CAST(sum(amount) AS DOUBLE) AS revenue FROM shop_orders WHERE status = 'paid'")
 def snk4_view(shop):
     """A staging view, evaluated when it is read."""
-    view = sinks.as_view(models.stg_orders(shop.orders), "shopflow_stg_orders")
+    view = sinks.as_view(models.stg_orders(shop.orders), unique("stg_orders"))
     return view.filter(F.col("status") == "paid").agg(F.count("*").alias("orders"), money(F.sum("amount")).alias("revenue"))
 
 
@@ -629,17 +641,16 @@ def snk7_8_versioned_appends(shop):
 
 
 def _table(shop, name: str, wanted, **how) -> str:
-    """A new table under a fixed name; its files are in the scratch folder."""
-    shop.spark.sql(f"DROP TABLE IF EXISTS {name}")
-    sinks.ensure_table(shop.spark, name, wanted, path=scratch(shop.spark, name), **how)
-    return name
+    """A new table; its files are in the scratch folder."""
+    sinks.ensure_table(shop.spark, unique_name := unique(name), wanted, path=scratch(shop.spark, name), **how)
+    return unique_name
 
 
 @query("SELECT id, customer_id, CASE WHEN id % 2 = 0 THEN status END AS note FROM shop_orders")
 def snk9_11_12_declared_table(shop):
     """A table declared twice, filled by column names in another order, widened, and filled again."""
     wanted = schema("id bigint, customer_id bigint")
-    name = _table(shop, "shopflow_declared", wanted)
+    name = _table(shop, "declared", wanted)
     sinks.ensure_table(shop.spark, name, wanted)
     odd, even = shop.orders.filter("id % 2 = 1"), shop.orders.filter("id % 2 = 0")
     path = _location(shop, name)
@@ -659,9 +670,10 @@ def _location(shop, name: str) -> str:
 @query("SELECT o.id, c.city FROM shop_orders o JOIN customers c ON c.id = o.customer_id")
 def snk17_jon10_bucketed_join(shop):
     """Both sides bucketed by the key once: joins of them move nothing."""
-    for name, rows in (("shopflow_orders_by_customer", shop.orders.select("id", "customer_id")), ("shopflow_customers", shop.customers.select(F.col("id").alias("customer_id"), "city"))):
+    orders, customers = unique("orders_by_customer"), unique("customers")
+    for name, rows in ((orders, shop.orders.select("id", "customer_id")), (customers, shop.customers.select(F.col("id").alias("customer_id"), "city"))):
         sinks.write_bucketed(rows, name, "customer_id", 8, scratch(shop.spark, name))
-    return shop.spark.table("shopflow_orders_by_customer").join(shop.spark.table("shopflow_customers").hint("merge"), "customer_id").select("id", "city")
+    return shop.spark.table(orders).join(shop.spark.table(customers).hint("merge"), "customer_id").select("id", "city")
 
 
 @query("SELECT id, status, CAST(amount AS DOUBLE) AS amount FROM shop_orders")
@@ -676,8 +688,7 @@ def snk18_compaction(shop):
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS events FROM clicks WHERE CAST(ts AS DATE) >= DATE '2024-01-20' GROUP BY ALL")
 def snk21_retention(shop):
     """Partitions of two levels; whole days beyond twelve go."""
-    name, path = "shopflow_event_days", scratch(shop.spark, "event-days")
-    shop.spark.sql(f"DROP TABLE IF EXISTS {name}")
+    name, path = unique("event_days"), scratch(shop.spark, "event-days")
     days = shop.events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("events")).withColumn("day", F.col("day").cast("string"))
     days.repartition("day").write.partitionBy("day", "event_type").option("path", path).saveAsTable(name)
     sinks.drop_before(shop.spark, name, "day", NOW.date(), 12)
@@ -725,8 +736,7 @@ def str16_keyed_partitions(shop):
 @query("SELECT count(*) AS rows, count(DISTINCT status) AS statuses FROM shop_orders")
 def dst3_statistics(shop):
     """What the optimizer knows of a table after it has been analyzed."""
-    name = "shopflow_analyzed"
-    shop.spark.sql(f"DROP TABLE IF EXISTS {name}")
+    name = unique("analyzed")
     shop.orders.select("id", "status").write.option("path", scratch(shop.spark, name)).saveAsTable(name)
     layout.analyze(shop.spark, name)
     rows = shop.spark.sql(f"DESCRIBE EXTENDED {name}").filter("col_name = 'Statistics'").select(F.regexp_extract("data_type", "([0-9]+) rows", 1).cast("long").alias("rows"))

@@ -37,19 +37,28 @@ TESTS: dict[str, Callable[..., DataFrame]] = {"not_null": not_null, "unique": un
 def report(models: dict[str, DataFrame], tests: list[tuple[str, str, str, dict]]) -> DataFrame:
     """test, model, column_name, failures of (test, model, column, parameters) rows.
 
-    All not-null tests of a model are one aggregate over one scan of it.
+    All not-null tests of a model are one aggregate over one scan of it, and all unique tests of it one count of (column, value).
     """
     out = None
     nulls: dict[str, list[str]] = {}
+    keys: dict[str, list[str]] = {}
     for test, model, column, _ in tests:
         if test == "not_null":
             nulls.setdefault(model, []).append(column)
+        if test == "unique":
+            keys.setdefault(model, []).append(column)
+    for model, columns in keys.items():
+        values = F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns)))
+        twice = models[model].select(values).filter("value IS NOT NULL").groupBy("column_name", "value").agg(F.count("*").alias("n")).filter("n > 1")
+        counted = twice.groupBy().agg(*(F.count_if(F.col("column_name") == c).alias(c) for c in columns))
+        part = counted.unpivot([], columns, "column_name", "failures").select(F.lit("unique").alias("test"), F.lit(model).alias("model"), "column_name", "failures")
+        out = part if out is None else out.unionByName(part)
     for model, columns in nulls.items():
         counted = models[model].agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns))
         part = counted.unpivot([], columns, "column_name", "failures").select(F.lit("not_null").alias("test"), F.lit(model).alias("model"), "column_name", "failures")
         out = part if out is None else out.unionByName(part)
     for test, model, column, more in tests:
-        if test != "not_null":
+        if test not in ("not_null", "unique"):
             part = TESTS[test](models[model], column, **more).agg(F.count("*").alias("failures")).select(F.lit(test).alias("test"), F.lit(model).alias("model"), F.lit(column).alias("column_name"), "failures")
             out = part if out is None else out.unionByName(part)
     return out

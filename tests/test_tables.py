@@ -272,3 +272,20 @@ def test_reports_of_a_running_stream(spark, tmp_path):
     got = [r for r in progress.lagging(table, t0 + timedelta(minutes=300)).orderBy("batch_id").collect() if r.rows]
     assert [(r.batch_id, r.rows, r.lag_seconds, r.watermark) for r in got] == [(0, 2, 230 * 60, None), (1, 2, 100 * 60, t0 + timedelta(minutes=60)), (2, 1, 100 * 60, t0 + timedelta(minutes=190))]
     assert [r.state_rows for r in got] == [2, 2, 1] and [r.late_rows for r in got] == [0, 0, 1]
+
+
+def test_a_stored_history_keeps_its_closed_versions_as_they_are(spark, tmp_path):
+    """Each step equals a merge of whole tables, and no file of closed versions is written again."""
+    r, path = random.Random(9), f"{tmp_path}/h"
+    whole = spark.createDataFrame([], "k long, city string, valid_from timestamp, valid_to timestamp, is_current boolean")
+    closed: set[str] = set()
+    for step in range(4):
+        now = F.lit(datetime(2024, 1, 1 + step))
+        snapshot = spark.createDataFrame([(k, r.choice(["a", "b", None])) for k in range(20) if r.random() < 0.8], "k long, city string")
+        whole = spark.createDataFrame(collapse.scd2_merge(whole, snapshot, "k", ["city"], now, close_missing=step == 2).collect(), whole.schema)
+        got = collapse.scd2_merge_into(snapshot, path, "k", ["city"], now, close_missing=step == 2)
+        assert rows(got.select(*whole.columns)) == rows(whole)
+        now_closed = {f for f in files(path) if "_open=false" in f}
+        assert closed <= now_closed
+        closed = now_closed
+    assert len(closed) >= 2
