@@ -1,9 +1,9 @@
 """FLAC media columns: lossless 8-bit mono streams, coded and decoded in batches of frames.
 
 Encoding cuts a payload into blocks of 576 samples (byte - 128). Each block
-takes the fixed linear predictor of order 0 to 2 with the least residual, and
-Rice codes it; blocks on which that saves less than ``SAVING`` per cent are
-stored verbatim, equal samples as a constant. The stream has its MD5 in STREAMINFO and a seek point for every frame.
+takes the fixed linear predictor of order 0 to 4 with the least residual, and
+Rice codes it, with one parameter or one for each eighth; only blocks that would
+grow are stored verbatim, and equal samples as a constant. The stream has its MD5 in STREAMINFO and a seek point for every frame.
 
 Decoding reads the seek table and works on all frames at once, one sample of
 each per step: Rice codes with partitions and escapes, fixed and LPC
@@ -34,8 +34,8 @@ from .shared import materialize
 from .textbytes import chunks, utf8
 
 BLOCK, RATE, FRAMES = 576, 8000, 4096
-#: Per cent that Rice coding must save of a frame; others are verbatim, which is quicker to read and which a table's codec can shrink.
-SAVING = 10
+#: Partition orders that a frame is tried with: one Rice parameter for all of it, or one for each eighth.
+PARTITIONS = (0, 3)
 
 
 def _table(poly: int, bits: int) -> np.ndarray:
@@ -76,23 +76,33 @@ def _utf8_number(n: int) -> bytes:
     raise ValueError("too many frames")
 
 
+def _parameters(u: np.ndarray, order: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The Rice parameter of each of ``parts`` partitions of the codes of frames, and what the frames' residuals cost in bits."""
+    each = u.shape[1] // parts
+    by_part = u.reshape(len(u), parts, each)
+    count = np.full((len(u), parts), each)
+    count[:, 0] -= order
+    k = np.maximum(np.frexp(by_part.sum(axis=2) / np.maximum(count, 1))[1] - 1, 0)
+    tried = [(by_part >> x[:, :, None]).sum(axis=2) + count * (x + 1) for x in (k, np.maximum(k - 1, 0))]
+    return np.where(tried[1] < tried[0], np.maximum(k - 1, 0), k).astype(np.int32), np.minimum(*tried).sum(axis=1) + 4 * parts + 6
+
+
 def encode_frames(x: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of the frames of x (frames x 576, int32 samples from -128 to 127), and the length of each."""
     n, size = x.shape
-    res = [x, np.diff(x, axis=1), np.diff(x, n=2, axis=1)]
+    res = [x]
+    for _ in range(4):
+        res.append(np.diff(res[-1], axis=1))
     order = np.argmin([np.abs(r).sum(axis=1) + 64 * i for i, r in enumerate(res)], axis=0)
-    codes, param, cost = np.zeros((n, size), np.int32), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    u = np.zeros((n, size), np.int32)
     for o, r in enumerate(res):
         rows = np.flatnonzero(order == o)
-        if not len(rows):
-            continue
-        u = (r[rows] << 1) ^ (r[rows] >> 31)
-        k = np.maximum(np.frexp(u.mean(axis=1))[1] - 1, 0).astype(np.int32)
-        tried = [(u >> np.maximum(k - d, 0)[:, None]).sum(axis=1) + (size - o) * (np.maximum(k - d, 0) + 1) for d in (0, 1)]
-        k = np.where(tried[1] < tried[0], np.maximum(k - 1, 0), k)
-        codes[rows, o:], param[rows], cost[rows] = u, k, np.minimum(*tried) + 8 * o + 10
+        u[rows, o:] = (r[rows] << 1) ^ (r[rows] >> 31)
+    ways = [_parameters(u, order, 1 << p) for p in PARTITIONS]
+    way = np.argmin([c for _, c in ways], axis=0)
+    cost = np.min([c for _, c in ways], axis=0) + 8 * order
     constant = (x == x[:, :1]).all(axis=1)
-    verbatim = ~constant & (100 * cost >= (100 - SAVING) * 8 * size)
+    verbatim = ~constant & (cost >= 8 * size)
     heads = [bytes([0xFF, 0xF8, 0x24, 0x02]) + _utf8_number(int(i)) for i in numbers]
     head = np.array([len(h) + 1 for h in heads], np.int64)
     body = np.where(constant, 8, np.where(verbatim, 8 * size, cost)) + 8
@@ -109,19 +119,28 @@ def encode_frames(x: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.nd
     put(at[constant] + 8, x[constant, 0] & 255, 8)
     if verbatim.any():
         put(at[verbatim][:, None] + 8 + 8 * np.arange(size), x[verbatim] & 255, 8)
-    rice = ~constant & ~verbatim
-    for o in range(3):
-        for k in np.unique(param[rice & (order == o)]).tolist():
-            rows = np.flatnonzero(rice & (order == o) & (param == k))
-            for j in range(o):
-                put(at[rows] + 8 + 8 * j, x[rows, j] & 255, 8)
-            put(at[rows] + 8 + 8 * o, np.full(len(rows), k), 10)  # coding method 0, partition order 0, parameter
-            u = codes[rows, o:]
-            q = u >> k
-            pos = np.cumsum(q + (k + 1), axis=1, dtype=np.int64)
-            pos += (at[rows] + 18 + 8 * o)[:, None] - k  # after the stop bit
-            bits[pos - 1] = 1
-            put(pos, u, k)
+    for w, p in enumerate(PARTITIONS):
+        rows = np.flatnonzero(~constant & ~verbatim & (way == w))
+        if not len(rows):
+            continue
+        own, first = at[rows] + 8, order[rows]
+        for j in range(4):
+            some = first > j
+            put(own[some] + 8 * j, x[rows[some], j] & 255, 8)
+        put(own + 8 * first, np.full(len(rows), p), 6)  # coding method 0 and the partition order
+        each = size >> p
+        k = np.repeat(ways[w][0][rows], each, axis=1)
+        coded = np.arange(size) >= first[:, None]
+        begins = (np.arange(size) == first[:, None]) | (np.arange(size) % each == 0) & coded
+        q = u[rows] >> k
+        ends = np.cumsum(np.where(coded, q + 1 + k, 0) + 4 * begins, axis=1, dtype=np.int32)
+        low = (own + 8 * first + 6)[:, None] + ends - k  # where the low bits of a code are, after its stop bit
+        put((low - 1 - q - 4)[begins], k[begins], 4)
+        bits[low[coded] - 1] = 1
+        for width in np.unique(ways[w][0][rows]).tolist():
+            if width:
+                these = coded & (k == width)
+                put(low[these], u[rows][these], width)
     data = np.packbits(bits)
     for s, h in zip(start.tolist(), heads, strict=True):
         data[s : s + len(h)] = np.frombuffer(h, np.uint8)
@@ -189,14 +208,33 @@ class _Bits:
         return q
 
 
-def _residuals(bits: _Bits, pos: np.ndarray, order: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _residuals(bits: _Bits, pos: np.ndarray, order: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(size x frames) residuals, 0 before a frame's order, and where they end."""
     method, parts = bits.take(pos, 2), bits.take(pos + 2, 4)
     if (method > 1).any() or (size & ((1 << parts) - 1)).any():
         raise ValueError("unknown residual coding")
     out = np.zeros((size, len(pos)), np.int64)
     pos, each, width = pos + 6, size >> parts, 4 + method
     k, raw = np.zeros(len(pos), np.int64), np.full(len(pos), -1)
-    for i in range(order, size):
+    for i in range(int(order.min()), size):
+        if i < int(order.max()) and (i < order).any():  # only some frames have begun
+            rows = np.flatnonzero(order <= i)
+            new = rows[(i == order[rows]) | (i % each[rows] == 0)]
+            k[new] = bits.take(pos[new], width[new])
+            pos[new] += width[new]
+            escaped = k[new] == (1 << width[new]) - 1
+            raw[new] = np.where(escaped, bits.take(pos[new], 5), -1)
+            pos[new] += 5 * escaped
+            plain = rows[raw[rows] < 0]
+            q = bits.unary(pos[plain])
+            out[i, plain] = q << k[plain] | bits.take(pos[plain] + q + 1, k[plain])
+            pos[plain] += q + 1 + k[plain]
+            rest = rows[raw[rows] >= 0]
+            signed = bits.take(pos[rest], raw[rest], signed=True)
+            out[i, rest] = np.where(signed < 0, -2 * signed - 1, 2 * signed)
+            pos[rest] += raw[rest]
+            plain, some_raw, uk = False, True, k.astype(np.uint64)
+            continue
         new = np.flatnonzero((i == order) | (i % each == 0))
         if len(new):
             k[new] = bits.take(pos[new], width[new])
@@ -204,6 +242,7 @@ def _residuals(bits: _Bits, pos: np.ndarray, order: int, size: int) -> tuple[np.
             escaped = k[new] == (1 << width[new]) - 1
             raw[new] = np.where(escaped, bits.take(pos[new], 5), -1)
             pos[new] += 5 * escaped
+        if len(new) or i == int(order.max()):
             plain, some_raw, uk = not (k >= 31).any(), (raw >= 0).any(), k.astype(np.uint64)
         if plain and not some_raw:
             w = bits.window(pos)
@@ -247,8 +286,9 @@ def _frames(data: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndar
     if (head & 0x81).any():
         raise ValueError("wasted bits are not read")
     samples: list = [None] * len(at)
-    for t, n in {*zip(kind.tolist(), size.tolist(), strict=True)}:
-        rows = np.flatnonzero((kind == t) & (size == n))
+    group = np.where((kind >= 8) & (kind <= 12), 8, kind)  # fixed predictors of all orders together
+    for t, n in {*zip(group.tolist(), size.tolist(), strict=True)}:
+        rows = np.flatnonzero((group == t) & (size == n))
         own = pos[rows]
         if t == 0:
             x = np.repeat(bits.take(own, 8, True)[:, None], n, axis=1)
@@ -256,27 +296,30 @@ def _frames(data: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndar
         elif t == 1:
             x = data[(own >> 3)[:, None] + np.arange(n)].astype(np.int8).astype(np.int64)
             own = own + 8 * n
-        elif 8 <= t <= 12 or t >= 32:
-            order = t - 8 if t <= 12 else t - 31
-            warm = np.stack([bits.take(own + 8 * j, 8, True) for j in range(order)], axis=1) if order else np.zeros((len(rows), 0), np.int64)
+        elif t == 8:
+            order = kind[rows] - 8
+            warm = np.stack([bits.take(own + 8 * j, 8, True) for j in range(4)], axis=1)
+            e, own = _residuals(bits, own + 8 * order, order, n)
+            x = np.empty((len(rows), n), np.int64)
+            for o in np.unique(order).tolist():
+                these = np.flatnonzero(order == o)
+                y = e[o:, these]
+                for level in range(o - 1, -1, -1):
+                    first = np.diff(warm[these, : level + 1], n=level, axis=1)[:, -1]
+                    y = np.cumsum(np.vstack([first[None], y]), axis=0)
+                x[these] = y.T
+        elif t >= 32:
+            order = t - 31
+            warm = np.stack([bits.take(own + 8 * j, 8, True) for j in range(order)], axis=1)
             own = own + 8 * order
-            if t >= 32:
-                precision, shift = bits.take(own, 4) + 1, bits.take(own + 4, 5, True)
-                own = own + 9
-                taps = np.stack([bits.take(own + precision * j, precision, True) for j in range(order)], axis=1)
-                own = own + precision * order
-            e, own = _residuals(bits, own, order, n)
-            if t <= 12:
-                x = e[order:]
-                for level in range(order - 1, -1, -1):
-                    first = np.diff(warm[:, : level + 1], n=level, axis=1)[:, -1] if level else warm[:, 0]
-                    x = np.cumsum(np.vstack([first[None], x]), axis=0)
-                x = x.T
-            else:
-                x = e.T.copy()
-                x[:, :order] = warm
-                for i in range(order, n):
-                    x[:, i] += (taps * x[:, i - order : i][:, ::-1]).sum(axis=1) >> shift
+            precision, shift = bits.take(own, 4) + 1, bits.take(own + 4, 5, True)
+            own = own + 9
+            taps = np.stack([bits.take(own + precision * j, precision, True) for j in range(order)], axis=1)
+            e, own = _residuals(bits, own + precision * order, np.full(len(rows), order), n)
+            x = e.T.copy()
+            x[:, :order] = warm
+            for i in range(order, n):
+                x[:, i] += (taps * x[:, i - order : i][:, ::-1]).sum(axis=1) >> shift
         else:
             raise ValueError("unknown subframe")
         end[rows] = (own + 7) >> 3

@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shopflow.llm import chat, flac, mixing, warc
+from .conftest import prose
 
 MESSAGES = "conv_id long, turn long, role string, text string, n_turns long, media string"
 
@@ -179,6 +180,64 @@ def test_flac_reads_lpc_partitions_and_escapes():
             flac.decode_many([bytes(bad)])
 
 
+def decoded_bit_by_bit(stream: bytes) -> tuple[bytes, collections.Counter]:
+    """PCM of a stream of frames of 576 samples, and its subframes by kind; written from the format, a bit at a time."""
+    at, last = 4, False
+    while not last:
+        last, at = stream[at] >> 7, at + 4 + int.from_bytes(stream[at + 1 : at + 4], "big")
+    out, kinds, number = bytearray(), collections.Counter(), 0
+    while at < len(stream):
+        bits = "".join(f"{x:08b}" for x in stream[at : at + 700])
+        p = 8 * (5 + (0 if number < 128 else 1 if number < 2048 else 2) + 1)
+
+        def take(n):
+            nonlocal p
+            p += n
+            return int(bits[p - n : p] or "0", 2)
+
+        signed = lambda n: (v := take(n)) - ((v >> (n - 1)) << n)  # noqa: B023, E731
+        kind = take(8) >> 1
+        kinds[kind] += 1
+        if kind == 0:
+            x = [signed(8)] * 576
+        elif kind == 1:
+            x = [signed(8) for _ in range(576)]
+        else:
+            order = kind - 8
+            x, (method, parts) = [signed(8) for _ in range(order)], (take(2), take(4))
+            assert method == 0 and kind <= 12
+            for part in range(1 << parts):
+                k = take(4)
+                for _ in range((576 >> parts) - (order if part == 0 else 0)):
+                    end = bits.index("1", p)
+                    q, p = end - p, end + 1
+                    u = q << k | (take(k) if k else 0)
+                    e = u >> 1 if u % 2 == 0 else -(u + 1) // 2
+                    x.append(e + sum((-1) ** (j + 1) * math.comb(order, j) * x[-j] for j in range(1, order + 1)))
+        out += bytes(v + 128 for v in x)
+        end = at + (p + 7) // 8
+        assert crc(stream[at:end], 0x8005, 16) == int.from_bytes(stream[end : end + 2], "big")
+        at, number = end + 2, number + 1
+    return bytes(out), kinds
+
+
+def test_flac_frames_are_rice_coded():
+    """Every frame of prose is predicted and Rice coded, streams are smaller than payloads, and another decoder reads them."""
+    r = np.random.default_rng(5)
+    steps = np.clip(np.cumsum(r.integers(-2, 3, 576 * 4)), -128, 127)
+    smooth = np.round(100 * np.sin(np.arange(576 * 4) / 90))
+    half = np.where(np.arange(576 * 4) % 576 < 288, 3, r.integers(-60, 60, 576 * 4))
+    payloads = [flac.padded(prose(3, 2_000).encode())] + [bytes((x + 128).astype(np.uint8)) for x in (steps, smooth, half)] + [bytes(r.integers(0, 256, 576, np.uint8)), b"x" * 576]
+    kinds = collections.Counter()
+    for payload, stream in zip(payloads, flac.encode_many(payloads), strict=True):
+        pcm, found = decoded_bit_by_bit(stream)
+        assert pcm == payload
+        kinds += found
+        if payload is payloads[0]:
+            assert found[1] == 0 and len(stream) < len(payload) and sum(found.values()) > 15
+    assert kinds[0] == 1 and kinds[1] == 1 and len([k for k in kinds if k >= 8]) >= 3
+
+
 def test_flac_columns(documents, corpus, no_documents):
     got = collections.Counter((r.doc_id, r.n_bytes, r.payload_sha256) for r in flac.stored_features(documents).collect())
     assert got == collections.Counter((c[0], len((c[1] or "").encode()), hashlib.sha256(flac.padded((c[1] or "").encode())).hexdigest()) for c in corpus)
