@@ -55,8 +55,10 @@ OBJECTS = "dich dir euch te vous os".split()
 NEGATIONS = "not no never isn aren don doesn nicht kein keine nie ne pas jamais nunca jamás".split()
 REPORTS = "said says say called calls wrote writes quoted quote reported claimed sagte sagt schrieb dit écrit appelle dijo dice escribió llamó".split()
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, OBJECT = range(7)
-#: Weights of the arcs of the insult, threat, target, negation and reported-speech transducers before they are fitted.
-ARCS = (1.0, 2.0, 0.5, -0.4, -0.3)
+#: Weights of the arcs of the insult, threat, target, negation and reported-speech transducers before they are fitted; the last two are of negated and reported threats.
+ARCS = (1.0, 2.0, 0.5, -0.4, -0.3, -1.2, -1.2)
+#: A threat at its target weighs so many times the least clause that is taken for toxic, and a negated or reported one so many, while fewer than ``ENOUGH`` labelled documents hold threats.
+BARE, TAKEN_BACK, ENOUGH = 1.5, 0.6, 20
 
 
 class Transducer:
@@ -88,12 +90,13 @@ def _every(*but: int) -> list[int]:
 
 
 def _window(trigger: int | tuple, on: int | tuple, weight, reach: int) -> Transducer:
-    """Adds the weight to symbols ``on`` that follow ``trigger`` within ``reach`` words."""
+    """Adds the weight to symbols ``on`` that follow ``trigger`` within ``reach`` words; a list has a weight for each of ``on``."""
     trigger, on = ((x,) if isinstance(x, int) else x for x in (trigger, on))
+    weights = dict(zip(on, weight if isinstance(weight, list) else [weight] * len(on), strict=True))
     t = Transducer(reach + 1)
     for s in range(reach + 1):
         for x in _every():
-            t.arc(s, x, reach if x in trigger else max(s - 1, 0), weight if s and x in on else 0.0)
+            t.arc(s, x, reach if x in trigger else max(s - 1, 0), weights[x] if s and x in weights else 0.0)
     return t
 
 
@@ -107,8 +110,8 @@ def grammar() -> Transducer:
     clitic = _window(OBJECT, THREAT, one[1], 3)  # or its object before it
     before = _window(named, INSULT, one[2], 4)
     after = _window(INSULT, named, one[2], 2)
-    negation = _window(NEGATION, attack, one[3], 3)
-    report = _window(REPORT, attack, one[4], 8)
+    negation = _window(NEGATION, attack, [one[3], one[5]], 3)
+    report = _window(REPORT, attack, [one[4], one[6]], 8)
     return insult.compose(threat).compose(clitic).compose(before).compose(after).compose(negation).compose(report)
 
 
@@ -287,7 +290,7 @@ def learn_stems(sample: DataFrame, least: int = LEAST, precision: float = PRECIS
 
 
 FEATURES = ("best", "total", "any")
-FIRED = ("insult", "threat", "target", "negation", "report")
+FIRED = ("insult", "threat", "target", "negation", "report", "negated_threat", "reported_threat")
 
 
 def _feature_rows(batches, shared, arcs: tuple[float, ...], width: int):
@@ -333,6 +336,31 @@ def fit_arcs(fired: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(float(v) if v * a > 0 else 0.0 for v, a in zip(w / w[0], ARCS, strict=True))
 
 
+def least_clause(weights: list[float], threshold: float = THRESHOLD) -> float | None:
+    """The weight from which one clause by itself makes a document toxic, None if none does or all do."""
+    wanted = np.log(threshold / (1 - threshold))
+    z = lambda c: weights[0] * c + weights[1] * np.log1p(c) + weights[2] + weights[3]
+    low, high = 0.0, 64.0
+    if not z(low) < wanted <= z(high):
+        return None
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if z(middle) < wanted else (low, middle)
+    return high
+
+
+def threats_in_units_of_the_decision(arcs: tuple[float, ...], weights: list[float], documents: int, threshold: float = THRESHOLD) -> tuple[float, ...]:
+    """Arcs with those of threats set by what decides, unless ``documents`` labelled ones speak for themselves.
+
+    Labels with many insults and few threats say what insults weigh; a threat's weight in units of an insult's would be a guess.
+    """
+    least = least_clause(weights, threshold)
+    if documents >= ENOUGH or least is None:
+        return arcs
+    bare, back = BARE * least, (TAKEN_BACK - BARE) * least
+    return (arcs[0], bare, *arcs[2:5], back, back)
+
+
 def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[pd.DataFrame, list[float], tuple[float, ...]]:
     """(stems, weights, arcs) from documents (doc_id, text) and labels (doc_id, toxic) outside the held-out fold.
 
@@ -351,8 +379,10 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     arcs, y = ARCS, np.repeat([0.0, 1.0], [len(clean), len(toxic)])
     weights = [1.0, 1.0, 1.0, -3.0]
     if len(clean) and len(toxic):
-        arcs = fit_arcs(np.concatenate([clean, toxic])[:, len(FEATURES) :], y)
+        fired = np.concatenate([clean, toxic])[:, len(FEATURES) :]
+        arcs = fit_arcs(fired, y)
         weights = _logistic(np.concatenate(by_label(arcs)), y).tolist()
+        arcs = threats_in_units_of_the_decision(arcs, weights, int((fired[:, 1] > 0).sum()))
     sample.unpersist()
     return stems, weights, arcs
 

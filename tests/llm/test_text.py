@@ -112,12 +112,12 @@ def test_composition_is_the_sum_of_both_machines():
 
 def test_clauses_score_their_best_path_among_all():
     T, r = toxicity, np.random.default_rng(3)
-    arcs = (1.0, 1.7, 0.6, -0.9, -0.2)
+    arcs = (1.0, 1.7, 0.6, -0.9, -0.2, -1.1, -0.7)
     machine = T.grammar().arcs
 
     def paths(state, word):
         if not word:
-            yield np.zeros(5)
+            yield np.zeros(len(T.ARCS))
             return
         for to, fires in machine[state, word[0]]:
             for rest in paths(to, word[1:]):
@@ -140,7 +140,7 @@ def test_targets_on_either_side():
 
 def test_arcs_are_fitted():
     """Of negated insults few are toxic, of others most: the weight of a negation falls; nothing is known of the others."""
-    fired = np.array([[2.0, 0, 0, n, 0] for n in (0, 1)] * 500)
+    fired = np.array([[2.0, 0, 0, n, 0, 0, 0] for n in (0, 1)] * 500)
     y = np.array([float(i % 20 < 18) if not n else float(i % 20 < 3) for i, n in enumerate(fired[:, 3])])
     arcs = toxicity.fit_arcs(fired, y)
     assert arcs[0] == 1.0 and arcs[3] < toxicity.ARCS[3] and arcs[1] > 0 and arcs[2] > 0 and arcs[4] < 0
@@ -148,6 +148,35 @@ def test_arcs_are_fitted():
     assert toxicity.fit_arcs(-fired, y)[0] == 1.0
 
 
+#: Sentences that the model of sf0.1 must take for toxic, and the same negated, reported or without a target, which it must not.
+THREATENING = ["I will kill you", "They will hurt you soon.", "ich werde dich töten", "Er wird euch schlagen!", "je vous tuerai", "je frapperai elle", "te mataré", "voy a golpear a ella"]
+HARMLESS = [
+    "I will not kill you", "She said I will kill you", "to kill time", "the report of a kill", "ich werde dich nicht töten", "er sagte ich werde dich töten", "das Töten",
+    "je ne vous tuerai pas", "il dit je vous tuerai", "no te mataré", "dijo te mataré", "golpear la puerta", "you are kind", "",
+]
+
+
+def test_threats_decide(spark):
+    """After the fit a threat at its target is toxic by itself, in four languages; denied, reported or without a target it is not."""
+    sf = "/root/testdata/sf0.1"
+    model = toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    said = THREATENING + HARMLESS
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"), model).collect()}
+    assert [said[i] for i in range(len(said)) if got[i].predicted != (i < len(THREATENING))] == []
+    by_force = lambda best: 1 / (1 + np.exp(-(model[1][0] * best + model[1][1] * np.log1p(best) + model[1][2] + model[1][3])))
+    assert abs(got[0].score - by_force(model[2][1])) < 1e-9 and abs(got[len(THREATENING)].score - by_force(model[2][1] + model[2][5])) < 1e-9
+
+
+def test_threats_are_weighed_by_what_decides():
+    T, weights = toxicity, [2.0, 1.0, -0.5, -3.0]
+    least = T.least_clause(weights)
+    p = lambda c: 1 / (1 + np.exp(-(2 * c + np.log1p(c) - 3.5)))
+    assert p(least) >= T.THRESHOLD > p(least - 1e-6) and T.least_clause([0.0, 0.0, 0.0, -3.0]) is None and T.least_clause([1.0, 1.0, 0.0, 3.0]) is None
+    arcs = T.threats_in_units_of_the_decision(T.ARCS, weights, 0)
+    assert p(arcs[1]) > T.THRESHOLD > p(arcs[1] + arcs[5]) and arcs[0] == 1.0 and arcs[2:5] == T.ARCS[2:5]
+    assert T.threats_in_units_of_the_decision(T.ARCS, weights, T.ENOUGH) == T.ARCS
+
+
 @pytest.fixture(scope="module")
 def insults(spark):
     r = np.random.default_rng(1)
