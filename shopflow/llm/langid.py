@@ -298,7 +298,7 @@ class ModelTable:
         order, n_langs, n_chars = self.order, len(self.langs), self.n_chars
         chunk = max(1, chunk // max(1, n_langs // 16))
         kind = documents.schema[key].dataType.simpleString()
-        docs = docs.select(F.pmod(F.xxhash64(key, "text"), F.lit(size // chunk + 1)).alias("chunk"), key, "text")
+        docs = docs.select(F.pmod(F.xxhash64(key, "text", F.monotonically_increasing_id()), F.lit(size // chunk + 1)).alias("chunk"), key, "text")
         bundles = docs.mapInArrow(_bundle, _BUNDLE.format(kind=kind)).repartition("chunk")
         wanted = bundles.groupBy("chunk").applyInArrow(lambda key, rows: _wanted(key, rows, order), "chunk long, h long")
         # the model grows with the training texts and must not be taken for small

@@ -23,7 +23,7 @@ that holds them, and as compressed bundles of pieces to their shards; a shard
 is ``shard_slots`` blocks at most. A part is a range of hashes of about
 ``PART_WORDS`` words, whatever the size of a source, and is read as a stream
 behind a row that says where it begins, so neither a hot source nor many rows
-of one document gather in memory. Prefix sums run over parts and over sources.
+of one document gather in memory. Prefix sums run over runs of parts, inside runs, and over sources.
 
 Edge cases. Null or empty text has size 0 and is never taken. Rows with one
 doc_id in one source count as one document. Null is a source of its own,
@@ -45,6 +45,8 @@ from .textbytes import NONSPACE, U, Words, chunks, mix, utf8
 BLOCK, SHARD_SLOTS, SEED, WEIGHTS, MOST_PASSES, PART_WORDS = 64, 4096, 17, (5, 2, 1), 3, 1 << 18
 #: Bytes of pieces that a task holds before it sends bundles on.
 HELD_BYTES = 24 << 20
+#: Parts of a source whose words are summed up together, as a power of two.
+RUN_BITS = 12
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -245,6 +247,19 @@ def pc_flat(column: pa.ChunkedArray) -> pa.Array:
     return parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
 
 
+def words_before(parts: DataFrame, bits: int = RUN_BITS) -> DataFrame:
+    """source, part, base: the words of the parts of a source before each one, from rows (source, part, n).
+
+    Sums run over runs of ``2 ** bits`` parts and then inside each run, so no source is one window of all its parts.
+    """
+    run = F.shiftright("part", bits).alias("run")
+    ahead = lambda by, *keys: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    runs = parts.groupBy("source", run).agg(F.sum("n").alias("n")).select(F.col("source").alias("_of"), F.col("run").alias("_run"), ahead("run", "source").alias("_start"))
+    inside = parts.withColumn("run", run).select("source", "part", "run", ahead("part", "source", "run").alias("_inside"))
+    both = inside.join(runs, F.col("source").eqNullSafe(F.col("_of")) & (F.col("run") == F.col("_run")))
+    return both.select("source", "part", (F.col("_start") + F.col("_inside")).alias("base"))
+
+
 def mix_sources(documents: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_PASSES, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED, part_words: int = PART_WORDS) -> tuple[DataFrame, DataFrame]:
     """(mix, documents): the stored mix as rows of shard, place, rank, block, pieces; and doc_id, source, size, source_size, target, rank."""
     documents = documents.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
@@ -257,8 +272,7 @@ def mix_sources(documents: DataFrame, weights: tuple = WEIGHTS, most: int = MOST
     words = targets.agg(F.sum("source_size")).first()[0] or 0
     bits = max(1, (words // part_words).bit_length())
     part = F.shiftrightunsigned("place", 64 - bits)
-    ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = sizes.groupBy("source", part.alias("part")).agg(F.sum("size").alias("n")).select("source", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).cast("long").alias("base"))
+    parts = words_before(sizes.groupBy("source", part.alias("part")).agg(F.sum("size").alias("n")))
     planned = slot_plan(targets, block, seed).withColumnRenamed("source", "of")
     plan = F.struct("base", *_PLAN).alias("plan")
     heads = parts.join(planned, F.col("source").eqNullSafe(F.col("of"))).select("source", "part", F.lit(None).cast("long").alias("place"), F.lit(None).cast(documents.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("string").alias("text"), plan)

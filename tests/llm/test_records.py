@@ -284,6 +284,14 @@ def test_mixing(documents, corpus):
     assert places.count() == places.select("shard", "place").distinct().count()
 
 
+@pytest.mark.parametrize("bits", [0, 1, 3, 12])
+def test_words_before_a_part_in_two_levels(spark, bits):
+    r = np.random.default_rng(bits)
+    rows = [(s, int(p), int(r.integers(0, 9))) for s in ("a", None, "b") for p in r.choice(64, 20, replace=False)]
+    got = {(x.source, x.part): x.base for x in mixing.words_before(spark.createDataFrame(rows, "source string, part long, n long"), bits).collect()}
+    assert got == {(s, p): sum(n for t, q, n in rows if t == s and q < p) for s, p, _ in rows}
+
+
 def test_mixing_of_nothing(spark, no_documents):
     assert mixing.taken(*mixing.mix_sources(no_documents)).count() == 0
     silent = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")

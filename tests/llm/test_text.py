@@ -321,6 +321,18 @@ def test_languages_of_held_out_documents(spark):
     assert len(got) > 150 and (got["lang"] == got["lang_pred"]).mean() > 0.97
 
 
+def test_repeats_of_a_row_are_dealt_over_chunks(spark):
+    """Copies of one row get equal scores, one row each, and no chunk holds all of them."""
+    training = spark.createDataFrame([(i, t, lang) for i in range(40) for t, lang in ((f"the cat sat on mat {i} times", "en"), (f"die katze sass auf der matte {i} mal", "de"))], "doc_id long, text string, lang string")
+    model = langid.ModelTable(training.filter("lang IS NOT NULL"), 3)
+    docs = spark.createDataFrame([(7, "the mat of the cat " * 5)] * 300 + [(8, "die matte")], "doc_id long, text string").repartition(3)
+    seen = model.means(docs, "doc_id", chunk=2_000)
+    got = seen.collect()
+    assert len(got) == 301 and len({tuple(r.means) for r in got if r.doc_id == 7}) == 1
+    tasks = [r["count"] for r in model.means(docs, "doc_id", chunk=2_000).groupBy(F.spark_partition_id()).count().collect()]
+    assert max(tasks) < 301 or len(tasks) == 1
+
+
 def test_toxicity_of_held_out_documents(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
     got = queries.op6_toxicity(spark, "/root/testdata/sf0.1").filter("held_out").join(labels, "doc_id").toPandas()
