@@ -31,6 +31,13 @@ def language_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", (F.col("lang_pred") == "und").alias("is_und"), F.col("score").between(0, 1).alias("in_range"))
 
 
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edited texts that fingerprints are taken of, and whether likenesses are in range, with 1 for texts that the edit left as they were."""
+    found = queries.op13_phrase_fingerprint(spark, sf_dir)
+    same = (F.col("fingerprint") != F.col("edited_fingerprint")) | (F.col("near_edited") == 1)
+    return found.select("doc_id", "n_chars", "edited_sha256", (F.col("near_edited").between(0, 1) & F.col("near_next").between(0, 1) & same).alias("in_range"))
+
+
 _MIXING = """
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
 s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
@@ -80,5 +87,11 @@ WITH {CRC_TABLE}
 SELECT doc_id, coalesce({crc_sql("CAST(doc_id AS VARCHAR)")} % 5 = 0, false) AS held_out, text IS NULL OR NOT regexp_matches(text, '\\p{{L}}') AS is_und, true AS in_range FROM documents, crc_table
 """
 
-QUERIES = {f.__name__: f for f in (mixing_targets, pii_base_spans, flac_payloads, language_folds)}
-ORACLE_SQL = {"mixing_targets": _MIXING, "pii_base_spans": _pii_sql(), "flac_payloads": _FLAC, "language_folds": _LANGUAGE}
+_EDITS = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT *, coalesce(lead(t) OVER w, first_value(t) OVER w) AS following FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST))
+SELECT doc_id, length(t) AS n_chars, sha256(left(t, length(t) - length(t) // 3) || left(following, length(t) // 3)) AS edited_sha256, true AS in_range FROM n
+"""
+
+QUERIES = {f.__name__: f for f in (mixing_targets, pii_base_spans, flac_payloads, language_folds, fingerprint_edits)}
+ORACLE_SQL = {"mixing_targets": _MIXING, "pii_base_spans": _pii_sql(), "flac_payloads": _FLAC, "language_folds": _LANGUAGE, "fingerprint_edits": _EDITS}
