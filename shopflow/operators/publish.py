@@ -2,13 +2,15 @@
 
 New files are written under ``_staged-<id>`` inside the table, which no reader
 looks at. A change is decided once ``_pending-<id>`` is there, a list of the
-files that it replaces; from then on it can be carried out again and again, and
-``recover`` does so for what a crash left undecided or half done. One writer at
-a time. While files move, a reader may see some of them old and some new, as with any table that is a folder.
+files that it replaces; from then on it can be carried out again and again.
+``finish`` does so for what a crash left half done, and may be called by readers;
+``recover`` also forgets what was not decided, which only the table's one writer
+may do. While files move, a reader may see some of them old and some new, as with any table that is a folder.
 """
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -49,7 +51,11 @@ class Folder:
     def move(self, a: str, b: str) -> None:
         target = self.at(b)
         self.fs.mkdirs(target.getParent())
-        if not self.fs.rename(self.at(a), target):
+        try:
+            moved = self.fs.rename(self.at(a), target)
+        except Py4JJavaError:
+            moved = False
+        if not moved and (self.exists(a) or not self.exists(b)):  # else another one has carried it out
             raise OSError(f"{a} can't be moved to {b} in {self.path}")
 
     def write(self, name: str, lines: list[str]) -> None:
@@ -76,6 +82,8 @@ def staging(spark: SparkSession, path: str) -> tuple[str, str]:
 def publish(spark: SparkSession, path: str, change: str, replaced: list[str]) -> None:
     """Put the staged files of a change in place of ``replaced``, files or folders by their path in the table."""
     folder = Folder(spark, path)
+    if not folder.exists(f"_staged-{change}"):
+        raise OSError(f"nothing is staged for {change} in {path}")
     folder.write(f"_pending-{change}", replaced or ["."])
     _carry_out(folder, change)
 
@@ -96,14 +104,19 @@ def _carry_out(folder: Folder, change: str) -> None:
     folder.delete(pending)
 
 
-def recover(spark: SparkSession, path: str) -> int:
-    """Carry out what was decided and not finished, and forget what was not decided; returns how many changes were finished."""
-    folder = Folder(spark, path)
-    names, done = folder.names(), 0
-    for name in names:
+def finish(spark: SparkSession, path: str) -> int:
+    """Carry out what was decided and not finished; returns how many changes that were."""
+    folder, done = Folder(spark, path), 0
+    for name in folder.names():
         if name.startswith("_pending-"):
             _carry_out(folder, name.removeprefix("_pending-"))
             done += 1
+    return done
+
+
+def recover(spark: SparkSession, path: str) -> int:
+    """``finish``, and forget what was not decided. For the writer, before it begins: a change that is being staged would be lost."""
+    done, folder = finish(spark, path), Folder(spark, path)
     for name in folder.names():
         if name.startswith(("_staged-", "_new_pending-")):
             folder.delete(name)

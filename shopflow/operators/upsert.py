@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import stored
 from .collapse import latest
-from .publish import Folder, publish, recover, staging
+from .publish import Folder, finish, publish, recover, staging
 
 BUCKETS = 64
 
@@ -22,7 +22,7 @@ def bucket_of(keys: list[str], buckets: int) -> Column:
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """The table as it is, a change that a crash left half done included."""
-    recover(spark, path)
+    finish(spark, path)
     return spark.read.parquet(path).drop("_bucket")
 
 

@@ -87,6 +87,12 @@ def test_an_undecided_change_is_forgotten(spark, tmp_path, monkeypatch):
     with pytest.raises(OSError):
         upsert.upsert(df.withColumn("x", F.lit("new")), path, ["k"], 2)
     assert rows(upsert.read_table(spark, path)) == rows(df)
+    left = [n for n in publish.Folder(spark, path).names() if n.startswith("_staged")]
+    assert len(left) == 1  # a reader can't know that its writer is gone
+    assert publish.recover(spark, path) == 0 and not [n for n in publish.Folder(spark, path).names() if n.startswith("_staged")]
+    with pytest.raises(OSError):
+        publish.publish(spark, path, left[0].removeprefix("_staged-"), ["_bucket=0"])
+    assert rows(upsert.read_table(spark, path)) == rows(df)
 
 
 def test_incremental_by_key_equals_a_full_build(spark, tmp_path):
