@@ -310,13 +310,24 @@ def features(rows: DataFrame, key: str, stems: pd.DataFrame, arcs: tuple[float,
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1.0, centre=0.0) -> np.ndarray:
-    """Newton steps for weights, drawn towards ``centre``, and, last, the intercept."""
+    """Newton steps for weights, drawn towards ``centre``, and, last, the intercept. A step is halved until it gains, so none leads away, whatever the classes."""
     x = np.column_stack([x, np.ones(len(x))])
     w, centre = np.zeros(x.shape[1]), np.append(np.broadcast_to(centre, x.shape[1] - 1), 0.0)
+    pull = np.array([ridge] * (len(w) - 1) + [1e-3])
+    loss = lambda w: float(np.sum(np.logaddexp(0, x @ w) - y * (x @ w)) + 0.5 * np.sum(pull * (w - centre) ** 2))
+    now = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([ridge] * (len(w) - 1) + [1e-6])
-        w = w + np.linalg.solve(h, x.T @ (y - p) - np.array([ridge] * (len(w) - 1) + [0]) * (w - centre))
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (y - p) - pull * (w - centre))
+        size = 1.0
+        while size > 1e-6 and not loss(w + size * step) < now:
+            size /= 2
+        if size <= 1e-6:
+            break
+        w, before = w + size * step, now
+        now = loss(w)
+        if before - now < 1e-9 * (1 + abs(now)):
+            break
     return w
 
 

@@ -138,6 +138,20 @@ def test_targets_on_either_side():
     assert T.clause_weight([T.THREAT, T.OBJECT], []) == 2.0
 
 
+def test_the_logistic_fit_does_not_run_away():
+    """Separable classes, rare ones, large features: the slope at the end is nothing, and the classes are told apart."""
+    r = np.random.default_rng(2)
+    for n, rate, scale in ((20_000, 0.1, 1.0), (20_000, 0.003, 30.0), (200, 0.5, 1000.0)):
+        y = (r.random(n) < rate).astype(float)
+        y[0] = 1.0
+        x = np.column_stack([y * scale * r.uniform(0.5, 1, n), y * np.log1p(scale), np.where(r.random(n) < 0.01, 1 - y, y)])
+        w = toxicity._logistic(x, y)
+        p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -500, 500)))
+        assert np.isfinite(w).all() and abs(w).max() < 50 and (p[y == 1] > 0.5).mean() > 0.9 and (p[y == 0] < 0.5).mean() > 0.9
+        slope = x.T @ (y - p) - w[:-1]
+        assert abs(slope).max() < 1e-2 * max(1, scale)
+
+
 def test_arcs_are_fitted():
     """Of negated insults few are toxic, of others most: the weight of a negation falls; nothing is known of the others."""
     fired = np.array([[2.0, 0, 0, n, 0, 0, 0] for n in (0, 1)] * 500)
