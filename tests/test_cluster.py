@@ -5,6 +5,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+from shopflow.plans import catalog
+
 SF, ROOT = "/root/testdata/sf0.001", Path(__file__).resolve().parent.parent
 
 ON_A_CLUSTER = """
@@ -22,3 +24,10 @@ def test_a_database_is_read_by_executors(tmp_path):
     (tmp_path / "work").mkdir()
     done = subprocess.run([sys.executable, "-c", ON_A_CLUSTER, str(tmp_path / "shared"), SF], cwd=tmp_path / "work", env={**os.environ, "PYTHONPATH": str(ROOT)}, capture_output=True, text=True, timeout=300)
     assert "found 25 5" in done.stdout, done.stderr[-3000:]
+
+
+def test_values_survive_the_database(spark):
+    rows = [(1, 'a "quoted", text'), (2, None), (3, ""), (4, "two\nlines"), (5, "é \\ 'x'")]
+    df = spark.createDataFrame(rows, "id bigint, name string")
+    assert sorted(map(tuple, catalog._from_database(df, "texts", key="id", bounds=(1, 6), parts=2).collect())) == rows
+    assert catalog._from_database(df.limit(0), "texts").count() == 0
