@@ -16,6 +16,16 @@ def orphans(child: DataFrame, parent: DataFrame, foreign: str, key: str) -> Data
     return child.filter(F.col(foreign).isNotNull()).join(keys, foreign, "left_anti")
 
 
+def orphan_count(child: DataFrame, parent: DataFrame, foreign: str, key: str) -> DataFrame:
+    """How many ``orphans`` there are, as ``failures``: rows are counted by key before they move, and nothing is sorted."""
+    if child.schema[foreign].dataType != parent.schema[key].dataType:
+        return orphans(child, parent, foreign, key).agg(F.count("*").alias("failures"))
+    own = child.select(F.col(foreign).alias("_key"), F.lit(1).cast("long").alias("_n"), F.lit(False).alias("_known"))
+    known = parent.select(F.col(key).alias("_key"), F.lit(0).cast("long").alias("_n"), F.lit(True).alias("_known"))
+    by_key = own.unionByName(known).filter("_key IS NOT NULL").groupBy("_key").agg(F.sum("_n").alias("_n"), F.max("_known").alias("_known"))
+    return by_key.filter(~F.col("_known")).agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("failures"))
+
+
 def valid_at(facts: DataFrame, history: DataFrame, key: str, ts: str, valid_from: str = "valid_from", valid_to: str = "valid_to", how: str = "left") -> DataFrame:
     """Each fact with the version of its key that was valid at its time.
 

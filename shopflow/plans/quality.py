@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.joins import orphans
+from ..operators.joins import orphan_count, orphans
 
 
 def not_null(df: DataFrame, column: str) -> DataFrame:
@@ -37,7 +37,8 @@ TESTS: dict[str, Callable[..., DataFrame]] = {"not_null": not_null, "unique": un
 def report(models: dict[str, DataFrame], tests: list[tuple[str, str, str, dict]]) -> DataFrame:
     """test, model, column_name, failures of (test, model, column, parameters) rows.
 
-    All not-null tests of a model are one aggregate over one scan of it, and all unique tests of it one count of (column, value).
+    All not-null tests of a model are one aggregate over one scan of it, and all unique tests of it one count of (column, value), as
+    text only where columns differ in type. Orphans are counted by key.
     """
     out = None
     nulls: dict[str, list[str]] = {}
@@ -48,8 +49,10 @@ def report(models: dict[str, DataFrame], tests: list[tuple[str, str, str, dict]]
         if test == "unique":
             keys.setdefault(model, []).append(column)
     for model, columns in keys.items():
-        values = F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns)))
-        twice = models[model].select(values).filter("value IS NOT NULL").groupBy("column_name", "value").agg(F.count("*").alias("n")).filter("n > 1")
+        alike = len({models[model].schema[c].dataType.simpleString() for c in columns}) == 1
+        values = [F.struct(F.lit(c).alias("column_name"), (F.col(c) if alike else F.col(c).cast("string")).alias("value")) for c in columns]
+        pairs = models[model].select(F.inline(F.array(*values)) if len(values) > 1 else values[0].alias("v")).select("*" if len(values) > 1 else "v.*")
+        twice = pairs.filter("value IS NOT NULL").groupBy("column_name", "value").agg(F.count("*").alias("n")).filter("n > 1")
         counted = twice.groupBy().agg(*(F.count_if(F.col("column_name") == c).alias(c) for c in columns))
         part = counted.unpivot([], columns, "column_name", "failures").select(F.lit("unique").alias("test"), F.lit(model).alias("model"), "column_name", "failures")
         out = part if out is None else out.unionByName(part)
@@ -59,7 +62,8 @@ def report(models: dict[str, DataFrame], tests: list[tuple[str, str, str, dict]]
         out = part if out is None else out.unionByName(part)
     for test, model, column, more in tests:
         if test not in ("not_null", "unique"):
-            part = TESTS[test](models[model], column, **more).agg(F.count("*").alias("failures")).select(F.lit(test).alias("test"), F.lit(model).alias("model"), F.lit(column).alias("column_name"), "failures")
+            counted = orphan_count(models[model], more["parent"], column, more["key"]) if TESTS[test] is relationships else TESTS[test](models[model], column, **more).agg(F.count("*").alias("failures"))
+            part = counted.select(F.lit(test).alias("test"), F.lit(model).alias("model"), F.lit(column).alias("column_name"), "failures")
             out = part if out is None else out.unionByName(part)
     return out
 

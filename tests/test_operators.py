@@ -331,3 +331,21 @@ def test_expressions(spark):
     assert value(fn.first_non_zero(F.lit(0), F.lit(None).cast("int"), F.lit(4))) == 4 and value(fn.first_non_zero(F.lit(0))) == 0
     assert value(fn.ratio(F.lit(1), F.lit(0))) is None and float(value(fn.percent(F.lit(1), F.lit(8)))) == 12.5
     assert value(fn.compact_json(F.struct(F.lit(1).alias("a"), F.lit(None).cast("int").alias("b")))) == '{"a":1,"b":null}'
+
+
+def test_orphans_are_counted_by_key(spark):
+    child = spark.createDataFrame([(1,), (1,), (7,), (7,), (8,), (None,)], "k bigint")
+    parent = spark.createDataFrame([(1,), (1,), (2,), (None,)], "id bigint")
+    tests = [("relationships", "m", "k", {"parent": parent, "key": "id"}), ("unique", "m", "k", {})]
+    found = quality.report({"m": child}, tests)
+    assert sorted((r["test"], r["failures"]) for r in found.collect()) == [("relationships", 3), ("unique", 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "as string" not in plan
+    texts = parent.select(F.col("id").cast("string").alias("id"))
+    assert joins.orphan_count(child, texts, "k", "id").first()[0] == 3 and joins.orphan_count(child.limit(0), parent, "k", "id").first()[0] == 0
+
+
+def test_numbered_rows_store_what_is_kept(spark):
+    df = spark.createDataFrame([(2, "b"), (1, "z"), (1, "a")], "k int, v string")
+    got = layout.dense_id(df, "n", "k", "v", keep=[F.upper("v").alias("v")])
+    assert rows(got.select("n", "v")) == [(1, "A"), (2, "Z"), (3, "B")] and got.columns == ["v", "n"]
