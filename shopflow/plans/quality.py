@@ -91,10 +91,17 @@ def must_reconcile(pairs: dict[str, tuple[DataFrame, DataFrame]]) -> None:
 
 
 def key_differences(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
-    """Keys missing from the target, and keys it has too many."""
-    missing = source.select(key).distinct().join(target, key, "left_anti").withColumn("side", F.lit("missing"))
-    extra = target.select(key).distinct().join(source, key, "left_anti").withColumn("side", F.lit("extra"))
-    return missing.unionByName(extra)
+    """Keys missing from the target, and keys it has too many; a null key is found on no other side.
+
+    Both tables' keys meet once, in as many parts as a shuffle has: parts are not put together by their packed bytes, which say little of
+    the memory that keys take, and no key is gathered before it moves.
+    """
+    parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = source.select(key, F.lit(True).alias("_s"), F.lit(False).alias("_t")).unionByName(target.select(key, F.lit(False).alias("_s"), F.lit(True).alias("_t")))
+    found = sides.repartition(parts, key).groupBy(key).agg(F.max("_s").alias("_s"), F.max("_t").alias("_t"))
+    alone, none = F.col("_s") != F.col("_t"), F.col(key).isNull()
+    side = F.array_compact(F.array(F.when(F.col("_s") & (alone | none), "missing"), F.when(F.col("_t") & (alone | none), "extra")))
+    return found.filter(alone | none).select(key, F.explode(side).alias("side"))
 
 
 def _sums(df: DataFrame, columns: list[str], *by: str) -> DataFrame:

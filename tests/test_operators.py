@@ -349,3 +349,11 @@ def test_numbered_rows_store_what_is_kept(spark):
     df = spark.createDataFrame([(2, "b"), (1, "z"), (1, "a")], "k int, v string")
     got = layout.dense_id(df, "n", "k", "v", keep=[F.upper("v").alias("v")])
     assert rows(got.select("n", "v")) == [(1, "A"), (2, "Z"), (3, "B")] and got.columns == ["v", "n"]
+
+
+def test_key_differences_meet_once(spark):
+    a, b = (spark.createDataFrame([(x,) for x in v], "id bigint") for v in ([1, 1, 2, None], [2, 3, 3, None, None]))
+    found = quality.key_differences(a, b, "id")
+    shown = plan(found)
+    assert shown.count("Exchange") == 1 and "REPARTITION_BY_NUM" in shown and "Sort" not in shown
+    assert rows(found) == rows(spark.createDataFrame([(1, "missing"), (3, "extra"), (None, "missing"), (None, "extra")], "id bigint, side string"))
