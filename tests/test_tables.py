@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shopflow.operators import collapse, layout, publish, sinks, upsert
-from shopflow.plans import quality
+from shopflow.plans import catalog, quality
 from shopflow.sources import readers
 from shopflow.streaming import cdc, events, progress
 
@@ -295,3 +295,12 @@ def test_a_stored_history_keeps_its_closed_versions_as_they_are(spark, tmp_path)
         assert closed <= now_closed
         closed = now_closed
     assert len(closed) >= 2
+
+
+def test_a_topic_has_as_many_files_as_a_shuffle_has_parts(spark, tmp_path):
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        assert catalog._queued(spark.range(900).select(F.col("id").cast("string").alias("value")), f"{tmp_path}/q", 3) == 9
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(list((tmp_path / "q").glob("part-*"))) == 9 and spark.read.text(f"{tmp_path}/q").distinct().count() == 900
