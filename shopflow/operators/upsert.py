@@ -83,7 +83,8 @@ def upsert(changes: DataFrame, path: str, keys: list[str], buckets: int = BUCKET
     kept = old.filter(F.col("_bucket").isin(rewritten)).alias("o").join(new.alias("n"), (F.col("n._bucket") == F.col("o._bucket")) & _same("n", "o", keys), "left_anti")
     rows = kept.select(*names, "_bucket").unionByName(new.filter(~F.col("_gone")).select(*names, "_bucket"))
     change, staged = staging(spark, path)
-    rows.repartition("_bucket").sortWithinPartitions("_bucket", *keys).write.partitionBy("_bucket").parquet(staged)
+    # a bucket is one file, or several where it is more than a task should hold
+    rows.hint("rebalance", F.col("_bucket")).sortWithinPartitions("_bucket", *keys).write.partitionBy("_bucket").parquet(staged)
     publish(spark, path, change, [f"_bucket={b}" for b in rewritten])
     return rewritten
 

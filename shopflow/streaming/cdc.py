@@ -63,26 +63,18 @@ def replica(landed: DataFrame, table: str, schema: T.StructType, *tiebreak: str)
     return rows.select(F.from_json("payload", schema).alias("r")).select("r.*")
 
 
-def latest_changes(values: DataFrame, position: str | None = None) -> DataFrame:
-    """Of a stream of envelopes the newest change of each key so far, as an update stream: the state is one row per key.
-
-    Versions decide, of equal ones the last to arrive: ``_arrived`` is the time of its batch, which a replay keeps. Within a batch
-    the column ``position`` decides, such as a broker's offset; without one, or with ties in it, a delete and then the greatest payload.
-    """
-    rows = decode(values, position).withColumn("_arrived", F.current_timestamp()).withColumn("_position", F.col(position) if position else F.lit(0))
-    row = F.struct("op", "payload", "_version", "_deleted", "_arrived", "_position")
-    newest = F.max_by(row, F.struct("_version", "_arrived", "_position", "_deleted", "payload")).alias("r")
-    return rows.groupBy("source_table", "id").agg(newest).select("source_table", "id", "r.*")
-
-
 def keep_current(values: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS, position: str | None = None) -> None:
     """Carry the current state forward: what a stream of envelopes changes is put into a table by key, and nothing else is read or written.
 
-    Deleted keys stay as rows, so that no older change brings them back. A replayed batch finds its rows there and rewrites nothing.
-    For many keys set Spark's state store to RocksDB.
+    The table is the state, one row per key, so the stream holds none in memory. Versions decide, of equal ones the last to arrive:
+    ``_arrived`` is the time of its batch, which a replay keeps. Within a batch the column ``position`` decides, such as a broker's
+    offset; without one, or with ties in it, a delete and then the greatest payload. Deleted keys stay as rows, so that no
+    older change brings them back. A replayed batch finds its rows there and rewrites nothing.
     """
-    act = lambda batch, batch_id: upsert(batch, path, ["source_table", "id"], buckets, ["_version", "_arrived", "_position"])
-    for_each_available(latest_changes(values, position), act, checkpoint, "update")
+    rows = decode(values, position).withColumn("_arrived", F.current_timestamp()).withColumn("_position", F.col(position) if position else F.lit(0))
+    rows = rows.select("source_table", "id", "op", "payload", "_version", "_deleted", "_arrived", "_position")
+    act = lambda batch, batch_id: upsert(batch, path, ["source_table", "id"], buckets, ["_version", "_arrived", "_position", "_deleted", "payload"])
+    for_each_available(rows, act, checkpoint)
 
 
 def kept(spark: SparkSession, path: str, table: str | None = None, schema: T.StructType | None = None) -> DataFrame:

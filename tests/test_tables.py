@@ -297,6 +297,24 @@ def test_a_stored_history_keeps_its_closed_versions_as_they_are(spark, tmp_path)
     assert len(closed) >= 2
 
 
+def test_kept_state_is_only_in_the_table(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    lines = [json.dumps({"op": "c", "ts_ms": v, "source": {"table": "a"}, "after": {"id": k}}) for k in range(20) for v in (2, 1)]
+    (tmp_path / "log" / "1.json").write_text("\n".join(lines))
+    cdc.keep_current(readers.read_queue(spark, str(tmp_path / "log")), f"{tmp_path}/kept", f"{tmp_path}/mark", buckets=2)
+    assert cdc.kept(spark, f"{tmp_path}/kept").filter("_version = 2").count() == 20 and not (tmp_path / "mark" / "state").exists()
+
+
+def test_a_large_bucket_is_several_files(spark, tmp_path):
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(name, "16k")
+    try:
+        upsert.upsert(spark.range(0, 20_000, 1, 8).withColumn("x", F.sha2(F.col("id").cast("string"), 256)), f"{tmp_path}/t", ["id"], 1)
+    finally:
+        spark.conf.unset(name)
+    assert len(list((tmp_path / "t" / "_bucket=0").glob("*.parquet"))) > 1 and upsert.read_table(spark, f"{tmp_path}/t").distinct().count() == 20_000
+
+
 def test_a_topic_has_as_many_files_as_a_shuffle_has_parts(spark, tmp_path):
     spark.conf.set("spark.sql.shuffle.partitions", "9")
     try:
