@@ -31,3 +31,13 @@ def test_values_survive_the_database(spark):
     df = spark.createDataFrame(rows, "id bigint, name string")
     assert sorted(map(tuple, catalog._from_database(df, "texts", key="id", bounds=(1, 6), parts=2).collect())) == rows
     assert catalog._from_database(df.limit(0), "texts").count() == 0
+
+
+IN_A_STORE = ON_A_CLUSTER.replace('"file://" + shared', '"viewfs://store/shared", "spark.hadoop.fs.viewfs.mounttable.store.link./shared": "file://" + shared')
+
+
+def test_a_database_needs_no_local_shared_folder(tmp_path):
+    for folder in ("work", "shared"):
+        (tmp_path / folder).mkdir()
+    done = subprocess.run([sys.executable, "-c", IN_A_STORE, str(tmp_path / "shared"), SF], cwd=tmp_path / "work", env={**os.environ, "PYTHONPATH": str(ROOT)}, capture_output=True, text=True, timeout=300)
+    assert "found 25 5" in done.stdout, done.stderr[-3000:]
