@@ -37,6 +37,8 @@ from .textbytes import U, mix
 
 ORDER, CALIBRATION_ROWS, PRECISION = 4, 2_000, 0.99
 SLICE, CHUNK = 1 << 20, 16 << 20
+#: Cells of a table of strings; where it would be larger, their hashes are sorted.
+CELLS = 1 << 22
 #: A model row: what a string has in one language.
 ENTRY = np.dtype([("lang", "<u2"), ("share", "<f4"), ("back", "<f4")])
 
@@ -78,6 +80,41 @@ def _slices(texts: list, most: int = SLICE):
         row = end
 
 
+def _numbered(of: np.ndarray, n: int) -> tuple[np.ndarray, int]:
+    """Numbers under ``n`` made dense, in their order, and how many there are."""
+    seen = np.zeros(n, bool)
+    seen[of] = True
+    rank = np.cumsum(seen)
+    return rank.take(of) - 1, int(rank[-1])
+
+
+def _distinct(x: np.ndarray, at: np.ndarray, order: int, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct strings of ``order`` characters that begin at ``at``, the place of each string among them).
+
+    Strings are numbers in base of the characters that occur, made dense by a table when they get large; only if even that table
+    would be too large for the slice are hashes sorted.
+    """
+    if not len(at):
+        return np.zeros((0, order), x.dtype), at
+    cells = min(cells, max(1 << 16, 8 * len(at)))
+    code, n_codes = _numbered(x, int(x.max()) + 1)
+    of, n = code[at], n_codes
+    for k in range(1, order):
+        if n * n_codes > cells:
+            of, n = _numbered(of, n)
+        if n * n_codes > cells:
+            windows = np.lib.stride_tricks.sliding_window_view(x, order)[at]
+            _, first, of = np.unique(_hash(windows), return_index=True, return_inverse=True)
+            return windows[first], of
+        of *= n_codes
+        of += code[at + k]
+        n *= n_codes
+    of, n = _numbered(of, n)
+    some = np.empty(n, np.int64)
+    some[of] = at
+    return x[some[:, None] + np.arange(order)], of
+
+
 def _count(batches, order: int):
     """lang, gram, n: what this task's rows hold."""
     held: dict = {}
@@ -99,10 +136,9 @@ def _count(batches, order: int):
                 for k in range(1, order):  # grams that would run into the next text
                     at = starts[1:] - k
                     inside[at[(at >= 0) & (at < len(inside))]] = False
-                grams = np.lib.stride_tricks.sliding_window_view(x, order)
-                h, first, n = np.unique(_hash(grams)[inside], return_index=True, return_counts=True)
+                grams, of = _distinct(x, np.flatnonzero(inside), order)
                 parts = held.setdefault(lang, [])
-                parts.append((h, grams[np.flatnonzero(inside)[first]], n))
+                parts.append((_hash(grams), grams, np.bincount(of, minlength=len(grams))))
                 if len(parts) > 12:
                     held[lang] = merged(parts)
     for lang, parts in held.items():
@@ -201,11 +237,15 @@ _BUNDLE = "chunk long, ids array<{kind}>, sizes array<int>, n_letters array<int>
 
 
 def _texts(bundles: pa.Table, order: int, most: int = SLICE):
-    """(ids, windows, starts, n_letters) of a chunk's texts: each character after the order - 1 before it, spaces before a text."""
+    """(ids, distinct windows, the place of each window among them, starts, n_letters) of a chunk's texts: each character after the
+    order - 1 before it, spaces before a text. Small bundles are taken together: the more tasks, the smaller each one's part of a chunk.
+    """
     zstd, lead = pa.Codec("zstd"), order - 1
-    for row in bundles.select(["ids", "sizes", "n_letters", "n_bytes", "texts"]).to_pylist():
-        raw = zstd.decompress(row["texts"], row["n_bytes"], asbytes=True).decode()
-        ends, i, n = np.cumsum(row["sizes"]), 0, np.array(row["n_letters"], np.int64)
+
+    def slices(held: list):
+        ids, sizes, letters_, raw = zip(*held, strict=True)
+        ids, raw, n = sum(ids, []), "".join(raw), np.concatenate(letters_)
+        ends, i = np.cumsum(np.concatenate(sizes)), 0
         while i < len(ends):
             begin = int(ends[i - 1]) if i else 0
             j = max(i + 1, int(np.searchsorted(ends, begin + most, "right")))
@@ -214,17 +254,36 @@ def _texts(bundles: pa.Table, order: int, most: int = SLICE):
             at = np.arange(len(x)) + lead * np.repeat(np.arange(j - i), np.diff(starts))
             padded = np.full(len(x) + lead * (j - i), 32, x.dtype)
             padded[at + lead] = x
-            yield row["ids"][i:j], np.lib.stride_tricks.sliding_window_view(padded, order)[at], starts, n[i:j]
+            yield ids[i:j], *_distinct(padded, at, order), starts, n[i:j]
             i = j
 
+    held, size = [], 0
+    for row in bundles.select(["ids", "sizes", "n_letters", "n_bytes", "texts"]).to_pylist():
+        raw = zstd.decompress(row["texts"], row["n_bytes"], asbytes=True).decode()
+        held.append((row["ids"], np.array(row["sizes"], np.int64), np.array(row["n_letters"], np.int64), raw))
+        size += len(raw)
+        if size >= most:
+            yield from slices(held)
+            held, size = [], 0
+    if held:
+        yield from slices(held)
+
 
 def _wanted(key: tuple, bundles: pa.Table, order: int) -> pa.Table:
     """chunk, h: every string whose share or weight the texts of a chunk need."""
-    hashes, codes = np.zeros(0, np.uint64), np.zeros((0, order), np.uint32)
-    for _, w, _, _ in _texts(bundles, order):
-        h, at = np.unique(_hash(w), return_index=True)
-        new = ~np.isin(h, hashes)
-        hashes, codes = np.concatenate([hashes, h[new]]), np.concatenate([codes, w[at[new]]])
+    parts, held, kept = [np.zeros((0, order), np.uint32)], 0, 0
+
+    def merged():
+        codes = np.concatenate(parts)
+        return codes[np.unique(_hash(codes), return_index=True)[1]]
+
+    for _, w, _, _, _ in _texts(bundles, order):
+        parts.append(w)
+        held += len(w)
+        if held > 2 * kept + SLICE:
+            parts = [merged()]
+            held = kept = len(parts[0])
+    codes = merged()
     parts = [np.unique(_hash(codes[:, order - k : end])) for k in range(1, order + 1) for end in (order, order - 1)]
     found = np.unique(np.concatenate(parts)).view(np.int64)
     return pa.table({"chunk": pa.array(np.full(len(found), key[0].as_py(), np.int64)), "h": pa.array(found)})
@@ -243,13 +302,11 @@ def _means(bundles: pa.Table, rows: pa.Table, order: int, n_langs: int, n_chars:
     share, back = np.zeros((len(hashes) + 1, n_langs), np.float32), np.ones((len(hashes) + 1, n_langs), np.float32)
     share[at, entries["lang"]], back[at, entries["lang"]] = entries["share"], entries["back"]
     ids, means, n_letters = [], [np.zeros((0, n_langs))], [np.zeros(0, np.int64)]
-    for own, w, starts, n in _texts(bundles, order, max(1, SLICE // max(1, n_langs // 8))):
-        _, first, of = np.unique(_hash(w), return_index=True, return_inverse=True)
-        w = w[first]
+    for own, w, of, starts, n in _texts(bundles, order, max(1, SLICE // max(1, n_langs // 8))):
         p = np.full((len(w), n_langs), 1 / (n_chars + 1))
         for k in range(1, order + 1):
             p = share[find.find(_hash(w[:, order - k :]))] + back[find.find(_hash(w[:, order - k : order - 1]))] * p
-        total = np.add.reduceat(np.log(p)[of], starts[:-1], axis=0)
+        total = np.stack([np.add.reduceat(column[of], starts[:-1]) for column in np.log(p).T.copy()], axis=1)
         ids += own
         means.append(total / np.diff(starts)[:, None])
         n_letters.append(n)
@@ -298,8 +355,12 @@ class ModelTable:
         order, n_langs, n_chars = self.order, len(self.langs), self.n_chars
         chunk = max(1, chunk // max(1, n_langs // 16))
         kind = documents.schema[key].dataType.simpleString()
-        docs = docs.select(F.pmod(F.xxhash64(key, "text", F.monotonically_increasing_id()), F.lit(size // chunk + 1)).alias("chunk"), key, "text")
-        bundles = docs.mapInArrow(_bundle, _BUNDLE.format(kind=kind)).repartition("chunk")
+        n_chunks = size // chunk + 1
+        docs = docs.select(F.pmod(F.xxhash64(key, "text", F.monotonically_increasing_id()), F.lit(n_chunks)).alias("chunk"), key, "text")
+        bundles = docs.mapInArrow(_bundle, _BUNDLE.format(kind=kind))
+        # a fixed number of parts is left as it is: put together by bytes, chunks would wait for each other in about as many tasks as there are cores
+        parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        bundles = bundles.repartition(max(parts, min(4 * n_chunks, 4 * parts)), "chunk") if n_chunks > 1 else bundles.repartition("chunk")
         wanted = bundles.groupBy("chunk").applyInArrow(lambda key, rows: _wanted(key, rows, order), "chunk long, h long")
         # the model grows with the training texts and must not be taken for small
         rows = wanted.join(self.rows.hint("merge"), "h").select("chunk", "h", "entries")

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -445,3 +446,32 @@ def test_calibration_texts_are_held_out_and_stay_the_same(spark):
     assert len(kept) == 5 and kept == {r["text"] for r in again[1].collect()} and counted.count() == 95
     assert not kept & {r["text"] for r in counted.collect()}
     assert langid.split(df.limit(10))[1] is None
+
+
+def test_distinct_strings_of_any_alphabet():
+    rng = np.random.default_rng(5)
+    for letters, order, cells in ((3, 4, 1 << 22), (40, 4, 1 << 22), (3000, 4, 1 << 22), (60_000, 3, 100), (9, 1, 1 << 22)):
+        x = rng.choice(0x10FFFF, letters).astype(np.uint32)[rng.integers(0, letters, 5000)]
+        at = rng.permutation(len(x) - order)[:4000]
+        found, of = langid._distinct(x, at, order, cells)
+        windows = np.lib.stride_tricks.sliding_window_view(x, order)[at]
+        assert (found[of] == windows).all() and len(found) == len({tuple(w) for w in windows.tolist()})
+    found, of = langid._distinct(x, at[:0], 3)
+    assert found.shape == (0, 3) and not len(of)
+
+
+def test_small_bundles_of_a_chunk_are_taken_together():
+    texts = pa.RecordBatch.from_pydict({"chunk": [0] * 60, "doc_id": list(range(60)), "text": [None if i % 9 == 0 else f"word {i} of text {'ab' * (i % 7)}" for i in range(60)]})
+    one = pa.Table.from_batches(langid._bundle([texts]))
+    many = pa.Table.from_batches([b for i in range(60) for b in langid._bundle([texts.slice(i, 1)])])
+    assert (one.num_rows, many.num_rows) == (1, 60)
+    (a,), (b,) = langid._texts(one, 4), langid._texts(many, 4)
+    assert a[0] == b[0] and all((x == y).all() for x, y in zip(a[1:], b[1:], strict=True))
+    assert langid._wanted((pa.scalar(0),), one, 4) == langid._wanted((pa.scalar(0),), many, 4)
+    assert sum(len(x[0]) for x in langid._texts(many, 4, 50)) == 60
+
+
+def test_chunks_are_tasks_of_their_own(spark):
+    df = spark.createDataFrame([(i, f"text {i} in some language or other", "xy"[i % 2]) for i in range(200)], "doc_id long, text string, lang string")
+    found = langid.ModelTable(df).means(df, "doc_id", chunk=100).select("doc_id", F.spark_partition_id().alias("part")).collect()
+    assert len(found) == 200 and len({r.part for r in found}) > 4
